@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .exactdedup import exact_duplicates
 from .minhash import near_duplicates
+from .sharding import hilbert_shards
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,10 +34,32 @@ SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce
 FROM s LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = s.doc_id
 """
 
+
+def op8_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents
+), m AS (
+  SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM n
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM m
+"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(table(spark, sf_dir, "documents"), 40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
+    "op8_exactdedup": op8_exactdedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash": OP3_SQL,
+    "op8_exactdedup": OP8_SQL,
 }
