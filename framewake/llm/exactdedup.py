@@ -18,7 +18,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bytes, again and again, until a group is a single row or its texts have ended. The bytes themselves are compared, so
     equality rests on no digest. Digits grow with the depth, so a text of n bytes takes log(n) rounds, and only rows that
     still share a group read and move their next bytes. Counts are combined before each shuffle, and rows meet their
-    group's number in a join that Spark may split, so a group with a third of all rows burdens no single task.
+    group's number in a merge join that Spark may split, at every size, so a group with a third of all rows burdens no single task.
 
     Returns, for every row: ``id_col``, keep_id, group_size, kept, text_sha256 (of the normalised text). The row with the
     most code points in its original text stays, then the smallest id.
@@ -32,7 +32,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = base.select("id", "chars", "bytes", F.octet_length("bytes").alias("n"), F.substring("bytes", 1, FIRST).alias("digit"))
     shared = base.groupBy("n", "digit").agg(F.count("*").alias("c")).where("c > 1")
     shared = materialise(shared.select("n", "digit", F.monotonically_increasing_id().alias("g")), "radix")
-    split = base.join(shared, ["n", "digit"], "left").select(
+    split = base.join(shared.hint("merge"), ["n", "digit"], "left").select(
         F.monotonically_increasing_id().alias("row"), "id", "chars", "n", "g", F.sha2("bytes", 256).alias("sha"),
         F.when(F.col("g").isNotNull() & (F.col("n") > FIRST), F.col("bytes")).alias("bytes"),
     )
@@ -47,9 +47,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             break
         step = GROWTH * depth
         digit = split.where(F.col("g").isNotNull() & (F.col("n") > depth)).select("row", F.substring("bytes", depth + 1, step).alias("digit"))
-        digits = state.join(digit, "row")
+        digits = state.join(digit.hint("merge"), "row")
         groups = digits.groupBy("g", "digit").agg(F.count("*").alias("c"), F.min("row").alias("to")).where("c > 1")
-        state = materialise(digits.join(groups, ["g", "digit"]).select("row", "n", F.col("to").alias("g")), "radix")
+        state = materialise(digits.join(groups.hint("merge"), ["g", "digit"]).select("row", "n", F.col("to").alias("g")), "radix")
         depth += step
     # groups of different depths may have the same number
     final = None
