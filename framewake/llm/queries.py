@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contamination
 from .exactdedup import exact_duplicates
 from .minhash import near_duplicates
+from .quality import score_quality, train
 from .sharding import hilbert_shards
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,6 +74,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), 40)
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op5_decontamination": op5_decontamination,
     "op8_exactdedup": op8_exactdedup,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
