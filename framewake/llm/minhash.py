@@ -12,7 +12,8 @@ Verification: sets that are equal are one class, shown by its smallest id. Withi
 pivots only, not all with all. First comes the class with the most bucket mates in all. While a bucket still holds
 classes of different components, further pivots follow, from its smallest components first, 1, 4, 16, ... a round, until
 every pair of classes of one bucket is either in one component or compared. So no link within a bucket is lost, and
-a group of m near copies costs about m comparisons. Comparisons use whole shingle sets, streamed by pivot; a pivot with
+a group of m near copies costs about m comparisons. A shingle that no other candidate has is in no intersection: pairs
+for which the counts of such shingles rule a link out are not compared. Comparisons use whole shingle sets, streamed by pivot; a pivot with
 many partners is dealt to several tasks.
 """
 
@@ -99,7 +100,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     want = dealt.select("b", "salt", F.lit(1).alias("part"), F.col("a").alias("id")).union(
         dealt.select("b", "salt").distinct().select("b", "salt", F.lit(0), F.col("b"))
     )
-    rows = texts.join(want, "id").select("b", "salt", "part", "id", "text")
+    rows = texts.join(want.hint("merge"), "id").select("b", "salt", "part", "id", "text")
     rows = rows.repartition(F.col("b"), F.col("salt")).sortWithinPartitions("b", "salt", "part")
 
     def run(batches):
@@ -129,8 +130,25 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return rows.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
+def own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(id, own): how many shingles of each text are in no other text of the table."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for i, j, sets in _sets(batch.column(1), size):
+                rows = np.repeat(np.arange(i, j), [len(s) for s in sets])
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+
+    spread = texts.select("id", "text").mapInArrow(run, "id long, shingle long")
+    # the same text under the same id counts as one
+    single = spread.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return single.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Labels (id, label) of all classes that have links. members: key, id, n, mates, of buckets with two classes or more."""
+    """Labels (id, label) of all classes that have links. members: key, id, n, own, mates, of buckets with two classes or more."""
     members = members.withColumn("comp", F.col("id"))
     compared, labels, turn = None, None, 0
     while True:
@@ -142,12 +160,13 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             ranked = members.join(held, ["key", "comp"])
             rank = F.struct((-F.col("held")).alias("few"), "mates", (-F.col("id")).alias("last"))
         pivots = ranked.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(
-            F.max_by(F.struct("id", "n", "comp"), rank).alias("p")
+            F.max_by(F.struct("id", "n", "own", "comp"), rank).alias("p")
         )
-        pivots = materialise(pivots.select("key", "p.*").toDF("key", "b", "nb", "cb"), "pivots")
+        pivots = materialise(pivots.select("key", "p.*").toDF("key", "b", "nb", "ownb", "cb"), "pivots")
+        most = "least(n - own, nb - ownb)"
         pairs = (
             members.join(pivots, "key").where("comp != cb")
-            .where(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")
+            .where(f"100 * {most} >= {percent} * (n + nb - {most})")
             .select(F.least("id", "b").alias("lo"), F.greatest("id", "b").alias("hi"), F.col("id").alias("a"), "b")
             .groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("b", "a")).alias("p")).select("p.*", "lo", "hi")
         )
@@ -165,7 +184,7 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             members = members.drop("comp").join(labels.select("id", F.col("label").alias("comp")), "id", "left")
             members = members.withColumn("comp", F.coalesce("comp", "id"))
         mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        members = materialise(members.join(mixed, "key", "left_semi").select("key", "id", "n", "mates", "comp"), "members")
+        members = materialise(members.join(mixed, "key", "left_semi").select("key", "id", "n", "own", "mates", "comp"), "members")
         turn += 1
         if members.isEmpty():
             return labels
@@ -189,17 +208,19 @@ def near_duplicates(
     named = sketches.where("id is not null and same is not null")
     classes = named.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # the row of a class that stands for it; a repeated id may stand twice, which distinct() below undoes
-    heads = named.join(classes.select("same", "id"), ["same", "id"], "left_semi")
+    heads = named.join(classes.select("same", "id").hint("merge"), ["same", "id"], "left_semi")
     spread = heads.select("id", "n", F.explode("band").alias("key")).distinct()
     sized = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("size > 1")
     sized = materialise(sized, "buckets")
     # buckets of other bands with just the same classes say nothing new
     own = sized.groupBy("size", "least", "sum").agg(F.min("key").alias("key"), F.count("*").alias("times"))
-    members = spread.join(own.select("key", "size", "times"), "key")
+    members = spread.join(own.select("key", "size", "times").hint("merge"), "key")
     members = materialise(members.select("key", "id", "n", (F.col("size") * F.col("times")).alias("weight")), "members")
     mates = members.groupBy("id").agg(F.sum("weight").alias("mates"))
-    members = members.join(mates, "id").select("key", "id", "n", "mates")
-    texts = materialise(rows_in.join(mates.select("id"), "id", "left_semi"), "texts")
+    texts = materialise(rows_in.join(mates.select("id").hint("merge"), "id", "left_semi"), "texts")
+    members = members.join(mates, "id").join(own_shingles(texts, size), "id", "left")
+    members = members.select("key", "id", "n", F.coalesce("own", F.lit(0)).alias("own"), "mates")
+    members = materialise(members.where(f"100 * (n - own) >= {percent} * n"), "members")
     labels = None if members.isEmpty() else _links(members, texts, size, percent)
 
     known = classes.where("copies > 1").select("same", "id") if labels is None else (

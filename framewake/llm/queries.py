@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .exactdedup import exact_duplicates
+from .linededup import drop_boilerplate
 from .minhash import near_duplicates
 from .quality import score_quality, train
 from .sharding import hilbert_shards
@@ -60,6 +61,27 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+OP7_SQL = """
+WITH p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+l AS (
+  SELECT doc_id, source, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+), k AS (SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
+b AS (
+  SELECT k.source, bare FROM (SELECT DISTINCT doc_id, source, bare FROM k WHERE bare <> '') k JOIN p ON p.source IS NOT DISTINCT FROM k.source
+  GROUP BY k.source, bare HAVING count(*) >= 5 AND count(*) > 0.02 * any_value(pages)
+), m AS (
+  SELECT k.doc_id, count(*) AS n_lines, count(b.bare) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE b.bare IS NULL) AS kept
+  FROM k LEFT JOIN b ON b.source IS NOT DISTINCT FROM k.source AND b.bare = k.bare GROUP BY k.doc_id
+)
+SELECT d.doc_id, d.source, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+
 def op8_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -86,6 +108,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op5_decontamination": op5_decontamination,
+    "op7_linededup": op7_linededup,
     "op8_exactdedup": op8_exactdedup,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
@@ -94,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash": OP3_SQL,
     "op5_decontamination": OP5_SQL,
+    "op7_linededup": OP7_SQL,
     "op8_exactdedup": OP8_SQL,
 }
