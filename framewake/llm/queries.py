@@ -15,6 +15,7 @@ from .linededup import drop_boilerplate
 from .minhash import near_duplicates
 from .quality import score_quality, train
 from .sharding import hilbert_shards
+from .tokenfile import token_file
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,6 +68,10 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
 
+def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_tokenfile": op6_tokenfile,
     "op7_linededup": op7_linededup,
     "op8_exactdedup": op8_exactdedup,
     "op9_quality": op9_quality,
