@@ -11,6 +11,8 @@ from .bpe import round_trips
 from .common import table
 from .decontaminate import contamination
 from .exactdedup import exact_duplicates
+from .htmltext import extract_main_text, labelled_pages
+from .htmltext import train as train_extractor
 from .linededup import drop_boilerplate
 from .minhash import near_duplicates
 from .quality import score_quality, train
@@ -20,6 +22,10 @@ from .tokenfile import token_file
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"), train_extractor(labelled_pages()))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -117,6 +123,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_htmltext": op1_htmltext,
     "op3_minhash": op3_minhash,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
