@@ -208,3 +208,14 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     rows = only(docs, id=id_col, text=text_col).select("id", is_held_out(F.col("id")).alias("held_out"), "text")
     scored = rows.mapInArrow(run, "id long, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """Just the rows whose whole text scores ``least`` or more, with all their columns; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(batch.column(at))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
