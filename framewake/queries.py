@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from .plans import reports, timed
+
+QUERIES, ORACLE_SQL = {}, {}
+for module in (timed, reports):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
