@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _number(raw: Column) -> Column:
@@ -34,7 +35,7 @@ def ber_length_decode(raw: Column) -> Column:
 
 def ber_oid(value: Column, most: int = 9) -> Column:
     """Base 128, big-endian, with the high bit set on all octets but the last; non-negative values."""
-    groups = F.transform(F.sequence(F.lit(most - 1), F.lit(0), F.lit(-1)), lambda k: F.expr("0L") + F.call_function("shiftright", value, F.lit(7) * k).bitwiseAND(127))
+    groups = F.transform(F.sequence(F.lit(most - 1), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftright", value, F.lit(7) * k).bitwiseAND(127))
     used = F.greatest(F.lit(1), *[F.when(value >= (1 << (7 * k)), k + 1).otherwise(1) for k in range(1, most)])
     kept = F.slice(groups, F.lit(most + 1) - used, used)
     return F.unhex(F.array_join(F.transform(kept, lambda g, i: F.lpad(F.hex(F.when(i < used - 1, g + 128).otherwise(g)), 2, "0")), ""))
@@ -84,7 +85,7 @@ def misp_to_utc(misp: Column, leap: Column, correction: Column) -> Column:
 
 def nano_to_micro(ns: Column) -> Column:
     """Microseconds, halves up, in integers."""
-    return F.floor((ns + 500) / F.lit(1000)).cast("long")
+    return F.floor((ns + 500).cast("decimal(20,0)") / F.lit(1000)).cast("long")
 
 
 def pts_encode(ticks: Column) -> Column:
@@ -110,7 +111,7 @@ def running_sum_16(raw: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: (a + x) % 65536)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def mpeg2_crc32(raw: pd.Series) -> pd.Series:
     """CRC-32/MPEG-2 (not reflected, no final inversion), which Spark's crc32 is not."""
     table = []

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import reports, timed
+from .plans import reports, scalars, timed
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (timed, reports):
+for module in (timed, reports, scalars):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
