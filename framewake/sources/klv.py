@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +33,10 @@ def local_set_items(df: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("p
     """
 
     def run(batches):
-        for pdf in batches:
-            out = {c: [] for c in [*keys, "ordinal", "tag", "raw", "issue"]}
-            for row in pdf.itertuples(index=False):
-                data, at, n = bytes(getattr(row, raw) or b""), 0, 0
+        for batch in batches:
+            source, ordinals, tags, values, issues = [], [], [], [], []
+            for k, data in enumerate(batch.column(len(keys)).to_pylist()):
+                data, at, n = data or b"", 0, 0
                 while at < len(data):
                     tag, value, issue = None, None, None
                     try:
@@ -47,16 +47,16 @@ def local_set_items(df: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("p
                         value, at = data[at : at + length], at + length
                     except (ValueError, IndexError):
                         issue, at = "truncated", len(data)
-                    for k in keys:
-                        out[k].append(getattr(row, k))
-                    for k, v in (("ordinal", n), ("tag", tag), ("raw", value), ("issue", issue)):
-                        out[k].append(v)
+                    for column, x in ((source, k), (ordinals, n), (tags, tag), (values, value), (issues, issue)):
+                        column.append(x)
                     n += 1
-            yield pd.DataFrame(out).astype({"tag": "Int64"})
+            columns = [batch.column(i).take(pa.array(source, pa.int64())) for i in range(len(keys))]
+            columns += [pa.array(ordinals, pa.int32()), pa.array(tags, pa.int64()), pa.array(values, pa.binary()), pa.array(issues, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "ordinal", "tag", "raw", "issue"])
 
     types = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ordinal int, tag long, raw binary, issue string"
-    return df.select(*keys, raw).mapInPandas(run, schema)
+    return df.select(*keys, raw).mapInArrow(run, schema)
 
 
 def wide(items: DataFrame, keys: list[str], fields: dict[str, tuple[int, str]]) -> DataFrame:
