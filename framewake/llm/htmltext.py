@@ -1,7 +1,8 @@
 """Main-text extraction with a tree-structured graphical model over the DOM.
 
-Every element has a hidden label, content or not. A node potential says how likely its tag, its parent's tag, the tokens
-of its class, id and role, the length of its own text and the share of links below it are under either label; an edge potential says how likely a
+Every element has a hidden label, content or not. A node potential says how likely its tag and its parent's, its form
+given the tag (the length of its own text, the share of links below it), and the tokens of its class, id and role, or of
+the nearest such above, are under either label; an edge potential says how likely a
 child's label is given its parent's. Both are counted on labelled pages. Sum-product message passing, from the leaves up
 and from the root down, gives the exact marginal of every label, and a text belongs to the article if its element's
 marginal for content is over one half.
@@ -113,8 +114,7 @@ def parse(html: str) -> Page:
         tags.append(name)
         attributes.append(own)
         length.append(0)
-        if not own.endswith("/"):
-            stack.append(len(tags) - 1)
+        stack.append(len(tags) - 1)
     if at < len(html):
         text(html[at:])
     if block:
@@ -135,13 +135,13 @@ def _links(page: Page) -> list[int]:
 
 
 def _evidence(page: Page) -> list[list[str]]:
-    """What the node potential sees of each element: its shape, its names, and those of the nearest named element above."""
+    """What the node potential sees of each element: its tags, its form, and its names or those of the nearest named element above."""
     links, out, named = _links(page), [], []
     for k, tag in enumerate(page.tag):
         size = page.length[k]
         bin_ = 0 if not size else 1 if size < 25 else 2 if size < 100 else 3
         above = page.tag[page.parent[k]] if k else ""
-        seen = [f"shape {above} {tag} {bin_} {links[k]}"]
+        seen = [f"pair {above} {tag}", f"form {tag} {bin_} {links[k]}"]
         own = page.attributes[k]
         found = [x for m in _NAMES.finditer(own) for x in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if x] if "=" in own else []
         above_names = named[page.parent[k]] if k else []
@@ -166,8 +166,9 @@ class TreeModel:
         own = []
         get = self.node.get
         for seen in _evidence(page):
-            ratio = 1.0
-            for e in seen:
+            # a pair of tags that no labelled page has counts as its tag alone
+            ratio = get(seen[0]) or get("tag " + seen[0].rsplit(" ", 1)[1], 1.0)
+            for e in seen[1:]:
                 ratio *= get(e, 1.0)
             own.append(min(max(ratio, 1e-12), 1e12))
         # upward, as ratios of content over other: children come after their parents in page order
@@ -201,8 +202,17 @@ def train(pages: list[str]) -> TreeModel:
         for k in range(1, len(page.tag)):
             labels[y[k]] += 1
             edges[y[page.parent[k]]][y[k]] += 1
-            seen[y[k]].update(set(evidence[k]))
-    node = {e: ((seen[1][e] + 0.5) / (labels[1] + 1)) / ((seen[0][e] + 0.5) / (labels[0] + 1)) for e in {*seen[0], *seen[1]}}
+            seen[y[k]].update({*evidence[k], f"tag {page.tag[k]}"})
+    node = {}
+    for e in {*seen[0], *seen[1]}:
+        kind, of = e.split(" ")[:2]
+        if kind == "form":
+            # given the tag: of sixteen forms, and only for tags that both labels have
+            have = [seen[y][f"tag {of}"] for y in (0, 1)]
+            if min(have) >= 5:
+                node[e] = ((seen[1][e] + 0.5) / (have[1] + 8)) / ((seen[0][e] + 0.5) / (have[0] + 8))
+        else:
+            node[e] = ((seen[1][e] + 0.5) / (labels[1] + 1)) / ((seen[0][e] + 0.5) / (labels[0] + 1))
     edge = tuple(tuple(c / sum(row) for c in row) for row in edges)
     return TreeModel(node, edge, 0.9)
 
