@@ -9,8 +9,9 @@ Banding: ``rows`` coordinates make a band, ``bands`` bands make a sketch. A pair
 28 bands of 5 coordinates with probability 7e-8.
 
 Verification: sets that are equal are one class, shown by its smallest id. Within a bucket classes are compared with
-pivots only, not all with all. First comes the class with the most bucket mates in all. While a bucket still holds
-classes of different components, further pivots follow, from its smallest components first, 1, 4, 16, ... a round, until
+pivots only, not all with all. First comes the class with the most bucket mates in all; then four of its largest
+components, which draw in most of what belongs together. While a bucket still holds classes of different components,
+further pivots follow, from its smallest components first, 4, 16, 64, ... a round, until
 every pair of classes of one bucket is either in one component or compared. So no link within a bucket is lost, and
 a group of m near copies costs about m comparisons. A shingle that no other candidate has is in no intersection: pairs
 for which the counts of such shingles rule a link out are not compared. Comparisons use whole shingle sets, streamed by pivot; a pivot with
@@ -152,13 +153,13 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     members = members.withColumn("comp", F.col("id"))
     compared, labels, turn = None, None, 0
     while True:
-        slots = 4 ** max(0, turn - 1)
+        slots = 4 ** max(min(turn, 1), turn - 1)
         rank = F.struct("mates", (-F.col("id")).alias("last"))
         ranked = members
         if turn:
             held = members.groupBy("key", "comp").agg(F.count("*").alias("held"))
             ranked = members.join(held, ["key", "comp"])
-            rank = F.struct((-F.col("held")).alias("few"), "mates", (-F.col("id")).alias("last"))
+            rank = F.struct((F.col("held") if turn == 1 else -F.col("held")).alias("first"), "mates", (-F.col("id")).alias("last"))
         pivots = ranked.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(
             F.max_by(F.struct("id", "n", "own", "comp"), rank).alias("p")
         )

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,11 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     take, choice = np.ones(n, np.int64), np.full(n, ESCAPE)
     for selector in range(len(COUNTS) - 1, -1, -1):
         count, width = int(COUNTS[selector]), int(WIDTHS[selector])
-        if count > n or int(bits.min()) > width:
+        over = bits > width
+        if count > n or n - int(np.count_nonzero(over)) < count:
             continue
-        wide = np.concatenate([[0], np.cumsum(bits > width)])
+        wide = np.zeros(n + 1, np.int32)
+        np.cumsum(over, out=wide[1:])
         at = np.flatnonzero(wide[count:] == wide[: n - count + 1])
         take[at], choice[at] = count, selector
     starts, i, step = [], 0, take.tolist()
@@ -106,12 +109,27 @@ def unpack_block(payload: bytes) -> list[np.ndarray]:
     return np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else []
 
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
+_OTHER_LATIN = re.compile(rb"['\x80-\xbf]")
+_RUNS = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|[^a-z\xdf-\xf6\xf8-\xff\x20\t-\r]+").findall
+
+
+def _latin(text: bytes) -> bytes | None:
+    """A text of ASCII and the letters of Latin-1 without apostrophes, in Latin-1 and lower case; else nothing."""
+    if not text.isascii():
+        try:
+            text = text.decode().encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+    return None if _OTHER_LATIN.search(text) else text.translate(_LOWER)
+
+
 class WordEncoder:
     """Whole texts through the tokenizers library, word by word.
 
     The vocabulary's rules drop white space and never join across it, so the ids of a text are those of its words (cut at
-    ASCII white space). Words recur: each is given to the library once and its ids are remembered. A word of ASCII
-    characters without an apostrophe is the same as its runs of letters and of other characters, in lower case.
+    ASCII white space). Words recur: each is given to the library once and its ids are remembered. Where a text has only ASCII
+    and the letters of Latin-1, and no apostrophe, the rules also cut between letters and other characters and ignore case.
     """
 
     def __init__(self, path: str):
@@ -120,28 +138,28 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _learn(self, known: dict, fresh: list, texts: list[str]) -> None:
+        for key, got in zip(fresh, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            known[key] = array("I", got.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of whole texts in UTF-8."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        words, parts = self.words, self.parts
-        split = [t.split() for t in texts]
-        fresh = set().union(*split).difference(words.keys()) if split else set()
-        cut = {}
-        for word in fresh:
-            if word.isascii() and b"'" not in word:
-                cut[word] = re.findall(r"[a-z]+|[^a-z]+", word.decode().lower())
-            else:
-                cut[word] = [word.decode()]
-        need = list({p for found in cut.values() for p in found}.difference(parts.keys()))
-        for part, got in zip(need, self.library.encode_batch_fast(need, add_special_tokens=False)):
-            parts[part] = np.array(got.ids, "<u4").tobytes()
-        for word, found in cut.items():
-            words[word] = b"".join([parts[p] for p in found])
-        return [np.frombuffer(b"".join([words[w] for w in own]), "<u4") for own in split]
+        cut, plain = [], []
+        for text in texts:
+            latin = _latin(text)
+            plain.append(latin is not None)
+            cut.append(text.split() if latin is None else _RUNS(latin))
+        fresh = set().union(*[c for c, p in zip(cut, plain) if p]).difference(self.parts)
+        self._learn(self.parts, list(fresh), [x.decode("latin-1") for x in fresh])
+        fresh = set().union(*[c for c, p in zip(cut, plain) if not p]).difference(self.words)
+        self._learn(self.words, list(fresh), [x.decode() for x in fresh])
+        return [np.frombuffer(b"".join(map((self.parts if p else self.words).__getitem__, c)), "<u4") for c, p in zip(cut, plain)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import reports, scalars, timed
+from .plans import reports, rules, scalars, timed
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (timed, reports, scalars):
+for module in (timed, reports, scalars, rules):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
