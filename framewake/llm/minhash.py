@@ -11,7 +11,7 @@ Banding: ``rows`` coordinates make a band, ``bands`` bands make a sketch. A pair
 Verification: sets that are equal are one class, shown by its smallest id. Within a bucket classes are compared with
 pivots only, not all with all. First comes the class with the most bucket mates in all; then four of its largest
 components, which draw in most of what belongs together. While a bucket still holds classes of different components,
-further pivots follow, from its smallest components first, 4, 16, 64, ... a round, until
+further pivots follow, from its smallest components first, 64, 4096, ... a round, until
 every pair of classes of one bucket is either in one component or compared. So no link within a bucket is lost, and
 a group of m near copies costs about m comparisons. A shingle that no other candidate has is in no intersection: pairs
 for which the counts of such shingles rule a link out are not compared. Comparisons use whole shingle sets, streamed by pivot; a pivot with
@@ -153,7 +153,7 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     members = members.withColumn("comp", F.col("id"))
     compared, labels, turn = None, None, 0
     while True:
-        slots = 4 ** max(min(turn, 1), turn - 1)
+        slots = (1, 4)[turn] if turn < 2 else 64 ** (turn - 1)
         rank = F.struct("mates", (-F.col("id")).alias("last"))
         ranked = members
         if turn:
@@ -173,7 +173,7 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         )
         if compared is not None:
             pairs = pairs.join(compared.select("lo", "hi"), ["lo", "hi"], "left_anti")
-        found = verify(pairs.select("a", "b"), texts, size, percent)
+        found = verify(materialise(pairs.select("a", "b"), "pairs"), texts, size, percent)
         found = materialise(found.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "linked"), "compared")
         new = not found.where("linked").isEmpty()
         compared = found if compared is None else compared.union(found)
