@@ -48,22 +48,29 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    bits = _bits(values)
-    take, choice = np.ones(n, np.int64), np.full(n, ESCAPE)
+    widest, span = _bits(values).astype(np.uint8), 1
+    take, choice = np.ones(n, np.uint8), np.full(n, ESCAPE, np.uint8)
     for selector in range(len(COUNTS) - 1, -1, -1):
         count, width = int(COUNTS[selector]), int(WIDTHS[selector])
-        over = bits > width
-        if count > n or n - int(np.count_nonzero(over)) < count:
-            continue
-        wide = np.zeros(n + 1, np.int32)
-        np.cumsum(over, out=wide[1:])
-        at = np.flatnonzero(wide[count:] == wide[: n - count + 1])
-        take[at], choice[at] = count, selector
-    starts, i, step = [], 0, take.tolist()
+        if count > n:
+            break
+        if count > span:  # the most bits of any of the next ``count`` values, from those of the next ``span``
+            widest, span = np.maximum(widest[: n - count + 1], widest[count - span :]), count
+        fits = widest <= width
+        np.copyto(take[: n - count + 1], np.uint8(count), where=fits)
+        np.copyto(choice[: n - count + 1], np.uint8(selector), where=fits)
+    # where each word starts: every 32nd by a walk, those between by doubling
+    jumps = [np.append(np.minimum(np.arange(n, dtype=np.int32) + take, np.int32(n)), np.int32(n))]
+    for _ in range(5):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, i, starts = jumps.pop().tolist(), 0, []
     while i < n:
         starts.append(i)
-        i += step[i]
+        i = far[i]
     starts = np.array(starts)
+    while jumps:
+        starts = np.column_stack([starts, jumps.pop()[starts]]).ravel()
+    starts = starts[starts < n]
     kind = choice[starts]
     words = kind.astype(np.uint64) << U(60)
     for selector, (count, width) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist())):
@@ -111,7 +118,10 @@ def unpack_block(payload: bytes) -> list[np.ndarray]:
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
 _OTHER_LATIN = re.compile(rb"['\x80-\xbf]")
-_RUNS = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|[^a-z\xdf-\xf6\xf8-\xff\x20\t-\r]+").findall
+#: kinds of characters of Latin-1 in lower case: white space, others, letters
+_KIND = np.ones(256, np.int8)
+_KIND[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 2
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
 
 
 def _latin(text: bytes) -> bytes | None:
@@ -129,7 +139,8 @@ class WordEncoder:
 
     The vocabulary's rules drop white space and never join across it, so the ids of a text are those of its words (cut at
     ASCII white space). Words recur: each is given to the library once and its ids are remembered. Where a text has only ASCII
-    and the letters of Latin-1, and no apostrophe, the rules also cut between letters and other characters and ignore case.
+    and the letters of Latin-1, and no apostrophe, the rules also cut between letters and other characters and ignore case;
+    such runs are found and told apart, by a 64-bit hash, over all texts of a chunk at once.
     """
 
     def __init__(self, path: str):
@@ -144,22 +155,40 @@ class WordEncoder:
         for key, got in zip(fresh, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             known[key] = array("I", got.ids).tobytes()
 
+    def _runs(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts as ``_latin`` gives them."""
+        data = b"\n".join(texts) + b"\n"
+        buf = np.frombuffer(data, np.uint8)
+        kind = _KIND[buf]
+        cut = np.flatnonzero(np.diff(kind, prepend=np.int8(0)))  # the last byte is white space, so each run ends at a cut
+        own = kind[cut] > 0
+        starts, ends = cut[own], cut[1:][own[:-1]]
+        _, first, which = np.unique(T.word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        runs = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        fresh = [x for x in runs if x not in self.parts]
+        self._learn(self.parts, fresh, [x.decode("latin-1") for x in fresh])
+        found = [self.parts[x] for x in runs]
+        # each run's ids, one after another: the place of an id among those of all distinct runs
+        ids = np.frombuffer(b"".join(found), "<u4")
+        count = np.array([len(x) for x in found], np.int64) >> 2
+        begin = np.cumsum(count) - count
+        many = count[which]
+        after = np.cumsum(many)
+        flat = ids[np.arange(after[-1] if len(after) else 0) + np.repeat(begin[which] - after + many, many)]
+        text_ends = np.cumsum([len(t) + 1 for t in texts])[:-1]
+        return np.split(flat, np.append(0, after)[np.searchsorted(starts, text_ends)])
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of whole texts in UTF-8."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        cut, plain = [], []
-        for text in texts:
-            latin = _latin(text)
-            plain.append(latin is not None)
-            cut.append(text.split() if latin is None else _RUNS(latin))
-        fresh = set().union(*[c for c, p in zip(cut, plain) if p]).difference(self.parts)
-        self._learn(self.parts, list(fresh), [x.decode("latin-1") for x in fresh])
-        fresh = set().union(*[c for c, p in zip(cut, plain) if not p]).difference(self.words)
-        self._learn(self.words, list(fresh), [x.decode() for x in fresh])
-        return [np.frombuffer(b"".join(map((self.parts if p else self.words).__getitem__, c)), "<u4") for c, p in zip(cut, plain)]
+        for known in (self.words, self.parts):
+            if len(known) > REMEMBERED:
+                known.clear()
+        latin = [_latin(text) for text in texts]
+        runs = iter(self._runs([x for x in latin if x is not None]))
+        cut = [text.split() if plain is None else None for text, plain in zip(texts, latin)]
+        fresh = list(set().union(*[c for c in cut if c is not None]).difference(self.words))
+        self._learn(self.words, fresh, [x.decode() for x in fresh])
+        return [next(runs) if c is None else np.frombuffer(b"".join(map(self.words.__getitem__, c)), "<u4") for c in cut]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
