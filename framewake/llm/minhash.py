@@ -97,7 +97,7 @@ def sketch_documents(docs: DataFrame, size: int, bands: int, rows: int) -> DataF
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Compare (a, pivot b) by their whole sets: a, b, linked. An id with several rows is linked if any of them is."""
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_TASK).alias("tasks"))
-    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("tasks")).alias("salt"))
+    dealt = materialise(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("tasks")).alias("salt")), "dealt")
     want = dealt.select("b", "salt", F.lit(1).alias("part"), F.col("a").alias("id")).union(
         dealt.select("b", "salt").distinct().select("b", "salt", F.lit(0), F.col("b"))
     )
