@@ -28,7 +28,7 @@ TRAIN_PAGES = 600
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math noscript object q s samp small span strike strong sub sup svg time tt u var wbr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -43,14 +43,28 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+#: elements whose content is no markup, or never shown: it is skipped up to their end tag
+RAW = frozenset("script style template textarea iframe".split())
+#: elements with content of their own language, where a tag may close itself
+FOREIGN = frozenset(["svg", "math"])
+#: elements of svg and math that hold HTML again, those that part texts, and those of svg whose text isn't shown
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+PARTS = frozenset("text foreignobject mtr mlabeledtr mtd".split())
+UNSEEN = frozenset("title desc metadata".split())
+#: HTML that ends an open svg or math
+LEAVES = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split()
+)
+#: an opening tag that closes an open p looks for it up to these
+P_SCOPE = frozenset("article aside blockquote body button div footer form header li main nav object section td th foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|textarea|iframe|svg|math|object)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+_RAW_TAG = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'data-content="([01])"')
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -72,46 +86,76 @@ def parse(html: str) -> Page:
     page = Page()
     parent, tags, attributes, length = page.parent, page.tag, page.attributes, page.length
     stack, block, at = [0], [], 0
+    # of each element: the svg or math that it is in, or 0; that its content is in; and whether its text is never shown
+    within, foreign, unseen = [0], [0], [False]
+    names = [""]  # as written; the page's tags tell an element of svg or math from HTML's of the same name
 
     def text(raw: str) -> None:
+        if unseen[stack[-1]]:
+            return
         block.append((stack[-1], raw))
         length[stack[-1]] += len(raw.strip())
 
-    def close(names: frozenset, stop: frozenset) -> None:
+    def close(ended: frozenset, stop: frozenset) -> None:
         for depth in range(len(stack) - 1, 0, -1):
-            name = tags[stack[depth]]
-            if name in names:
+            name = names[stack[depth]]
+            if name in ended:
                 del stack[depth:]
                 return
             if name in stop:
                 return
 
-    for m in _TOKEN.finditer(html):
+    def after_raw(name: str, at: int) -> int:
+        """Where the content of a raw element, and its end tag, end. Templates nest."""
+        depth = 1
+        for m in _RAW_TAG[name].finditer(html, at):
+            depth += -1 if m[1] else name == "template"
+            if not depth:
+                return m.end()
+        return len(html)
+
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
-        name = m[3] or m[6]
+        name = m[2] or m[5]
         if name is None:
             continue
-        name, end, own = name.lower(), m[2] or m[5], m[4] or m[7] or ""
-        if name not in INLINE:
+        name, end, own = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if name in RAW:
+            if not end and not (foreign[stack[-1]] and own.endswith("/")):
+                at = after_raw(name, at)
+            continue
+        root = foreign[stack[-1]]
+        if root and not end and name in LEAVES:
+            del stack[stack.index(root) :]
+            root = foreign[stack[-1]]
+        if end:
+            depth = next((d for d in range(len(stack) - 1, 0, -1) if names[stack[d]] == name), 0)
+            root = within[stack[depth]] if depth else root
+        if name in PARTS if root else name not in INLINE:
             if block:
                 page.blocks.append(block)
                 block = []
         if end:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] == name:
-                    del stack[depth:]
-                    break
+            if depth:
+                del stack[depth:]
             continue
-        if name in VOID:
+        if root or name in FOREIGN:
+            if own.endswith("/"):
+                continue
+        elif name in VOID:
             continue
-        if name in CLOSES_P:
-            close(frozenset(["p"]), frozenset(["article", "aside", "blockquote", "body", "button", "div", "footer", "form", "header", "li", "main", "nav", "section", "td", "th"]))
+        elif name in CLOSES_P:
+            close(frozenset(["p"]), P_SCOPE)
         elif name in CLOSES:
             close(*CLOSES[name])
+        within.append(root)
+        foreign.append(0 if root and name in HOLDS_HTML else root or len(tags) * (name in FOREIGN))
+        unseen.append(unseen[stack[-1]] or root > 0 and tags[root] == "svg" and name in UNSEEN)
         parent.append(stack[-1])
-        tags.append(name)
+        names.append(name)
+        tags.append(name if not root or name == "a" else f"{tags[root]}:{name}")
         attributes.append(own)
         length.append(0)
         stack.append(len(tags) - 1)
@@ -222,7 +266,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
     rng = random.Random(seed)
     parts = "ka lo mi ne ru sta ver in al to re sen di ma or an per qui fel do".split()
 
-    def words(a: int, b: int) -> str:
+    fallback = random.Random(f"fallback {seed}")  # of its own, so that the rest of the pages is what it is without
+
+    def words(a: int, b: int, rng: random.Random = rng) -> str:
         return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(a, b)))
 
     def sentences(a: int, b: int) -> str:
@@ -277,6 +323,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
                 body.append(other("inside"))
         if rng.random() < 0.15:
             body.append(other("comments"))
+        if fallback.random() < 0.1:
+            body.append(f"<{(t := fallback.choice(['noscript', 'object']))}><p>{words(3, 18, fallback)}.</p></{t}>")
         tag, names = rng.choice([("article", ""), ("article", "post|entry|story|hentry"), ("main", ""), ("main", "content"), ("div", "content|article|post|entry-content|story|main-text|article-body|post-content"), ("section", "content|article|story")])
         attribute = f' {rng.choice(["class", "id"])}="{rng.choice(names.split("|"))}"' if names else ""
         article = f"<{tag}{attribute}>{''.join(body)}</{tag}>"
@@ -284,6 +332,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
             article = f"<main>{article}</main>"
         before = [other("top") for _ in range(rng.randint(0, 3))]
         after = [other("bottom") for _ in range(rng.randint(0, 3))]
+        if fallback.random() < 0.1:
+            before.insert(0, f'<noscript data-content="0">{words(3, 12, fallback)}.</noscript>')
         middle = "".join(before) + article + "".join(after)
         if rng.random() < 0.3:
             middle = f'<div class="{rng.choice(["wrapper", "container", "page", "row", "layout"])}">{middle}</div>'

@@ -256,6 +256,27 @@ def test_html(spark):
     assert wrong < 0.02 * total
 
 
+def test_html_loses_no_text_to_what_looks_raw():
+    model = htmltext.train(htmltext.labelled_pages())
+    inside = {
+        "<p>one <svg-icon name=x></svg-icon> two</p><p>three</p>": "one two three",
+        "<p>one <svg width=1/> two</p><p>three</p>": "one two three",
+        "<p>one <math/> two</p><math-field>x</math-field><p>three <template-x>y</template-x> z</p>": "one two x three y z",
+        "<p>one <svg width=1> two</p><p>three</p>": "one two three",
+        "<p>one <svg width=1> two<h2>three</h2><p>four</p>": "one two three four",
+        "<p>one <svg><style/><path d=x /><script href=x /></svg> two</p><p>three</p>": "one two three",
+        "<p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math>, then</p>": "so a=1, then",
+        "<p>a <object data=x><p>shown instead</p></object> b</p><noscript><p>no script</p></noscript><p>c</p>": "a shown instead b no script c",
+        "<p>a<script>'<p' + \"<!--\"</script>b</p><textarea>no</textarea><iframe>no</iframe><template>no<template>no</template>no</template><p>c</p>": "ab c",
+        "<p>a<svg>x</svg>b</p>": "axb",
+    }
+    for html, text in inside.items():
+        page = f"<html><body><nav><a href=x>menu</a></nav><noscript>Turn scripts on.</noscript><article><p>Start.</p>{html}</article></body></html>"
+        assert htmltext.main_text(page, model) == f"Start. {text}", html
+    parsed = htmltext.parse("<p>a <svg><title>Icon</title><text>b</text><text>c</text><foreignObject><p>d</p></foreignObject></svg> e</p>")
+    assert ["".join(text for _, text in block).strip() for block in parsed.blocks] == ["a", "b", "c", "d", "e"]
+
+
 def test_marginals_are_exact():
     import itertools
 
