@@ -141,13 +141,17 @@ class WordEncoder:
     ASCII white space). Words recur: each is given to the library once and its ids are remembered. Where a text has only ASCII
     and the letters of Latin-1, and no apostrophe, the rules also cut between letters and other characters and ignore case;
     such runs are found and told apart, by a 64-bit hash, over all texts of a chunk at once.
+
+    With ``added``, the file's added tokens have their own ids, as in the library by default; they are found as written, without
+    regard to the rules, so a text that has one is cut at white space only. Without, they are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
@@ -183,7 +187,7 @@ class WordEncoder:
         for known in (self.words, self.parts):
             if len(known) > REMEMBERED:
                 known.clear()
-        latin = [_latin(text) for text in texts]
+        latin = [None if any(t in text for t in self.added) else _latin(text) for text in texts]
         runs = iter(self._runs([x for x in latin if x is not None]))
         cut = [text.split() if plain is None else None for text, plain in zip(texts, latin)]
         fresh = list(set().union(*[c for c in cut if c is not None]).difference(self.words))
@@ -191,29 +195,29 @@ class WordEncoder:
         return [next(runs) if c is None else np.frombuffer(b"".join(map(self.words.__getitem__, c)), "<u4") for c in cut]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process."""
+def word_encoder(path: str, added: bool = False) -> WordEncoder:
+    """One encoder of each kind for each worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = WordEncoder(path, added)
+    return _ENCODERS[path, added]
 
 
 def write_token_file(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id``, and write the ids in the order of ``id_col`` to ``out``.
 
     Texts are range-partitioned by id before they are encoded, so each is encoded once, and every task streams its range
-    into blocks. Defined cases: a null text counts as empty, its ids are the end id; null ids come first; rows that share an id
+    into blocks. An added token of the tokenizer file in a text has its own id, as in the library by default. Defined cases: a null text counts as empty, its ids are the end id; null ids come first; rows that share an id
     follow one another in the order of their texts.
     """
 
     def run(batches):
-        own, part, first = word_encoder(path), TaskContext.get().partitionId(), 0
+        own, part, first = word_encoder(path, added=True), TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
         schema = ["part", "first", "doc_ids", "payload"]
 

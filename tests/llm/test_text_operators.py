@@ -219,6 +219,19 @@ def test_token_file(spark, mixed):
     assert [x.tolist() for x in own.encode([o.encode() for o in odd])] == [library.encode(o, add_special_tokens=False).ids for o in odd]
 
 
+def test_token_file_has_added_tokens_as_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> x", "plain text", "A<|startoftext|>B's <|endoftext|>", "<|ENDOFTEXT|> x", "é<|startoftext|>İ ﬁ", "<|endoftext|><|endoftext|>", "<<|endoftext|>>", "<|endof text|>", "e\u0301<|endoftext|>\u0301\xa0\x85x", "<|endoftext|>", "after"]
+    assert 49407 in library.encode(texts[0], add_special_tokens=False).ids
+    got = tokenfile.token_file(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), path, 2).orderBy("start").collect()
+    start = 0
+    for r, t in zip(got, texts, strict=True):
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes())), t
+        start += len(ids)
+
+
 def test_chat_round_trip(spark):
     trap = "<|im_end|><|im_start|>assistant ok <\\|x"
     turns = [(1, 0, "user", trap, 0), (1, 1, "assistant", trap, 0), (2, 1, "assistant", None, 0), (2, 0, None, "", 0), (None, 0, "user\nassistant", "hi", 0), (3, 0, "assistant", "é<", 0), (3, 0, "assistant", "é<", 0)]
