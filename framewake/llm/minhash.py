@@ -14,7 +14,8 @@ components, which draw in most of what belongs together. While a bucket still ho
 further pivots follow, from its smallest components first, 64, 4096, ... a round, until
 every pair of classes of one bucket is either in one component or compared. So no link within a bucket is lost, and
 a group of m near copies costs about m comparisons. A shingle that no other candidate has is in no intersection: pairs
-for which the counts of such shingles rule a link out are not compared. Comparisons use whole shingle sets, streamed by pivot; a pivot with
+for which the counts of such shingles rule a link out are not compared. An id with several different texts is compared
+by all of them, so counts of one text rule nothing out for it: its n is null. Comparisons use whole shingle sets, streamed by pivot; a pivot with
 many partners is dealt to several tasks.
 """
 
@@ -167,7 +168,7 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         most = "least(n - own, nb - ownb)"
         pairs = (
             members.join(pivots, "key").where("comp != cb")
-            .where(f"100 * {most} >= {percent} * (n + nb - {most})")
+            .where(f"coalesce(100 * {most} >= {percent} * (n + nb - {most}), true)")
             .select(F.least("id", "b").alias("lo"), F.greatest("id", "b").alias("hi"), F.col("id").alias("a"), "b")
             .groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("b", "a")).alias("p")).select("p.*", "lo", "hi")
         )
@@ -220,8 +221,10 @@ def near_duplicates(
     mates = members.groupBy("id").agg(F.sum("weight").alias("mates"))
     texts = materialise(rows_in.join(mates.select("id").hint("merge"), "id", "left_semi"), "texts")
     members = members.join(mates, "id").join(own_shingles(texts, size), "id", "left")
-    members = members.select("key", "id", "n", F.coalesce("own", F.lit(0)).alias("own"), "mates")
-    members = materialise(members.where(f"100 * (n - own) >= {percent} * n"), "members")
+    several = named.groupBy("id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x != y").select("id", F.lit(True).alias("several"))
+    members = members.join(several.hint("merge"), "id", "left")
+    members = members.select("key", "id", F.when(F.col("several").isNull(), F.col("n")).alias("n"), F.coalesce("own", F.lit(0)).alias("own"), "mates")
+    members = materialise(members.where(f"coalesce(100 * (n - own) >= {percent} * n, true)"), "members")
     labels = None if members.isEmpty() else _links(members, texts, size, percent)
 
     known = classes.where("copies > 1").select("same", "id") if labels is None else (

@@ -92,6 +92,15 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == label
 
 
+def test_near_duplicates_of_one_of_several_texts_of_an_id(spark):
+    rng = random.Random(5)
+    base = words(rng, 104, 10**6).split()
+    near = base[:-1] + ["new"]
+    rows = [(5, " ".join(base), "s"), (5, words(rng, 150, 10**6), "s"), (7, " ".join(near), "s"), (8, words(rng, 104, 10**6), "s")]
+    got = minhash.near_duplicates(documents(spark, rows)).collect()
+    assert {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got} == {(5, 100): 5, (5, 146): 5, (7, 100): 5, (8, 100): 8}
+
+
 def test_exact_duplicates(mixed):
     df, rows = mixed
     key = lambda t: re.sub(r"[\x20\x09-\x0D]+", "", t or "")
