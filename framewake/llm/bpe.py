@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from . import textkit as T
 from .common import only
 
-#: entries after which a worker's memory of encoded pieces is emptied; it speeds up, and changes nothing
-REMEMBERED = 500_000
+#: bytes, roughly, after which a worker's memory of encoded pieces is emptied; it speeds up, and changes nothing
+REMEMBERED_BYTES = 48 << 20
 #: characters up to which an encoded piece is remembered
 REMEMBERED_CHARS = 64
 #: bytes of text that are encoded together
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _TWO_SPACES = re.compile(r"\s\s|^\s|\s$")
 
 
@@ -50,6 +50,14 @@ class Encoder:
         self.waiting = [0] * ((len(self.bytes) >> 8) + 1)
         self.tokens: dict[str, list[int]] = {}
         self.spaced: dict[str, list[int]] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Give back what has been remembered."""
+        self.tokens.clear()
+        self.spaced.clear()
+        self.held = 0
+        T.release()
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair of tokens makes, -1 if none."""
@@ -167,10 +175,8 @@ class Encoder:
         text may be cut before each space. Such pieces and matches recur: each is worked out once, and short ones are
         remembered for later calls.
         """
-        if len(self.tokens) > REMEMBERED:
-            self.tokens.clear()
-        if len(self.spaced) > REMEMBERED:
-            self.spaced.clear()
+        if self.held > REMEMBERED_BYTES:
+            self.forget()
         known, spaced, find = self.tokens, self.spaced, self.pattern.findall
         heads, tails, fresh = [], [], set()
         for text in texts:
@@ -197,6 +203,7 @@ class Encoder:
         for piece in fresh:
             if len(piece) > REMEMBERED_CHARS:
                 del spaced[piece]
+        self.held += sum(200 + len(k) + 40 * len(known.get(k, ())) for k in need) + sum(160 + len(k) + 8 * len(spaced.get(k, ())) for k in fresh)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -222,6 +229,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             for i, j, _, _ in T.chunks(batch.column(1), CHUNK_BYTES):
                 ids = own.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+        own.forget()
 
     out = only(docs, id=id_col, text=text_col).mapInArrow(run, "id long, ids array<int>")
     return out.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_tokens"))
@@ -263,6 +271,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
                     [batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(decoded, pa.string())],
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        own.forget()
 
     out = only(docs, id=id_col, text=text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

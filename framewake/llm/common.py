@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and all runs on one machine (tests) a temporary folder is made and set; on a
+    cluster a machine's own folder would lose rows, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="framewake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,7 +30,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``materialise`` has written of these tables, once nothing reads them any more."""
+    for df in tables:
+        if (path := getattr(df, "written_to", None)) is not None:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

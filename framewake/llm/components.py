@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
             both.join(labels.select(F.col("id").alias("b"), "label"), "b")
             .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         )
-        hooked = labels.join(near, "id", "left").select("id", "label", F.least("label", "near").alias("to"))
+        hooked = labels.select("id", "label").join(near, "id", "left").select("id", "label", F.least("label", "near").alias("to"))
         above = labels.select(F.col("id").alias("to"), F.col("label").alias("top"))
         jumped = materialise(
             hooked.join(above, "to", "left").select("id", F.least("to", "top").alias("label"), (F.least("to", "top") != F.col("label")).alias("moved")),
             "labels",
         )
-        labels = jumped.select("id", "label")
+        discard(labels)
+        labels = jumped
         if jumped.where("moved").isEmpty():
-            return labels
+            discard(both)
+            return jumped.select("id", "label")

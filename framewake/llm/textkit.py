@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +23,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, U(base % (1 << 64)))
-    out[0] = U(1)
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POW = _powers(1, _PRIME)
-_INV = _powers(1, pow(_PRIME, -1, 1 << 64))
-#: a random-looking 64-bit value for each byte; A-Z share those of a-z
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U(_PRIME))
-BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
+#: A-Z to a-z, all other bytes as they are
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: words of more bytes than this are hashed one by one
+LONG_WORD = 256
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
 #: bytes of words split at white space
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -80,14 +76,59 @@ def word_spans(buf: np.ndarray, at: np.ndarray, member: np.ndarray) -> tuple[np.
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, with A-Z taken as a-z: a polynomial of its bytes, mixed with its length."""
-    global _POW, _INV
-    if len(buf) >= len(_POW):
-        n = max(CHUNK_BYTES + 1, 2 * len(buf))
-        _POW, _INV = _powers(n, _PRIME), _powers(n, pow(_PRIME, -1, 1 << 64))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[buf] * _POW[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _INV[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of every word, with A-Z taken as a-z.
+
+    Eight bytes at a time are mixed into the hash by a bijection that isn't linear, so words of one length that differ
+    in a single block never collide, and no plain family of words does. Long words are hashed by BLAKE2b.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    low = np.zeros(len(buf) + 8, np.uint8)
+    low[: len(buf)] = LOWER[buf]
+    block = np.ndarray((len(buf) + 1,), "<u8", low.data, 0, (1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * U(_PRIME))
+    live, at, left = np.arange(len(starts)), starts, size
+    if (long := size > LONG_WORD).any():
+        where = np.flatnonzero(long)
+        for k, a, b in zip(where.tolist(), starts[where].tolist(), ends[where].tolist()):
+            out[k] = int.from_bytes(hashlib.blake2b(low[a:b].data, digest_size=8).digest(), "little")
+        live = np.flatnonzero(~long)
+        at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] * U(_PRIME) ^ (block[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct word first is among the words, and which of these every word is, A-Z taken as a-z.
+
+    Words are told apart by hash and then compared byte by byte; should any two collide, all are told apart by their bytes.
+    """
+    _, first, which = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    low = np.zeros(len(buf) + 8, np.uint8)
+    low[: len(buf)] = LOWER[buf]
+    block = np.ndarray((len(buf) + 1,), "<u8", low.data, 0, (1,))
+    size, a, b = ends - starts, starts, starts[first][which]
+    same = (size == size[first][which]).all()
+    live = np.flatnonzero(same & (size > 0) & (a != b))
+    long = size[live] > LONG_WORD
+    for k in live[long].tolist():
+        same &= low[a[k] : a[k] + size[k]].tobytes() == low[b[k] : b[k] + size[k]].tobytes()
+    live = live[~long]
+    a, b, left = a[live], b[live], size[live]
+    while len(a) and same:
+        same &= not ((block[a] ^ block[b]) & _KEEP[np.minimum(left, 8)]).any()
+        more = left > 8
+        a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+    if not same:
+        found: dict[bytes, int] = {}
+        data = low.tobytes()
+        which = np.array([found.setdefault(data[i:j], len(found)) for i, j in zip(starts.tolist(), ends.tolist())], np.int64)
+        _, first = np.unique(which, return_index=True)
+    return first, which
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +144,13 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     length = np.minimum(counts, size)[row]
     out = length.astype(np.uint64)
     for j in range(size):
-        out = out * _SHINGLE + np.where(length > j, padded[pos + j], U(0))
-    return mix(out), begin
+        out = mix(out * _SHINGLE ^ np.where(length > j, padded[pos + j], U(0)))
+    return out, begin
+
+
+def release() -> None:
+    """Give freed buffers back to the machine: workers outlive their tasks and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
 
 
 def distinct_by_row(values: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
