@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialise, only
 
-#: benchmark shingles up to which they are broadcast; beyond, the join shuffles
-BROADCAST_SHINGLES = 2_000_000
+#: bytes of a benchmark's windows, or of what was found, up to which they are broadcast; beyond, the join shuffles
+BROADCAST_BYTES = 64 << 20
 
 
 def _words(text: Column) -> Column:
@@ -24,7 +24,7 @@ def _shingle(words: str, i: Column, size: int) -> Column:
 
 
 def _windows(items: DataFrame, window: int, size: int) -> DataFrame:
-    """Each distinct window once: its length, its shingles in order, and its items. Longest windows: ``window`` words."""
+    """Each distinct window once: its words, their number, its shingles in order, and its items. Longest windows: ``window`` words."""
     words = items.select("item", _words(F.col("text")).alias("w")).where("size(w) > 0")
     cut = words.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.slice("w", i + 1, window))).alias("w"))
     cut = cut.groupBy("w").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
@@ -32,17 +32,23 @@ def _windows(items: DataFrame, window: int, size: int) -> DataFrame:
     short = [F.when(F.size("w") == n, F.array(_shingle("w", F.lit(0), n))) for n in range(1, size)]
     full = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: _shingle("w", i, size))
     shingles = F.coalesce(*short, F.when(F.size("w") >= size, full))
-    return cut.select(F.least(F.size("w"), F.lit(size)).alias("size"), F.size("w").alias("len"), shingles.alias("shingles"), "items")
+    return cut.select(F.least(F.size("w"), F.lit(size)).alias("size"), F.size("w").alias("len"), "w", shingles.alias("shingles"), "items")
 
 
-def _bounded(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= BROADCAST_SHINGLES else table.hint("merge")
+def _bytes(*strings: str) -> Column:
+    """About the bytes that rows with these arrays of strings take."""
+    each = [F.octet_length(F.array_join(s, "")) + 24 * F.size(s) for s in strings]
+    return F.coalesce(F.sum(sum(each) + 200), F.lit(0)).alias("bytes")
+
+
+def _bounded(table: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table.hint("merge")
 
 
 def _occurrences(words: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    """(id, h, n, times, occ): the windows of shingles of ``size`` words that occur in each document, as start, end, items."""
+    """(id, h, n, times, occ): the windows of shingles of ``size`` words that occur in each document, as start, end, w, items."""
     shingles = materialise(windows.select(F.explode("shingles").alias("s")).distinct(), "shingles")
-    known = shingles.count()
+    known = windows.agg(_bytes("w", "items")).first()["bytes"]  # a window has no more shingles than words
     at = F.transform("w", lambda w, i: F.when(i <= F.size("w") - size, _shingle("w", i, size)))
     spread = words.select("id", "h", F.size("w").alias("n"), F.posexplode_outer(at).alias("pos", "s"))
     met = spread.join(_bounded(shingles.withColumn("known", F.lit(True)), known), "s", "left")
@@ -52,10 +58,10 @@ def _occurrences(words: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     # the order of rarity over the whole corpus; of equally rare shingles the least hash, so that neighbouring windows share it
     rarity = met.where("s is not null").groupBy("s").agg(F.count("*").alias("seen"))
     places = windows.select("*", F.posexplode("shingles").alias("off", "s")).join(rarity, "s")
-    first = places.groupBy("shingles").agg(F.min(F.struct("seen", "s", "off")).alias("first"), F.first("len").alias("len"), F.first("items").alias("items"), F.count("*").alias("found"))
+    first = places.groupBy("shingles").agg(F.min(F.struct("seen", "s", "off")).alias("first"), F.first("len").alias("len"), F.first("w").alias("w"), F.first("items").alias("items"), F.count("*").alias("found"))
     # a shingle that no document has rules its window out
     first = first.where(F.col("found") == F.size("shingles"))
-    prefix = first.groupBy(F.col("first.s").alias("s")).agg(F.collect_list(F.struct(F.col("first.off").alias("off"), F.size("shingles").alias("k"), "len", "shingles", "items")).alias("windows"))
+    prefix = first.groupBy(F.col("first.s").alias("s")).agg(F.collect_list(F.struct(F.col("first.off").alias("off"), F.size("shingles").alias("k"), "len", "shingles", "w", "items")).alias("windows"))
     joined = met.join(_bounded(prefix, known), "s", "left")
 
     # a document's matches in order: what one document has, no more
@@ -79,7 +85,7 @@ def _occurrences(words: DataFrame, windows: DataFrame, size: int) -> DataFrame:
 
         return F.transform(
             F.filter(c["windows"], occurs),
-            lambda w: F.struct((c["pos"] - w["off"]).alias("start"), (c["pos"] - w["off"] + w["len"]).alias("end"), w["items"].alias("items")),
+            lambda w: F.struct((c["pos"] - w["off"]).alias("start"), (c["pos"] - w["off"] + w["len"]).alias("end"), w["w"].alias("w"), w["items"].alias("items")),
         )
 
     return docs.select("id", "h", "n", "times", F.flatten(F.transform("want", verified)).alias("occ"))
@@ -94,7 +100,8 @@ def contamination(
     Both sides become shingles of ``size`` words. One pass over the corpus keeps the positions of benchmark shingles and
     counts them; a window, which must be contained whole, then has a prefix of one shingle: its rarest. Only documents
     with that shingle are candidates; they must pass the positional and length bounds, and are verified by all shingles
-    of the window at their places. Texts are never shuffled, only matched positions are.
+    of the window at their places, and at last by the words in their texts, which are read again. Texts aren't shuffled,
+    only matched positions are, as long as what is found has a size for a broadcast.
 
     Returns, for each row: ``id_col``, n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated.
 
@@ -112,6 +119,15 @@ def contamination(
         for part in parts[1:]:
             found = found.union(part)
         found = found.groupBy("id", "h", "n").agg(F.first("times").alias("times"), F.flatten(F.collect_list("occ")).alias("occ"))
+    found = materialise(found, "found")
+    # hashes have led here; the words decide, in the texts of the documents found
+    hits = found.where(F.size("occ") > 0).select(F.col("id").alias("of"), F.col("h").alias("of_h"), "occ")
+    size_found = found.select(F.explode("occ").alias("o")).select("o.*").agg(_bytes("w", "items")).first()["bytes"]
+    rightly = F.filter("occ", lambda o: F.slice("w", o["start"] + 1, o["end"] - o["start"]) == o["w"])
+    checked = rows.join(_bounded(hits, size_found), F.col("id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_h")))
+    checked = checked.select("id", _words(F.col("text")).alias("w"), "occ").select("id", F.size("w").alias("n"), rightly.alias("occ"))
+    clean = found.where(F.size("occ") == 0).select("id", "n", "occ", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_"))
+    found = clean.drop("_").union(checked)
     ordered = F.array_sort(F.transform("occ", lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))))
     # words of each occurrence beyond the last one that was counted
     hit = F.aggregate(
@@ -120,7 +136,7 @@ def contamination(
         lambda a: a["hit"],
     )
     named = F.sort_array(F.array_distinct(F.flatten(F.transform("occ", lambda o: o["items"]))))
-    out = found.select("id", "n", hit.alias("n_hit"), named.alias("items"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_"))
+    out = found.select("id", "n", hit.alias("n_hit"), named.alias("items"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -34,25 +34,29 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
 
 def drop_boilerplate(
     docs: DataFrame, site_col: str = "source", text_col: str = "text", *, ratio: float = RATIO, least_pages: int = LEAST_PAGES,
+    lines_col: str | None = "n_lines", dropped_col: str | None = "n_dropped",
 ) -> DataFrame:
     """Drop, from every text, the lines that are on more than ``ratio`` of the pages of its site.
 
-    Returns all columns of ``docs`` with ``text_col`` rewritten, and n_lines and n_dropped added (columns of those names
-    are replaced). Lines are compared without the blanks at their ends; blank lines stay. Texts aren't shuffled while all
-    sites' boilerplate fits a broadcast.
+    Returns all columns of ``docs`` with ``text_col`` rewritten, and, unless their names are None, ``lines_col`` and
+    ``dropped_col`` with the lines that a text had and lost; columns of those names are replaced, all others pass whatever
+    they are called. Lines are compared without the blanks at their ends; blank lines stay. Texts aren't shuffled while
+    all sites' boilerplate fits a broadcast.
 
     Defined cases: a null text stays null with no lines; an empty text is one blank line; rows without a site form a site;
-    a repeated row is a page more; a site with fewer than ``least_pages`` pages loses nothing; an empty table stays empty.
+    a repeated row is a page more; a line that a page repeats counts once for it and goes each time; a site with fewer than
+    ``least_pages`` pages loses nothing; an empty table stays empty.
     """
     pages = only(docs, site=site_col, text=text_col)
     found = materialise(boilerplate(pages, ratio, least_pages), "boilerplate")
     many = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first()["n"]
-    found = found.select(F.col("site").alias("__site"), F.col("lines").alias("__lines"))
+    found = found.select(F.col("site").alias("of"), F.col("lines").alias("common"))
     found = F.broadcast(found) if many <= BROADCAST_LINES else found.hint("merge")
-    joined = docs.drop("n_lines", "n_dropped").join(found, F.col(f"`{site_col}`").eqNullSafe(F.col("__site")), "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    kept = F.when(F.col("__lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__lines", _key(x)), F.lit(False))))
-    joined = joined.withColumn("__all", lines).withColumn("__kept", kept)
-    joined = joined.withColumn("n_lines", F.when(F.col("__all").isNull(), 0).otherwise(F.size("__all")).cast("long"))
-    joined = joined.withColumn("n_dropped", F.when(F.col("__all").isNull(), 0).otherwise(F.size("__all") - F.size("__kept")).cast("long"))
-    return joined.withColumn(text_col, F.array_join("__kept", "\n")).drop("__site", "__lines", "__all", "__kept")
+    # the row as it is in one column: its names can't clash with those in use here
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{site_col}`").alias("site"), F.split(F.col(f"`{text_col}`"), "\n").alias("lines"))
+    joined = packed.join(found, F.col("site").eqNullSafe(F.col("of")), "left")
+    kept = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.coalesce(F.array_contains("common", _key(x)), F.lit(False))))
+    joined = joined.select("row", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n"), kept.alias("kept"))
+    added = {lines_col: F.col("n"), dropped_col: F.col("n") - F.when(F.col("kept").isNull(), 0).otherwise(F.size("kept"))}
+    same = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return joined.select(*same, *[v.alias(c) for c, v in added.items() if c is not None])
