@@ -1,7 +1,11 @@
 """The corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
-A stage is a function of (spark, docs, sf_dir). All but the last return the columns of ``documents``. Rows that share a
-doc_id are kept or dropped together.
+A stage is a function of (spark, docs, sf_dir). All but the last return the columns of their input, whatever else it has.
+
+Defined cases, of every stage: an empty table stays empty; a null or empty text is judged as a text of no bytes by
+``quality`` and passes the stages after it; repeated rows share their fate; rows that share a doc_id are kept or dropped
+together by ``near_dedup`` and ``decontaminate``, and each on its own text by ``quality``; rows without a doc_id are never
+dropped by those two. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from framewake.llm.quality import keep_good, train
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows whose doc_id isn't in ``dropped``; null ids stay. A merge join at every size, as ``dropped`` grows with the corpus."""
-    return docs.join(dropped.select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped.select("doc_id").hint("merge"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go, from all documents; n_chars follows the text."""
-    return drop_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    out = drop_boilerplate(docs, lines_col=None, dropped_col=None)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
