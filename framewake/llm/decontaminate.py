@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialise, only
 
-#: bytes of a benchmark's windows, or of what was found, up to which they are broadcast; beyond, the join shuffles
+#: bytes of a benchmark's windows, or of the names of documents with finds, up to which they are broadcast; beyond, joins shuffle
 BROADCAST_BYTES = 64 << 20
 
 
@@ -100,8 +100,8 @@ def contamination(
     Both sides become shingles of ``size`` words. One pass over the corpus keeps the positions of benchmark shingles and
     counts them; a window, which must be contained whole, then has a prefix of one shingle: its rarest. Only documents
     with that shingle are candidates; they must pass the positional and length bounds, and are verified by all shingles
-    of the window at their places, and at last by the words in their texts, which are read again. Texts aren't shuffled,
-    only matched positions are, as long as what is found has a size for a broadcast.
+    of the window at their places, and at last by the words of their texts, which are read again. Only matched positions and
+    those texts are shuffled, as long as the names of the documents found have a size for a broadcast.
 
     Returns, for each row: ``id_col``, n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated.
 
@@ -122,9 +122,12 @@ def contamination(
     found = materialise(found, "found")
     # hashes have led here; the words decide, in the texts of the documents found
     hits = found.where(F.size("occ") > 0).select(F.col("id").alias("of"), F.col("h").alias("of_h"), "occ")
-    size_found = found.select(F.explode("occ").alias("o")).select("o.*").agg(_bytes("w", "items")).first()["bytes"]
+    this = F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))
+    texts = rows.withColumn("h", F.xxhash64("text"))
+    named = hits.select("of", "of_h")
+    few = texts.join(_bounded(named, 64 * named.count()), this, "left_semi")
     rightly = F.filter("occ", lambda o: F.slice("w", o["start"] + 1, o["end"] - o["start"]) == o["w"])
-    checked = rows.join(_bounded(hits, size_found), F.col("id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_h")))
+    checked = few.join(hits.hint("merge"), this)
     checked = checked.select("id", _words(F.col("text")).alias("w"), "occ").select("id", F.size("w").alias("n"), rightly.alias("occ"))
     clean = found.where(F.size("occ") == 0).select("id", "n", "occ", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_"))
     found = clean.drop("_").union(checked)
