@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from . import textkit as T
 from .common import only
 
-#: bytes, roughly, after which a worker's memory of encoded pieces is emptied; it speeds up, and changes nothing
-REMEMBERED_BYTES = 48 << 20
+#: bytes, roughly, of encoded pieces that a worker remembers in each of two generations; it speeds up, and changes nothing
+REMEMBERED_BYTES = 96 << 20
 #: characters up to which an encoded piece is remembered
 REMEMBERED_CHARS = 64
 #: bytes of text that are encoded together
@@ -48,14 +48,15 @@ class Encoder:
         self.pair_ranks = np.array([made[k] for k in self.pair_keys.tolist()], np.int64)
         #: bitmaps of the ranks that wait, 256 a word; all clear between pieces
         self.waiting = [0] * ((len(self.bytes) >> 8) + 1)
-        self.tokens: dict[str, list[int]] = {}
-        self.spaced: dict[str, list[int]] = {}
-        self.held = 0
+        self.codes = [np.uint32(k).tobytes() for k in range(len(self.bytes))]
+        #: the ids, as little-endian 32-bit integers, of matches, and of pieces that follow a space; and older ones
+        self.forget()
 
     def forget(self) -> None:
         """Give back what has been remembered."""
-        self.tokens.clear()
-        self.spaced.clear()
+        self.tokens: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.held = 0
         T.release()
 
@@ -66,6 +67,10 @@ class Encoder:
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self._merge(pieces)]
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
         """Merge, in each piece, the pair of the least rank, the leftmost first, until none is in the vocabulary.
 
         All pieces share one linked list over the positions of their parts' first bytes, in which pieces end at a
@@ -76,7 +81,7 @@ class Encoder:
         pair of no greater rank, which a trained vocabulary doesn't, the bucket's order may matter; then the piece is done
         again one position at a time.
         """
-        out = [[rank] if (rank := self.ranks.get(piece)) is not None else None for piece in pieces]
+        out = [self.codes[rank] if (rank := self.ranks.get(piece)) is not None else None for piece in pieces]
         todo = [k for k, ids in enumerate(out) if ids is None and pieces[k]]
         data = b"".join([pieces[k] for k in todo])
         n, none = len(data), self.size - 1
@@ -138,13 +143,13 @@ class Encoder:
                     again += np.unique(np.searchsorted(begin, new[live & (found <= rank)], side="right") - 1).tolist()
                 wait(new[live], found[live])
         alive = pair[:n] != -2
-        flat = ids[:n][alive].tolist()
-        ends = np.concatenate([[0], np.cumsum(alive)])[begin].tolist()
+        flat = ids[:n][alive].astype("<u4").tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(alive)])[begin]).tolist()
         for k, a, b in zip(todo, ends, ends[1:]):
             out[k] = flat[a:b]
         for k in set(again):
-            out[todo[k]] = self._merge_singly(pieces[todo[k]])
-        return [ids or [] for ids in out]
+            out[todo[k]] = np.array(self._merge_singly(pieces[todo[k]]), "<u4").tobytes()
+        return [ids or b"" for ids in out]
 
     def _merge_singly(self, piece: bytes) -> list[int]:
         """The same for one piece, one position at a time, with a heap of ranks and positions."""
@@ -169,14 +174,18 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of whole texts."""
+        return [ids.tolist() for ids in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts.
 
         Where white space is a single character between two others, a space belongs to the match that follows it, so the
         text may be cut before each space. Such pieces and matches recur: each is worked out once, and short ones are
-        remembered for later calls.
+        remembered for later calls. When there are too many, those not met since the last time are forgotten.
         """
         if self.held > REMEMBERED_BYTES:
-            self.forget()
+            self.older, self.tokens, self.spaced, self.held = (self.tokens, self.spaced), {}, {}, 0
         known, spaced, find = self.tokens, self.spaced, self.pattern.findall
         heads, tails, fresh = [], [], set()
         for text in texts:
@@ -184,26 +193,37 @@ class Encoder:
             heads.append(find(first))
             tails.append(rest)
             fresh.update(rest)
-        fresh.difference_update(spaced.keys())
+
+        def recall(wanted: set, now: dict, older: dict) -> None:
+            wanted.difference_update(now.keys())
+            again = wanted & older.keys()
+            wanted -= again
+            for x in again:
+                now[x] = older[x]
+                self.held += 200 + len(x) + len(now[x])
+
+        recall(fresh, spaced, self.older[1])
         cut = {piece: find(" " + piece) for piece in fresh}
+        alone = {found[0] for found in cut.values() if len(found) == 1}
         need = {token for found in (*heads, *cut.values()) for token in found}
-        need = list(need.difference(known.keys()))
-        known.update(zip(need, self.merge([token.encode() for token in need])))
+        recall(need, known, self.older[0])
+        need = list(need)
+        known.update(zip(need, self._merge([token.encode() for token in need])))
         for piece, found in cut.items():
-            spaced[piece] = known[found[0]] if len(found) == 1 else [x for token in found for x in known[token]]
+            spaced[piece] = known[found[0]] if len(found) == 1 else b"".join([known[token] for token in found])
         out = []
         for head, rest in zip(heads, tails):
-            ids = [x for token in head for x in known[token]]
-            for piece in rest:
-                ids += spaced[piece]
-            out.append(ids)
+            out.append(np.frombuffer(b"".join([known[token] for token in head] + [spaced[piece] for piece in rest]), "<u4"))
         for token in need:
-            if len(token) > REMEMBERED_CHARS:
+            if len(token) > REMEMBERED_CHARS or token in alone:  # ``spaced`` has it
                 del known[token]
+            else:
+                self.held += 200 + len(token) + len(known[token])
         for piece in fresh:
             if len(piece) > REMEMBERED_CHARS:
                 del spaced[piece]
-        self.held += sum(200 + len(k) + 40 * len(known.get(k, ())) for k in need) + sum(160 + len(k) + 8 * len(spaced.get(k, ())) for k in fresh)
+            else:
+                self.held += 200 + len(piece) + len(spaced[piece])
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -227,8 +247,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         own = encoder(path, pattern)
         for batch in batches:
             for i, j, _, _ in T.chunks(batch.column(1), CHUNK_BYTES):
-                ids = own.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+                ids = own.encode_arrays([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = pa.array(np.concatenate(ids).view(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "ids"])
         own.forget()
 
     out = only(docs, id=id_col, text=text_col).mapInArrow(run, "id long, ids array<int>")

@@ -31,8 +31,8 @@ WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
 #: ids after which a block is closed; a block has whole documents
 BLOCK_IDS = 1 << 18
-#: bytes, roughly, after which a worker's memory of encoded words is emptied; it speeds up, and changes nothing
-REMEMBERED_BYTES = 32 << 20
+#: bytes, roughly, of encoded words that a worker remembers in each of two generations; it speeds up, and changes nothing
+REMEMBERED_BYTES = 96 << 20
 U = np.uint64
 
 
@@ -152,19 +152,24 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not added
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()] if added else []
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-        self.held = 0
+        self.forget()
 
     def forget(self) -> None:
         """Give back what has been remembered."""
-        self.words.clear()
-        self.parts.clear()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.older: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
         self.held = 0
         T.release()
 
-    def _learn(self, known: dict, fresh: list, texts: list[str]) -> None:
-        for key, got in zip(fresh, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+    def _learn(self, known: dict, older: dict, fresh: set, letters: str) -> None:
+        """Know the ids of all ``fresh`` words, whose bytes are in ``letters``: remembered, or else from the library."""
+        again = fresh & older.keys()
+        for key in again:
+            known[key] = older[key]
+            self.held += 200 + len(key) + len(known[key])
+        fresh = list(fresh - again)
+        for key, got in zip(fresh, self.library.encode_batch_fast([x.decode(letters) for x in fresh], add_special_tokens=False)):
             known[key] = ids = array("I", got.ids).tobytes()
             self.held += 200 + len(key) + len(ids)
 
@@ -178,8 +183,7 @@ class WordEncoder:
         starts, ends = cut[own], cut[1:][own[:-1]]
         first, which = T.distinct_words(buf, starts, ends)
         runs = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        fresh = [x for x in runs if x not in self.parts]
-        self._learn(self.parts, fresh, [x.decode("latin-1") for x in fresh])
+        self._learn(self.parts, self.older[1], {x for x in runs if x not in self.parts}, "latin-1")
         found = [self.parts[x] for x in runs]
         # each run's ids, one after another: the place of an id among those of all distinct runs
         ids = np.frombuffer(b"".join(found), "<u4")
@@ -193,13 +197,12 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of whole texts in UTF-8."""
-        if self.held > REMEMBERED_BYTES:
-            self.forget()
+        if self.held > REMEMBERED_BYTES:  # those not met since the last time are forgotten
+            self.older, self.words, self.parts, self.held = (self.words, self.parts), {}, {}, 0
         latin = [None if any(t in text for t in self.added) else _latin(text) for text in texts]
         runs = iter(self._runs([x for x in latin if x is not None]))
         cut = [text.split() if plain is None else None for text, plain in zip(texts, latin)]
-        fresh = list(set().union(*[c for c in cut if c is not None]).difference(self.words))
-        self._learn(self.words, fresh, [x.decode() for x in fresh])
+        self._learn(self.words, self.older[0], set().union(*[c for c in cut if c is not None]).difference(self.words), "utf-8")
         return [next(runs) if c is None else np.frombuffer(b"".join(map(self.words.__getitem__, c)), "<u4") for c in cut]
 
 
