@@ -249,7 +249,7 @@ def write_token_file(docs: DataFrame, out: str, path: str, end_id: int, id_col:
                         ids, held, first, size = [], [], first + size, 0
         if ids:
             yield block()
-        own.forget()
+        T.release()
 
     rows = only(docs, id=id_col, text=text_col)
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
