@@ -167,11 +167,10 @@ class WordEncoder:
         again = fresh & older.keys()
         for key in again:
             known[key] = older[key]
-            self.held += 200 + len(key) + len(known[key])
         fresh = list(fresh - again)
         for key, got in zip(fresh, self.library.encode_batch_fast([x.decode(letters) for x in fresh], add_special_tokens=False)):
-            known[key] = ids = array("I", got.ids).tobytes()
-            self.held += 200 + len(key) + len(ids)
+            known[key] = array("I", got.ids).tobytes()
+        self.held += sum(200 + 3 * len(key) for key in (*again, *fresh))
 
     def _runs(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of texts as ``_latin`` gives them."""
