@@ -15,7 +15,7 @@ def element(values: Column, row: Column, column: Column, columns: Column) -> Col
 def run_length_expand(n: Column, default: Column, patches: Column) -> Column:
     """An array of ``n`` values: ``default``, overlaid by patches (value, start, length), of which the last one wins."""
     return F.transform(
-        F.sequence(F.lit(0), n - 1),
+        F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<bigint>")),
         lambda i: F.coalesce(F.try_element_at(F.filter(patches, lambda p: (i >= p["start"]) & (i < p["start"] + p["length"])), F.lit(-1))["value"], default),
     )
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _number(raw: Column) -> Column:
@@ -20,10 +18,10 @@ def _octets(value: Column, n: int) -> Column:
 
 
 def ber_length(value: Column) -> Column:
-    """The shortest BER form of a length: one octet below 128, else a count of octets and the octets."""
+    """The shortest BER form of a length: one octet below 128, else a count of octets and the octets; negative: null."""
     n = F.ceil(F.length(F.hex(value)) / 2).cast("int")
     digits = F.hex(value)
-    return F.when(value < 128, _octets(value, 1)).otherwise(F.unhex(F.concat(F.hex(n + 128), F.lpad(digits, n * 2, "0"))))
+    return F.when(value.between(0, 127), _octets(value, 1)).when(value > 127, F.unhex(F.concat(F.hex(n + 128), F.lpad(digits, n * 2, "0"))))
 
 
 def ber_length_decode(raw: Column) -> Column:
@@ -42,10 +40,11 @@ def ber_oid(value: Column, most: int = 9) -> Column:
 
 
 def ber_oid_decode(raw: Column) -> Column:
-    """The identifier at the start of ``raw``, which has no octets besides; null if it begins with 0x80."""
+    """The identifier at the start of ``raw``, which has no octets besides; null if it begins with 0x80, has over nine octets, or doesn't end."""
     octets = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: _number(raw.substr(i, F.lit(1))))
     value = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 128 + x % 128)
-    return F.when(F.element_at(octets, 1) != 128, value)
+    ends = F.forall(octets, lambda x: x >= 0) & (F.element_at(octets, -1) < 128) & (F.size(F.filter(octets, lambda x: x < 128)) == 1)
+    return F.when(F.octet_length(raw).between(1, 9), F.when((F.element_at(octets, 1) != 128) & ends, value))
 
 
 def imap_shape(low: float, high: float, length: int) -> tuple[float, float]:
@@ -69,6 +68,55 @@ def imap_decode(code: Column, low: float, high: float, length: int) -> Column:
     return F.when((code < top) | ((code == top) & F.lit(math.log2(high - low).is_integer())), (code - zero) / scale + low)
 
 
+def imap_special(raw: Column) -> Column:
+    """What a mapped value's octets signal other than a number; null for a number. An exact upper end isn't told apart here."""
+    first, rest = _number(F.substring(raw, 1, 1)), F.ltrim(F.hex(raw.substr(F.lit(2), F.octet_length(raw))), F.lit("0")) == ""
+    exact = {0xE0: "below_minimum", 0xE1: "above_maximum", 0xC8: "positive_infinity", 0xE8: "negative_infinity"}
+    family = {0xC0: "user_defined", 0xD0: "positive_quiet_nan", 0xD8: "positive_signaling_nan", 0xF0: "negative_quiet_nan", 0xF8: "negative_signaling_nan"}
+    kind = F.lit("reserved")
+    for code, name in family.items():
+        kind = F.when(first.bitwiseAND(0xF8) == code, name).otherwise(kind)
+    for code, name in exact.items():
+        kind = F.when((first == code) & rest, name).otherwise(kind)
+    return F.when(first >= 0x80, kind)
+
+
+def imap_value(raw: Column, low: float, high: float, length: int, clamp: bool = False) -> Column:
+    """value and special of ``length`` mapped octets; with ``clamp``, signals of too low and too high become the ends.
+
+    Other lengths are of neither kind: both null. Up to seven octets.
+    """
+    code, kind = _number(raw), imap_special(raw)
+    top = 1 << (8 * length - 1)
+    kind = F.when((code == top) & F.lit(math.log2(high - low).is_integer()), None).otherwise(kind)
+    value = F.when(kind.isNull(), imap_decode(code, low, high, length))
+    if clamp:
+        value = F.when(kind == "below_minimum", float(low)).when(kind == "above_maximum", float(high)).otherwise(value)
+        kind = F.when(~kind.isin("below_minimum", "above_maximum"), kind)
+    fits = F.octet_length(raw) == length
+    return F.struct(F.when(fits, value).alias("value"), F.when(fits, kind).alias("special"))
+
+
+def imap_octets(value: Column, low: float, high: float, length: int) -> Column:
+    """``length`` octets of a number: its code, or the signal of a value too low, too high, infinite or not a number."""
+    mark = lambda octet: F.lit(f"{octet:02X}" + "00" * (length - 1))
+    infinite = F.abs(value) == float("inf")
+    text = (
+        F.when(F.isnan(value), mark(0xD0)).when(infinite & (value > 0), mark(0xC8)).when(infinite, mark(0xE8))
+        .when(value < low, mark(0xE0)).when(value > high, mark(0xE1)).otherwise(F.lpad(F.hex(imap_encode(value, low, high, length)), 2 * length, "0"))
+    )
+    return F.unhex(text)
+
+
+def imapa_length(low: float, high: float, precision: float) -> int:
+    """Octets that the mapping of [low, high] needs for a precision."""
+    if not low < high or not 0 < precision < high - low:
+        raise ValueError("low < high and 0 < precision < high - low")
+    mantissa, exponent = math.frexp(high - low)
+    bits = exponent - (mantissa == 0.5) - (math.frexp(precision)[1] - 1) + 1
+    return (bits + 7) // 8
+
+
 def mapped_decode(raw: Column, bits: int, low: float, high: float, signed: bool) -> Column:
     """A linear mapping of an integer of ``bits`` bits onto [low, high]; the least signed value is a special: null."""
     if signed:
@@ -111,22 +159,30 @@ def running_sum_16(raw: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: (a + x) % 65536)
 
 
-@F.pandas_udf(T.LongType())
-def mpeg2_crc32(raw: pd.Series) -> pd.Series:
-    """CRC-32/MPEG-2 (not reflected, no final inversion), which Spark's crc32 is not."""
-    table = []
+def crc_table(polynomial: int, bits: int) -> list[int]:
+    """What each octet adds to a CRC that isn't reflected."""
+    table, top, mask = [], 1 << (bits - 1), (1 << bits) - 1
     for n in range(256):
-        c = n << 24
+        c = n << (bits - 8)
         for _ in range(8):
-            c = (c << 1 ^ 0x04C11DB7) & 0xFFFFFFFF if c >> 31 else c << 1
+            c = (c << 1 ^ polynomial if c & top else c << 1) & mask
         table.append(c)
+    return table
+
+
+def _crc(raw: Column, polynomial: int, bits: int, start: int) -> Column:
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    table = F.array(*[F.lit(x).cast("long") for x in crc_table(polynomial, bits)])
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: _number(raw.substr(i, F.lit(1))))
+    step = lambda c, x: (c * 256).bitwiseAND((1 << bits) - 1).bitwiseXOR(F.get(table, F.shiftright(c, bits - 8).bitwiseXOR(x).cast("int")))
+    return F.when(F.octet_length(raw) == 0, F.lit(start).cast("long")).otherwise(F.aggregate(octets, F.lit(start).cast("long"), step))
+
+
+def mpeg2_crc32(raw: Column) -> Column:
+    """CRC-32/MPEG-2 (not reflected, no final inversion), which Spark's crc32 is not."""
+    return _crc(raw, 0x04C11DB7, 32, 0xFFFFFFFF)
 
-    def one(data) -> int | None:
-        if data is None:
-            return None
-        c = 0xFFFFFFFF
-        for b in data:
-            c = (c << 8 & 0xFFFFFFFF) ^ table[c >> 24 ^ b]
-        return c
 
-    return raw.map(one, na_action=None).astype("Int64")
+def crc16_ccitt(raw: Column) -> Column:
+    """CRC-16 of polynomial 0x1021 from 0x1D0F."""
+    return _crc(raw, 0x1021, 16, 0x1D0F)

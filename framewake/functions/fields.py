@@ -74,4 +74,5 @@ def transform_chain(x: Column, y: Column, steps: Sequence[Sequence[float]]) -> t
 def crosses_antimeridian(lon: Column) -> Column:
     """Whether an open ring of longitudes has an edge that is shorter across 180 degrees."""
     n = F.size(lon)
-    return F.exists(F.sequence(F.lit(0), n - 1), lambda i: F.abs(F.get(lon, i) - F.get(lon, (i + 1) % n)) > 180.0)
+    edges = F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
+    return F.exists(edges, lambda i: F.abs(F.get(lon, i) - F.get(lon, (i + 1) % n)) > 180.0)

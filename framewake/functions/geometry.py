@@ -14,12 +14,62 @@ def wrap_longitude(x: Column) -> Column:
 
 
 def point(lon: Column, lat: Column, alt: Column | None = None) -> Column:
-    """A GeoJSON point; null if a part is missing or out of range."""
-    good = lon.between(-180, 180) & lat.between(-90, 90)
-    parts = [lon, lat] if alt is None else [lon, lat, alt]
+    """A GeoJSON point; null if its place is missing or out of range. An altitude is added only if it is from -900 to 40,000."""
+    flat = F.array(lon.cast("double"), lat.cast("double"))
     if alt is not None:
-        good = good & alt.isNotNull()
-    return F.when(good, F.struct(F.lit("Point").alias("type"), F.array(*[p.cast("double") for p in parts]).alias("coordinates")))
+        flat = F.when(alt.between(-900, 40_000), F.concat(flat, F.array(alt.cast("double")))).otherwise(flat)
+    return F.when(lon.between(-180, 180) & lat.between(-90, 90), F.struct(F.lit("Point").alias("type"), flat.alias("coordinates")))
+
+
+def offset_corners(lat: Column, lon: Column, offsets: Sequence[tuple[Column, Column]], most: float = 0.075) -> Column:
+    """Corners (x, y) from a centre and (latitude, longitude) offsets; null if one is missing or out of range. Longitudes aren't wrapped."""
+    good = lat.between(-90, 90) & lon.between(-180, 180)
+    for dlat, dlon in offsets:
+        good = good & dlat.between(-most, most) & dlon.between(-most, most) & (lat + dlat).between(-90, 90)
+    return F.when(good, F.array(*[F.struct((lon + dlon).alias("x"), (lat + dlat).alias("y")) for dlat, dlon in offsets]))
+
+
+def full_corners(corners: Sequence[tuple[Column, Column]]) -> Column:
+    """Corners (x, y) from (latitude, longitude) pairs; null if one is missing or out of range."""
+    good = F.lit(True)
+    for lat, lon in corners:
+        good = good & lat.between(-90, 90) & lon.between(-180, 180)
+    return F.when(good, F.array(*[F.struct(lon.alias("x"), lat.alias("y")) for lat, lon in corners]))
+
+
+def clip_longitude(points: Column, edge: float, above: bool) -> Column:
+    """The part of an open ring of (x, y) on one side of a meridian, by walking its edges; an empty array if there is none."""
+    n = F.size(points)
+
+    def inside(p: Column) -> Column:
+        return p["x"] >= edge if above else p["x"] <= edge
+
+    def walk(i: Column) -> Column:
+        a, b = F.get(points, i), F.get(points, (i + 1) % n)
+        share = (F.lit(edge) - a["x"]) / (b["x"] - a["x"])
+        crossing = F.struct(F.lit(edge).alias("x"), (a["y"] + share * (b["y"] - a["y"])).alias("y"))
+        return F.array_compact(F.array(F.when(inside(a), a), F.when(inside(a) != inside(b), crossing)))
+
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), walk))).otherwise(points)
+
+
+def split_antimeridian(points: Column) -> Column:
+    """Rings of longitudes in [-180, 180] of an open ring that may cross the antimeridian, each edge taken the short way."""
+    # longitudes continued from the first point, so that no edge is longer than half a turn
+    start = F.struct(F.element_at(points, 1)["x"].alias("x"), F.array().cast("array<struct<x:double,y:double>>").alias("ring"))
+
+    def on(state: Column, p: Column) -> Column:
+        x = state["x"] + F.pmod(p["x"] - state["x"] + 180.0, F.lit(360.0)) - 180.0
+        return F.struct(x.alias("x"), F.concat(state["ring"], F.array(F.struct(x.alias("x"), p["y"].alias("y")))).alias("ring"))
+
+    through = F.aggregate(points, start, on)["ring"]
+
+    def shifted(ring: Column, by: float) -> Column:
+        return F.transform(ring, lambda p: F.struct((p["x"] + by).alias("x"), p["y"].alias("y")))
+
+    middle = clip_longitude(clip_longitude(through, -180.0, True), 180.0, False)
+    parts = F.array(middle, shifted(clip_longitude(through, 180.0, True), -360.0), shifted(clip_longitude(through, -180.0, False), 360.0))
+    return F.when(F.size(points) > 2, F.filter(parts, lambda r: (F.size(r) > 2) & (ring_area(r) != 0)))
 
 
 def frame_corner(full: Column, centre: Column, offset: Column, longitude: bool) -> Column:
@@ -32,7 +82,7 @@ def ring_area(points: Column) -> Column:
     """Twice the signed area of an open ring of (x, y); positive is counter-clockwise."""
     n = F.size(points)
     return F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.lit(0.0),
+        F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>")), F.lit(0.0),
         lambda a, i: a + F.get(points, i)["x"] * F.get(points, (i + 1) % n)["y"] - F.get(points, (i + 1) % n)["x"] * F.get(points, i)["y"],
     )
 

@@ -42,22 +42,32 @@ def cadence(df: DataFrame, keys: Sequence[str], order: Sequence[str], ticks: str
     return timed.withColumn("code", code).where("code is not null")
 
 
-def continuity(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, modulus: int = 16, reset: Column | None = None) -> DataFrame:
-    """Add expected and continuity: ok, duplicate (the value again), gap, or first."""
-    reset = F.lit(False) if reset is None else reset
-    before = F.lag(counter).over(_rows(keys, order))
-    expected = F.when(~reset, (before + 1) % modulus)
-    kind = (
-        F.when(expected.isNull(), "first").when(F.col(counter) == expected, "ok").when(F.col(counter) == before, "duplicate").otherwise("gap")
-    )
-    return df.select("*", expected.alias("expected"), kind.alias("continuity"))
+def continuity(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, raw: str, *, modulus: int = 16,
+    counted: Column | None = None, reset: Column | None = None,
+) -> DataFrame:
+    """Rows that count, with expected and continuity: first, ok, duplicate (the same counter and the same octets again), or error.
+
+    Rows for which ``counted`` is false, such as null packets and those without payload, are left out and move no counter;
+    ``reset``, a declared discontinuity, starts anew even on such a row.
+    """
+    cut = segments(df, keys, order, F.lit(False) if reset is None else reset, "__segment")
+    if counted is not None:
+        cut = cut.where(counted)
+    w = _rows([*keys, "__segment"], order)
+    before = F.lag(counter).over(w)
+    again = (F.col(counter) == before) & (F.col(raw) == F.lag(raw).over(w))
+    expected = (before + 1) % modulus
+    kind = F.when(before.isNull(), "first").when(again, "duplicate").when(F.col(counter) == expected, "ok").otherwise("error")
+    return cut.select("*", expected.alias("expected"), kind.alias("continuity")).drop("__segment")
 
 
 def missing_slots(df: DataFrame, keys: Sequence[str], slot: str) -> DataFrame:
-    """Slots without a row between a key's first and last: key and slot. The grid is made from each key's range alone."""
-    span = df.groupBy(*keys).agg(F.min(slot).alias("__a"), F.max(slot).alias("__b"))
-    grid = span.select(*keys, F.explode(F.sequence("__a", "__b")).alias(slot))
-    return grid.join(df.select(*keys, slot).distinct(), [*keys, slot], "left_anti")
+    """Slots without a row between a key's first and last: key and slot. A row is made for each slot missing, gap by gap."""
+    w = _rows(keys, [slot])
+    seen = df.where(F.col(slot).isNotNull()).select(*keys, slot).distinct().withColumn("__next", F.lead(slot).over(w))
+    gaps = seen.where(F.col("__next") > F.col(slot) + 1)
+    return gaps.select(*keys, F.explode(F.sequence(F.col(slot) + 1, F.col("__next") - 1)).alias(slot))
 
 
 def sequence_audit(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str) -> DataFrame:
@@ -69,3 +79,46 @@ def sequence_audit(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq
     verdict = F.when(high.isNull() | (F.col(seq) == high + 1), "ok").when(F.col(seq) <= high, "late").otherwise("loss")
     df = df.withColumn("verdict", verdict)
     return df.withColumn("lost", F.when(F.col("verdict") == "loss", F.col(seq) - high - 1).otherwise(F.lit(0)).cast("long"))
+
+
+def rtp_audit(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str, modulus: int = 65_536) -> DataFrame:
+    """Arrivals of wrapped sequence numbers: unwrapped, and verdict ok, duplicate (seen before), late (below the highest) or loss, with lost.
+
+    A number is unwrapped against the highest before it, the nearest way, so a row that comes late moves nothing.
+    """
+    half = modulus // 2
+    near = unwrap(df, keys, order, seq, modulus)
+    w = _rows(keys, order)
+    high = F.max("unwrapped").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    times = F.row_number().over(_rows([*keys, "unwrapped"], order))
+    near = near.withColumn("__high", high).withColumn("__times", times)
+    verdict = (
+        F.when(F.col("__times") > 1, "duplicate").when(F.col("__high").isNull() | (F.col("unwrapped") == F.col("__high") + 1), "ok")
+        .when(F.col("unwrapped") < F.col("__high"), "late").otherwise("loss")
+    )
+    near = near.withColumn("verdict", verdict)
+    lost = F.when(F.col("verdict") == "loss", F.col("unwrapped") - F.col("__high") - 1).otherwise(F.lit(0)).cast("long")
+    return near.withColumn("lost", lost).drop("__high", "__times", "ambiguous")
+
+
+def regressions(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, discontinuity: Column) -> DataFrame:
+    """Rows whose time goes back, or jumps without a declared discontinuity: add code regression or undeclared_repeat."""
+    step = F.col(ts) - F.lag(ts).over(_rows(keys, order))
+    code = F.when(~discontinuity & (step < 0), "regression").when(~discontinuity & (step == 0), "undeclared_repeat")
+    return df.withColumn("code", code).where("code is not null")
+
+
+def bounded_cadence(df: DataFrame, keys: Sequence[str], order: Sequence[str], low: str, high: str, limit: int) -> DataFrame:
+    """Intervals between events whose times are known only to lie in [low, high], as between two clock readings.
+
+    Add verdict: compliant if even the longest possible interval is within ``limit``, excessive if even the shortest isn't,
+    else indeterminate; unverifiable where a bound is missing; first at a key's first row.
+    """
+    w = _rows(keys, order)
+    shortest, longest = F.col(low) - F.lag(high).over(w), F.col(high) - F.lag(low).over(w)
+    first = F.row_number().over(w) == 1
+    verdict = (
+        F.when(first, "first").when(shortest.isNull() | longest.isNull(), "unverifiable").when(longest <= limit, "compliant")
+        .when(shortest > limit, "excessive").otherwise("indeterminate")
+    )
+    return df.withColumn("verdict", verdict)

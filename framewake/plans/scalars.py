@@ -81,17 +81,48 @@ def pts_codec(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT item_id, encode(text) AS raw FROM benchmark), o AS (SELECT item_id, octet_length(raw) AS n, hex(raw) AS h FROM b),
-u AS (SELECT item_id, unnest(range(0, n)) AS i, h FROM o)
-SELECT item_id, CAST(sum((CASE WHEN i % 2 = 0 THEN 256 ELSE 1 END) * CAST('0x' || substr(h, CAST(i * 2 + 1 AS BIGINT), 2) AS BIGINT)) % 65536 AS BIGINT) AS checksum FROM u GROUP BY item_id
+WITH b AS (SELECT doc_id, encode(text) AS raw FROM documents), o AS (SELECT doc_id, octet_length(raw) AS n, hex(raw) AS h FROM b),
+u AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(string_split(regexp_replace(h, '(..)', '\\1 ', 'g'), ' ')[1:n]) AS x FROM o WHERE n > 0)
+SELECT d.doc_id, coalesce(checksum, 0) AS checksum FROM documents d LEFT JOIN (
+SELECT doc_id, CAST(sum((CASE WHEN i % 2 = 0 THEN 256 ELSE 1 END) * CAST('0x' || x AS BIGINT)) % 65536 AS BIGINT) AS checksum FROM u GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """)
 def checksum16(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", codecs.running_sum_16(F.col("text").cast("binary")).alias("checksum"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(codecs.running_sum_16(F.col("text").cast("binary")), F.lit(0)).alias("checksum"))
 
 
-@query()
+def _crc_sql(polynomial, bits, start):
+    table_ = ", ".join(map(str, codecs.crc_table(polynomial, bits)))
+    return (
+        f"list_reduce(list_prepend(CAST({start} AS BIGINT), list_transform(range(1, length(t) + 1), lambda i: CAST(ascii(substr(t, i, 1)) AS BIGINT))), "
+        f"lambda c, x: xor((c << 8) & {(1 << bits) - 1}, ([{table_}])[xor(c >> {bits - 8}, x) + 1]))"
+    )
+
+
+@query(f"SELECT c_custkey, CAST({_crc_sql(0x04C11DB7, 32, 0xFFFFFFFF)} AS BIGINT) AS crc, CAST({_crc_sql(0x1021, 16, 0x1D0F)} AS BIGINT) AS crc16 FROM (SELECT c_custkey, c_name AS t FROM customer)")
 def crc32_mpeg2(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", codecs.mpeg2_crc32(F.col("text").cast("binary")).alias("crc"))
+    raw = F.col("c_name").cast("binary")
+    return table(spark, sf_dir, "customer").select("c_custkey", codecs.mpeg2_crc32(raw).alias("crc"), codecs.crc16_ccitt(raw).alias("crc16"))
+
+
+_SPECIALS = {0xE0: "below_minimum", 0xE1: "above_maximum", 0xC8: "positive_infinity", 0xE8: "negative_infinity"}
+_FAMILIES = {0xC0: "user_defined", 0xD0: "positive_quiet_nan", 0xD8: "positive_signaling_nan", 0xF0: "negative_quiet_nan", 0xF8: "negative_signaling_nan"}
+
+
+@query(f"""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 5 = 0 THEN (l_orderkey + l_linenumber) % 256 * 16777216 WHEN l_orderkey % 5 = 1 THEN 2147483648 ELSE (l_orderkey * 7919 + l_linenumber * 104729) * 2654435 % 4294967296 END AS code FROM lineitem),
+k AS (SELECT *, code // 16777216 AS first, code % 16777216 = 0 AS bare FROM c),
+s AS (SELECT *, CASE {' '.join(f"WHEN first = {k} AND bare THEN '{v}'" for k, v in _SPECIALS.items())} {' '.join(f"WHEN first & 248 = {k} THEN '{v}'" for k, v in _FAMILIES.items())} WHEN first >= 128 THEN 'reserved' END AS kind FROM k)
+SELECT l_orderkey, l_linenumber, CASE WHEN kind IN ('below_minimum', 'above_maximum') THEN NULL ELSE kind END AS special,
+  CASE kind WHEN 'below_minimum' THEN -900.0 WHEN 'above_maximum' THEN 19000.0 ELSE CASE WHEN kind IS NULL THEN code / 65536.0 - 900.0 END END AS value,
+  CASE WHEN l_orderkey % 3 = 0 THEN 'E1000000' ELSE upper(printf('%08x', CAST(floor(CAST(l_quantity AS DOUBLE) * 65536 + 900 * 65536) AS BIGINT))) END AS octets FROM s
+""")
+def imap_specials(spark, sf_dir):
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    code = F.when(k % 5 == 0, (k + n) % 256 * 16_777_216).when(k % 5 == 1, F.lit(1 << 31)).otherwise((k * 7919 + n * 104_729) * 2_654_435 % (1 << 32))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.unhex(F.lpad(F.hex(code), 8, "0")).alias("raw"))
+    value = codecs.imap_value(F.col("raw"), -900.0, 19000.0, 4, clamp=True)
+    octets = codecs.imap_octets(F.when(k % 3 == 0, F.lit(20000.0)).otherwise(F.col("q")), -900.0, 19000.0, 4)
+    return line.select("l_orderkey", "l_linenumber", value["special"].alias("special"), value["value"].alias("value"), F.hex(octets).alias("octets"))
 
 
 _H = (1.1, 0.02, 3.0, -0.01, 0.95, -2.0, 0.0001, 0.00002)
@@ -146,6 +177,38 @@ def geo_points(spark, sf_dir):
     return c.select("c_custkey", F.col("p.coordinates")[0].alias("lon"), F.round(F.col("p.coordinates")[1], 6).alias("lat"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_acctbal * 10 BETWEEN -900 AND 40000 THEN c_acctbal * 10 END AS altitude,
+  CAST(CASE WHEN c_custkey % 6 <> 0 AND c_acctbal * 10 BETWEEN -900 AND 40000 THEN 3 ELSE 2 END AS INTEGER) AS parts FROM customer""")
+def geo_altitudes(spark, sf_dir):
+    alt = F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal") * 10)
+    c = table(spark, sf_dir, "customer").select("c_custkey", geometry.point(F.lit(5.0), F.lit(6.0), alt)["coordinates"].alias("p"))
+    return c.select("c_custkey", F.get("p", F.lit(2)).alias("altitude"), F.size("p").alias("parts"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, CAST(c_custkey % 360 - 180 AS DOUBLE) AS x FROM customer), e AS (SELECT *, greatest(0.0, x + 5 - 180) AS over FROM c)
+SELECT c_custkey, CASE WHEN over > 0 THEN 2 ELSE 1 END AS rings, (5.0 - over) * 4 AS east, over * 4 AS west FROM e
+""")
+def antimeridian_split(spark, sf_dir):
+    x = (F.col("c_custkey") % 360 - 180).cast("double")
+    far = F.when(x + 5 > 180, x + 5 - 360).otherwise(x + 5)
+    ring = F.array(*[F.struct(a.alias("x"), F.lit(b).alias("y")) for a, b in ((x, 0.0), (far, 0.0), (far, 4.0), (x, 4.0))])
+    c = table(spark, sf_dir, "customer").select("c_custkey", geometry.split_antimeridian(ring).alias("r"))
+    size = lambda k: F.coalesce(F.abs(geometry.ring_area(F.get("r", F.lit(k)))) / 2, F.lit(0.0))
+    return c.select("c_custkey", F.size("r").alias("rings"), size(0).alias("east"), size(1).alias("west"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_acctbal / 200 AS lat, (c_custkey % 100 - 50) / 1000.0 AS d FROM customer)
+SELECT c_custkey, CASE WHEN abs(d) < 0.0245 THEN 4 END AS corners, CASE WHEN abs(d) < 0.0245 THEN round(lat + 3 * d, 6) END AS last_lat FROM c
+""")
+def frame_corners(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 200).alias("lat"), ((F.col("c_custkey") % 100 - 50) / 1000.0).alias("d"))
+    corners = geometry.offset_corners(F.col("lat"), F.lit(10.0), [(F.col("d") * k, F.lit(0.01)) for k in range(4)], most=0.074)
+    c = c.select("c_custkey", corners.alias("r"))
+    return c.select("c_custkey", F.when(F.col("r").isNotNull(), F.size("r")).alias("corners"), F.round(F.get("r", F.lit(3))["y"], 6).alias("last_lat"))
+
+
 @query("SELECT c_custkey, ((c_custkey * 37.5 + 180.0) % 360.0) - 180.0 AS lon FROM customer")
 def lon_wrap(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", geometry.wrap_longitude(F.col("c_custkey") * 37.5).alias("lon"))
@@ -206,7 +269,8 @@ def pes_assembly(spark, sf_dir):
     return out.select(F.col("pid").cast("long"), "first_offset", "packets", F.col("data").cast("string").alias("data"))
 
 
-@query(f"SELECT event_id AS packet, ts_us AS precision_time, event_type AS kind, CASE WHEN event_id % 6 <> 0 THEN user_id END AS target FROM {E}")
+@query(f"""SELECT event_id AS packet, CASE WHEN event_id % 40 <> 1 THEN ts_us END AS precision_time, CASE WHEN event_id % 40 = 1 THEN 9223372036854775808::DECIMAL(20, 0) + event_id ELSE ts_us END AS exact_time,
+  event_type AS kind, CASE WHEN event_id % 6 <> 0 THEN user_id END AS target, CASE WHEN event_id % 8 = 0 THEN 'target' ELSE '' END AS repeated FROM {E}""")
 def klv_items(spark, sf_dir):
     e = events(spark, sf_dir)
 
@@ -214,10 +278,15 @@ def klv_items(spark, sf_dir):
         return F.concat(F.lpad(F.hex(F.lit(tag)), 2, "0"), F.hex(codecs.ber_length(F.octet_length(value).cast("long"))), F.hex(value))
 
     number = lambda c, n: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
-    target = F.when(F.col("event_id") % 6 != 0, number(F.col("user_id"), 4)).otherwise(F.lit("").cast("binary"))
-    raw = F.unhex(F.concat(item(2, number(F.col("ts_us"), 8)), item(10, F.col("event_type").cast("binary")), item(65, target)))
-    items = klv.local_set_items(e.select(F.col("event_id").alias("packet"), raw.alias("raw")))
-    return klv.wide(items, ["packet"], {"precision_time": (2, "long"), "kind": (10, "string"), "target": (65, "long")})
+    i = F.col("event_id")
+    time = F.when(i % 40 == 1, F.unhex(F.concat(F.lit("80"), F.lpad(F.hex(i), 14, "0")))).otherwise(number(F.col("ts_us"), 8))
+    target = F.when(i % 6 != 0, number(F.col("user_id"), 4)).otherwise(F.lit("").cast("binary"))
+    again = F.when(i % 8 == 0, item(65, number(i * 0, 1))).otherwise("")
+    again = F.when(i % 6 == 0, F.when(i % 8 == 0, item(65, F.lit("").cast("binary"))).otherwise("")).otherwise(again)
+    raw = F.unhex(F.concat(item(2, time), item(10, F.col("event_type").cast("binary")), item(65, target), again))
+    items = klv.local_set_items(e.select(i.alias("packet"), raw.alias("raw")))
+    out = klv.wide(items, ["packet"], {"precision_time": (2, "long"), "exact_time": (2, "unsigned"), "kind": (10, "string"), "target": (65, "long")})
+    return out.withColumn("repeated", F.array_join("repeated", ","))
 
 
 @query("""SELECT c_custkey AS "TimeStamp", c_acctbal AS "PlatformHeading", CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 100 END AS "SensorLatitude", CAST(NULL AS VARCHAR) AS issue FROM customer""")

@@ -100,6 +100,36 @@ def asof_exact(spark, sf_dir):
     return out.select("event_id", F.col("ts_us").alias("hour"), "view_event_id")
 
 
+_HOUR = 3_600_000_000
+
+
+@query(f"""
+WITH p AS (SELECT user_id, event_id, ts_us // {_HOUR} AS h FROM {_P}), v AS (SELECT user_id, event_id, ts_us // {_HOUR} AS h FROM {_V}),
+g AS (SELECT user_id, h, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM v GROUP BY ALL)
+SELECT p.event_id, CASE WHEN p.h - g.h <= 24 THEN g.h END AS hour, CASE WHEN p.h - g.h <= 24 THEN g.ids ELSE '' END AS view_ids FROM p ASOF LEFT JOIN g ON p.user_id = g.user_id AND p.h >= g.h
+""")
+def asof_packets(spark, sf_dir):
+    p, v = _sides(spark, sf_dir, _HOUR)
+    out = asof.asof_all(p, v, ["user_id"], "ts_us", "ts_us", ["event_id"], tolerance=24)
+    return out.select("event_id", F.col("matched_ts_us").alias("hour"), F.array_join(F.transform("matches", lambda m: m["event_id"].cast("string")), ",").alias("view_ids"))
+
+
+@query(f"""
+WITH f AS (SELECT user_id, event_id, ts_us * 9 // 100 AS pts, CASE WHEN event_id % 4 = 0 THEN ts_us + 5 END AS own, ts_us * 9 // 100 + 4500 AS eff FROM {E} WHERE event_type = 'purchase'),
+m AS (SELECT user_id, CASE WHEN event_id % 10 <> 0 THEN ts_us // 10000000 * 900000 END AS pts, event_id, ts_us FROM {E} WHERE event_type IN ('view', 'click')),
+g AS (SELECT user_id, pts, count(*) AS n, arg_max(ts_us, event_id) AS last FROM m WHERE pts IS NOT NULL GROUP BY ALL),
+j AS (SELECT f.*, CASE WHEN eff - g.pts <= 90000000 THEN g.pts END AS mpts, g.n, g.last FROM f ASOF LEFT JOIN g ON f.user_id = g.user_id AND f.eff >= g.pts)
+SELECT event_id, eff AS effective_pts, CASE WHEN mpts IS NULL THEN 0 ELSE n END AS packets, coalesce(own, CASE WHEN mpts IS NOT NULL THEN last + ((eff - mpts) * 100 + 4) // 9 END) AS derived_ts FROM j
+""")
+def correlate_frames(spark, sf_dir):
+    e = events(spark, sf_dir)
+    i = F.col("event_id")
+    f = e.where("event_type = 'purchase'").select("user_id", "event_id", F.expr("ts_us * 9 div 100").alias("pts"), F.when(i % 4 == 0, F.col("ts_us") + 5).alias("ts"))
+    m = e.where("event_type in ('view', 'click')").select("user_id", F.when(i % 10 != 0, F.expr("ts_us div 10000000 * 900000")).alias("pts"), i.alias("seq"), F.col("ts_us").alias("ts"))
+    out = asof.correlate(f, m, ["user_id"], "pts", "ts", ["seq"], offset=4500, tolerance=90_000_000)
+    return out.select("event_id", "effective_pts", F.size("metadata").cast("long").alias("packets"), "derived_ts")
+
+
 @query(f"""
 WITH c AS (SELECT user_id, ts_us, event_id, event_type FROM {E})
 SELECT p.event_id, b.ts_us AS before, f.ts_us AS after,
@@ -150,14 +180,20 @@ def psi_missing(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS (SELECT event_id, user_id, event_id % 16 AS cc, lag(event_id % 16) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS before, event_type = 'signup' AS reset FROM {E}),
-x AS (SELECT *, CASE WHEN NOT reset THEN (before + 1) % 16 END AS expected FROM c)
-SELECT event_id, cc, expected, CASE WHEN expected IS NULL THEN 'first' WHEN cc = expected THEN 'ok' WHEN cc = before THEN 'duplicate' ELSE 'gap' END AS continuity FROM x
+WITH r AS (SELECT event_id, user_id, ts_us, 0 AS copy, event_type || value AS raw, event_type FROM {E}
+  UNION ALL SELECT event_id, user_id, ts_us, 1, event_type || value || CASE WHEN event_id % 2 = 0 THEN '' ELSE 'x' END, event_type FROM {E} WHERE event_id % 17 = 0),
+n AS (SELECT *, event_id // 3 % 16 AS cc, sum(CASE WHEN event_type = 'signup' AND copy = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_us, event_id, copy) AS segment FROM r),
+c AS (SELECT *, lag(cc) OVER w AS before, lag(raw) OVER w AS same FROM n WHERE event_id % 9 <> 0 WINDOW w AS (PARTITION BY user_id, segment ORDER BY ts_us, event_id, copy))
+SELECT event_id, copy, cc, (before + 1) % 16 AS expected, CASE WHEN before IS NULL THEN 'first' WHEN cc = before AND raw = same THEN 'duplicate' WHEN cc = (before + 1) % 16 THEN 'ok' ELSE 'error' END AS continuity FROM c
 """)
 def continuity(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("cc", F.col("event_id") % 16)
-    out = clocks.continuity(e, ["user_id"], ["ts_us", "event_id"], "cc", 16, F.col("event_type") == "signup")
-    return out.select("event_id", "cc", "expected", "continuity")
+    e = events(spark, sf_dir).withColumn("raw", F.concat("event_type", F.col("value").cast("string")))
+    sent = e.withColumn("copy", F.lit(0)).union(e.where("event_id % 17 = 0").withColumn("raw", F.when(F.col("event_id") % 2 == 0, F.col("raw")).otherwise(F.concat("raw", F.lit("x")))).withColumn("copy", F.lit(1)))
+    sent = sent.withColumn("cc", F.expr("event_id div 3 % 16"))
+    out = clocks.continuity(
+        sent, ["user_id"], ["ts_us", "event_id", "copy"], "cc", "raw", counted=F.col("event_id") % 9 != 0, reset=(F.col("event_type") == "signup") & (F.col("copy") == 0)
+    )
+    return out.select("event_id", "copy", "cc", "expected", "continuity")
 
 
 @query("""
@@ -175,26 +211,96 @@ def reorder_loss(spark, sf_dir):
     return clocks.sequence_audit(sent, ["lane"], ["place", "again", "seq"], "number").select("seq", "again", "verdict", "lost")
 
 
+@query("""
+WITH a AS (SELECT event_id AS seq, event_id + CASE WHEN event_id % 31 = 0 THEN 5 ELSE 0 END AS place, 0 AS again FROM events WHERE event_id % 13 <> 0
+  UNION ALL SELECT event_id, event_id + 3, 1 FROM events WHERE event_id % 17 = 0 AND event_id % 13 <> 0),
+m AS (SELECT *, max(seq) OVER (ORDER BY place, again, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high, row_number() OVER (PARTITION BY seq ORDER BY place, again) AS n FROM a)
+SELECT seq, again, CASE WHEN n > 1 THEN 'duplicate' WHEN high IS NULL OR seq = high + 1 THEN 'ok' WHEN seq < high THEN 'late' ELSE 'loss' END AS verdict,
+  CAST(CASE WHEN n = 1 AND seq > high + 1 THEN seq - high - 1 ELSE 0 END AS BIGINT) AS lost FROM m
+""")
+def rtp_gaps(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_id % 13 <> 0").select(F.col("event_id").alias("seq"))
+    sent = e.select("seq", (F.col("seq") + F.when(F.col("seq") % 31 == 0, 5).otherwise(0)).alias("place"), F.lit(0).alias("again"))
+    sent = sent.union(e.where("seq % 17 = 0").select("seq", F.col("seq") + 3, F.lit(1))).withColumn("ssrc", F.lit(7)).withColumn("wrapped", F.col("seq") % 65_536)
+    return clocks.rtp_audit(sent, ["ssrc"], ["place", "again", "seq"], "wrapped").select("seq", "again", "verdict", "lost")
+
+
+@query(f"""
+WITH t AS (SELECT user_id, event_id, ts_us + CASE WHEN event_id % 37 = 0 THEN -{DAY} WHEN event_id % 41 = 0 THEN {DAY} ELSE 0 END AS t, event_type = 'signup' AS declared, ts_us FROM {E}),
+d AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS step FROM t)
+SELECT event_id, CASE WHEN step < 0 THEN 'regression' ELSE 'undeclared_repeat' END AS code FROM d WHERE NOT declared AND step <= 0
+""")
+def time_regressions(spark, sf_dir):
+    i = F.col("event_id")
+    e = events(spark, sf_dir).withColumn("t", F.col("ts_us") + F.when(i % 37 == 0, -DAY).when(i % 41 == 0, DAY).otherwise(0))
+    return clocks.regressions(e, ["user_id"], ["ts_us", "event_id"], "t", F.col("event_type") == "signup").select("event_id", "code")
+
+
+@query(f"""
+WITH t AS (SELECT event_id, user_id, ts_us, CASE WHEN event_id % 23 <> 0 THEN ts_us - 3600000000 END AS low, ts_us + event_id % 5 * 3600000000 AS high FROM {E}),
+d AS (SELECT *, low - lag(high) OVER w AS shortest, high - lag(low) OVER w AS longest, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id))
+SELECT event_id, CASE WHEN n = 1 THEN 'first' WHEN shortest IS NULL OR longest IS NULL THEN 'unverifiable' WHEN longest <= {DAY // 3} THEN 'compliant' WHEN shortest > {DAY // 3} THEN 'excessive' ELSE 'indeterminate' END AS verdict FROM d
+""")
+def bracketed_cadence(spark, sf_dir):
+    i = F.col("event_id")
+    e = events(spark, sf_dir).withColumn("low", F.when(i % 23 != 0, F.col("ts_us") - 3_600_000_000)).withColumn("high", F.col("ts_us") + i % 5 * 3_600_000_000)
+    return clocks.bounded_cadence(e, ["user_id"], ["ts_us", "event_id"], "low", "high", DAY // 3).select("event_id", "verdict")
+
+
 _ALLOWED = [("view", "click"), ("click", "view"), ("click", "purchase"), ("view", "purchase"), ("purchase", "view"), ("purchase", "click"), ("signup", "view"), ("signup", "click")]
 _PAIRS = ", ".join(f"'{a}>{b}'" for a, b in _ALLOWED)
 
 
 @query(f"""
-WITH t AS (SELECT event_id, user_id, ts_us, CASE WHEN event_id % 19 = 0 THEN NULL ELSE event_type END AS status FROM {E}),
-p AS (SELECT *, lag(status) OVER w AS previous, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id)),
-i AS (SELECT *, CASE WHEN status IS NULL THEN 'missing_status' WHEN previous = 'error' THEN 'retired_reused' WHEN n = 1 AND status NOT IN ('signup', 'view') THEN 'invalid_initial'
-  WHEN previous <> status AND (previous || '>' || status) NOT IN ({_PAIRS}) THEN 'invalid_transition' END AS issue FROM p)
-SELECT event_id, previous, status, issue, CAST(sum(CASE WHEN previous = 'error' AND status IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS BIGINT) AS generation FROM i
+WITH t AS (SELECT event_id, user_id, ts_us, CASE WHEN event_id % 19 <> 0 THEN CASE WHEN event_type = 'error' AND event_id % 7 <> 0 THEN 'view' ELSE event_type END END AS status FROM {E}),
+p AS (SELECT *, lag(status) OVER w AS previous, row_number() OVER w AS n,
+  coalesce(max(CASE WHEN status = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS gone
+  FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id))
+SELECT event_id, previous, status, CAST(n AS BIGINT) AS observations, gone OR coalesce(status = 'error', false) AS retired,
+  concat_ws(',', CASE WHEN status IS NULL THEN 'missing_status' END, CASE WHEN n = 1 AND status NOT IN ('signup', 'view') THEN 'invalid_initial' END,
+    CASE WHEN gone THEN 'retired_reused' WHEN previous <> status AND (previous || '>' || status) NOT IN ({_PAIRS}) THEN 'invalid_transition' END) AS issues FROM p
 """)
 def lifecycle_issues(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("status", F.when(F.col("event_id") % 19 != 0, F.col("event_type")))
-    out = lifecycle.lifecycle(e, ["user_id"], ["ts_us", "event_id"], "status", _ALLOWED, ["signup", "view"], ["error"])
-    return out.select("event_id", "previous", "status", "issue", "generation")
+    e = events(spark, sf_dir)
+    kind = F.when((F.col("event_type") == "error") & (F.col("event_id") % 7 != 0), "view").otherwise(F.col("event_type"))
+    out = lifecycle.lifecycle(e.withColumn("status", F.when(F.col("event_id") % 19 != 0, kind)), ["user_id"], ["ts_us", "event_id"], "status", _ALLOWED, ["signup", "view"], ["error"])
+    return out.select("event_id", "previous", "status", F.col("observations").cast("long").alias("observations"), "retired", F.array_join("issues", ",").alias("issues"))
 
 
-@query(f"SELECT user_id, arg_max(event_type, ts_us) AS status, count(*) AS observations, arg_max(event_type, ts_us) = 'error' AS retired FROM {E} GROUP BY user_id")
+@query(f"SELECT user_id, arg_max(event_type, ts_us) AS status, count(*) AS observations, coalesce(bool_or(event_type = 'error' AND event_id % 11 = 0), false) AS retired FROM (SELECT * REPLACE (CASE WHEN event_type = 'error' AND event_id % 11 <> 0 THEN 'view' ELSE event_type END AS event_type) FROM {E}) GROUP BY user_id")
 def lifecycle_state(spark, sf_dir):
-    return lifecycle.lifecycle_state(events(spark, sf_dir), ["user_id"], ["ts_us", "event_id"], "event_type", ["error"])
+    e = events(spark, sf_dir).withColumn("event_type", F.when((F.col("event_type") == "error") & (F.col("event_id") % 11 != 0), "view").otherwise(F.col("event_type")))
+    return lifecycle.lifecycle_state(e, ["user_id"], ["ts_us", "event_id"], "event_type", ["error"])
+
+
+_CMD = "(SELECT user_id, ts_us, event_id AS seq, event_id % 4 AS pos, (event_id // 40 + event_id % 3) AS id, CASE WHEN event_id % 13 = 0 THEN 'other' ELSE 'go' END AS text, CASE WHEN event_id % 17 = 0 THEN ts_us + 1 END AS issued FROM " + E + " WHERE event_type IN ('view', 'click'))"
+_CMD2 = f"(SELECT * FROM {_CMD} UNION ALL SELECT user_id, ts_us, seq, pos + 4, id, text, issued FROM {_CMD} WHERE seq % 23 = 0)"
+_ACK = f"(SELECT user_id, event_id AS seq, event_id // 40 + event_id % 5 AS id FROM {E} WHERE event_type = 'purchase' UNION ALL SELECT user_id, event_id, event_id // 40 + event_id % 5 FROM {E} WHERE event_type = 'purchase' AND event_id % 29 = 0)"
+
+
+@query(f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, seq, id ORDER BY pos) > 1 AS again, row_number() OVER i AS n, first_value(text) OVER i AS text0, first_value(coalesce(issued, ts_us)) OVER i AS at0,
+    max(id) OVER (PARTITION BY user_id ORDER BY seq, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM {_CMD2} WINDOW i AS (PARTITION BY user_id, id ORDER BY seq, pos)),
+a AS (SELECT x.*, f.first FROM (SELECT user_id, seq, id, count(*) AS times FROM {_ACK} GROUP BY ALL) x LEFT JOIN (SELECT user_id, id, min(seq) AS first FROM c GROUP BY ALL) f USING (user_id, id)),
+d AS (SELECT c.*, coalesce((SELECT min(a.seq) FROM a WHERE a.user_id = c.user_id AND a.id = c.id AND a.first <= a.seq) < c.seq, false) AS shut FROM c)
+SELECT user_id, seq, id, 'duplicate_command_in_packet' AS code FROM d WHERE again
+UNION ALL SELECT user_id, seq, id, 'command_after_acknowledgement' FROM d WHERE NOT again AND n > 1 AND shut
+UNION ALL SELECT user_id, seq, id, 'command_changed' FROM d WHERE NOT again AND n > 1 AND NOT shut AND text <> text0
+UNION ALL SELECT user_id, seq, id, 'command_time_changed' FROM d WHERE NOT again AND n > 1 AND NOT shut AND issued <> at0
+UNION ALL SELECT user_id, seq, id, 'non_increasing_command_id' FROM d WHERE n = 1 AND id <= high
+UNION ALL SELECT user_id, seq, id, 'duplicate_acknowledgement' FROM a WHERE times > 1
+UNION ALL SELECT user_id, seq, id, 'unknown_acknowledgement' FROM a WHERE first IS NULL OR first > seq
+""")
+def command_issues(spark, sf_dir):
+    e = events(spark, sf_dir)
+    i = F.col("event_id")
+    c = e.where("event_type in ('view', 'click')").select(
+        "user_id", "ts_us", i.alias("seq"), (i % 4).alias("pos"), F.expr("event_id div 40 + event_id % 3").alias("id"),
+        F.when(i % 13 == 0, "other").otherwise("go").alias("text"), F.when(i % 17 == 0, F.col("ts_us") + 1).alias("issued"),
+    )
+    c = c.union(c.where("seq % 23 = 0").withColumn("pos", F.col("pos") + 4))
+    a = e.where("event_type = 'purchase'").select("user_id", i.alias("seq"), F.expr("event_id div 40 + event_id % 5").alias("id"))
+    return lifecycle.command_issues(c, a.union(a.where("seq % 29 = 0")), ["user_id"], "seq", "ts_us", "id", "text", "issued")
 
 
 @query(f"""

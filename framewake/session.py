@@ -31,6 +31,14 @@ def micros(ts: str | Column) -> Column:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``, or in a temporary one if unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="framewake-")
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    If it is unset and all runs on one machine, as in tests, a temporary folder; on a cluster that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="framewake-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -60,9 +60,18 @@ def local_set_items(df: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("p
 
 
 def wide(items: DataFrame, keys: list[str], fields: dict[str, tuple[int, str]]) -> DataFrame:
-    """Items to a row a packet: each field of (tag, type) as an unsigned number (long) or text (string); null if absent or empty."""
+    """Items to a row a packet: each field of (tag, type), and repeated, the names of fields that a packet has more than once.
+
+    Types: long, an unsigned number, null beyond a signed 64-bit one; unsigned, up to eight octets as decimal(20,0); string;
+    binary. Of several the first by ordinal is taken; null if absent or empty.
+    """
+
     def value(tag: int, kind: str):
-        one = F.when((F.col("tag") == tag) & (F.octet_length("raw") > 0), F.col("raw"))
-        return F.first(one, ignorenulls=True).cast("string") if kind == "string" else F.conv(F.hex(F.first(one, ignorenulls=True)), 16, 10).cast("long")
+        raw = F.min_by("raw", F.when((F.col("tag") == tag) & (F.octet_length("raw") > 0), F.col("ordinal")))
+        if kind in ("binary", "string"):
+            return raw.cast(kind)
+        number = F.when(F.octet_length(raw) <= 8, F.conv(F.hex(raw), 16, 10))
+        return number.try_cast("long" if kind == "long" else "decimal(20,0)")
 
-    return items.groupBy(*keys).agg(*[value(tag, kind).alias(name) for name, (tag, kind) in fields.items()])
+    many = [F.when(F.count(F.when(F.col("tag") == tag, 1)) > 1, name) for name, (tag, _) in fields.items()]
+    return items.groupBy(*keys).agg(*[value(tag, kind).alias(name) for name, (tag, kind) in fields.items()], F.array_compact(F.array(*many)).alias("repeated"))

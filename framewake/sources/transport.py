@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs as filesystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +20,67 @@ def _octet(raw: Column, at: int) -> Column:
     return F.conv(F.hex(raw.substr(at, 1)), 16, 10).cast("int")
 
 
-def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, raw) of every packet of the files at ``path``. A file's last partial packet is left out."""
-    files = spark.read.format("binaryFile").load(path)
-    offsets = F.sequence(F.lit(0), F.floor(F.col("length") / PACKET).cast("int") - 1)
-    rows = files.where(F.col("length") >= PACKET).select(F.col("path").alias("file"), "content", F.explode(offsets).alias("k"))
-    return rows.select("file", (F.col("k") * PACKET).cast("long").alias("offset"), F.col("content").substr(F.col("k") * PACKET + 1, F.lit(PACKET)).alias("raw"))
+#: packets of a range that one task reads at a time
+RANGE_PACKETS = 1 << 18
+
+
+def _in_step(data: np.ndarray, at: int, depth: int = 4) -> bool:
+    """Whether sync octets stand at ``at`` and a packet's length apart after it, as far as the data goes."""
+    return bool((data[at : at + depth * PACKET + 1 : PACKET] == SYNC).all())
+
+
+def slice_packets(data: bytes, end: int) -> Iterator[tuple[int, int]]:
+    """(place, discarded) of every whole packet that starts before ``end``, with the octets passed over to find it."""
+    octets = np.frombuffer(data, np.uint8)
+    at, lost = 0, 0
+    while at < end and at + PACKET <= len(octets):
+        if octets[at] == SYNC and (not lost or _in_step(octets, at)):
+            yield at, lost
+            at, lost = at + PACKET, 0
+        else:
+            step = np.flatnonzero(octets[at + 1 : end] == SYNC)
+            found = next((at + 1 + int(k) for k in step if _in_step(octets, at + 1 + int(k))), end)
+            lost += found - at
+            at = found
+
+
+def read_packets(spark: SparkSession, path: str, range_packets: int = RANGE_PACKETS) -> DataFrame:
+    """(file, offset, discarded, raw) of every packet of the files at ``path``.
+
+    A file is cut into ranges of whole packets, read by tasks of their own, so neither its size nor a row's limit matters.
+    Where the sync octet is missing, a range looks on for the next place where it recurs at a packet's length; discarded
+    counts the octets passed over before a packet. A packet belongs to the range it starts in. A last partial packet is
+    left out; an empty file has no rows.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    size = range_packets * PACKET
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))
+    ranges = files.where("length > 0").select("file", "length", F.explode(starts).alias("start")).repartition(F.col("file"), F.col("start"))
+
+    def run(batches):
+        for batch in batches:
+            for name, length, start in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                store, where = filesystem.FileSystem.from_uri(name)
+                with store.open_input_file(where) as f:
+                    f.seek(start)
+                    data = f.read(min(size + 5 * PACKET, length - start))
+                found = list(slice_packets(data, min(size, length - start)))
+                for k in range(0, len(found), 1 << 14):
+                    part = found[k : k + (1 << 14)]
+                    places = [p for p, _ in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(part)), pa.array([start + p for p in places], pa.int64()), pa.array([x for _, x in part], pa.int64()), pa.array([data[p : p + PACKET] for p in places], pa.binary())],
+                        ["file", "offset", "discarded", "raw"],
+                    )
+
+    return ranges.mapInArrow(run, "file string, offset long, discarded long, raw binary")
 
 
 def parse_packets(packets: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add the header fields of each packet and its payload; sync_lost is true where the first octet is wrong."""
+    """Add the header fields of each packet, its payload, and issue: why it is malformed (sync, control, field, pcr).
+
+    Of an adaptation field: discontinuity, random_access, pcr, opcr, splice_countdown and private_data.
+    """
     r = F.col(raw)
     out = packets.withColumns({"__1": _octet(r, 2), "__2": _octet(r, 3), "__3": _octet(r, 4), "__4": _octet(r, 5), "__5": _octet(r, 6)})
     out = out.withColumns({
@@ -36,27 +90,77 @@ def parse_packets(packets: DataFrame, raw: str = "raw") -> DataFrame:
     has_field = F.col("afc") >= 2
     length = F.when(has_field, F.col("__4") + 1).otherwise(0)
     flagged = has_field & (F.col("__4") > 0)
-    base = F.conv(F.hex(r.substr(7, 4)), 16, 10).cast("long") * 2 + F.shiftright(_octet(r, 11), 7)
-    extra = (_octet(r, 11) % 2) * 256 + _octet(r, 12)
+    flag = lambda bit: flagged & (F.shiftright("__5", bit) % 2 == 1)
+    at = lambda k: F.conv(F.hex(r.substr(k.cast("int"), F.lit(1))), 16, 10).cast("int")
+
+    def clock(start: Column) -> Column:
+        base = F.conv(F.hex(r.substr(start.cast("int"), F.lit(4))), 16, 10).cast("long") * 2 + F.shiftright(at(start + 4), 7)
+        return base * 300 + (at(start + 4) % 2) * 256 + at(start + 5)
+
+    opcr_at = F.lit(7) + F.when(flag(4), 6).otherwise(0)
+    splice_at = opcr_at + F.when(flag(3), 6).otherwise(0)
+    private_at = splice_at + F.when(flag(2), 1).otherwise(0)
+    countdown = F.when(flag(2), at(splice_at))
+    needed = private_at - 6 + F.when(flag(1), at(private_at) + 1).otherwise(0)
+    issue = (
+        F.when(F.col("sync_lost"), "sync").when(F.col("afc") == 0, "control")
+        .when(has_field & (F.col("__4") > F.when(F.col("afc") == 3, 182).otherwise(183)), "field").when(flagged & (needed > F.col("__4")), "field")
+    )
+    fine = issue.isNull()
     return out.withColumns({
-        "discontinuity": F.coalesce(flagged & (F.col("__5") >= 128), F.lit(False)),
-        "pcr": F.when(flagged & (F.shiftright("__5", 4) % 2 == 1), base * 300 + extra),
-        "payload": F.when(F.col("afc") % 2 == 1, r.substr(length + 5, F.lit(PACKET))),
+        "discontinuity": F.coalesce(flagged & (F.col("__5") >= 128), F.lit(False)), "random_access": F.coalesce(flag(6), F.lit(False)),
+        "pcr": F.when(fine & flag(4), clock(F.lit(7))), "opcr": F.when(fine & flag(3), clock(opcr_at)),
+        "splice_countdown": F.when(fine, F.when(countdown > 127, countdown - 256).otherwise(countdown)),
+        "private_data": F.when(fine & flag(1), r.substr((private_at + 1).cast("int"), at(private_at))),
+        "payload": F.when(F.col("afc") % 2 == 1, r.substr(length + 5, F.lit(PACKET))), "issue": issue,
     }).drop("__1", "__2", "__3", "__4", "__5")
 
 
+def joined(parts: Column, field: str) -> Column:
+    """The octets of an array of structs' ``field``, one after another."""
+    return F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p[field]))
+
+
 def assemble_pes(packets: DataFrame, keys: Sequence[str] = ("file", "pid"), order: str = "offset") -> DataFrame:
-    """Packets to PES packets: keys, first_offset, packets, data and pts, for each start and what follows it.
+    """Packets to PES packets: keys, first_offset, packets and data, for each start and what follows it.
 
-    What comes before a stream's first start is left out. A PES packet gathers its own packets only.
+    What comes before a stream's first start is left out. A PES packet gathers its own packets only; ``keys`` must tell
+    files apart as well as streams.
     """
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     numbered = packets.where(F.col("payload").isNotNull() & (F.col("pid") != NULL_PID)).withColumn("__pes", F.sum(F.when(F.col("pusi"), 1).otherwise(0)).over(w))
     parts = numbered.where("__pes > 0").groupBy(*keys, "__pes").agg(F.min(order).alias("first_offset"), F.count("*").alias("packets"), F.sort_array(F.collect_list(F.struct(order, "payload"))).alias("__p"))
-    data = F.unhex(F.array_join(F.transform("__p", lambda p: F.hex(p["payload"])), ""))
-    out = parts.select(*keys, "first_offset", "packets", data.alias("data"))
-    timed = _octet(F.col("data"), 8) >= 128
-    return out.withColumn("pts", F.when(timed, pts_decode(F.col("data").substr(10, 5))))
+    return parts.select(*keys, "first_offset", "packets", joined(F.col("__p"), "payload").alias("data"))
+
+
+def parse_pes(pes: DataFrame, data: str = "data") -> DataFrame:
+    """Add stream_id, packet_length, aligned, pts, dts, payload (without the header, and cut at the length if one is told) and issue.
+
+    issue: start_code, header (too short, or its marker bits wrong), truncated (fewer octets than told), timestamp.
+    """
+    d = F.col(data)
+    o = lambda k: _octet(d, k)
+    number = lambda k, n: F.conv(F.hex(d.substr(k, n)), 16, 10).cast("long")
+    # stream ids without the optional header
+    bare = o(4).isin(0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
+    told = number(5, 2)
+    start = F.when(bare, F.lit(7)).otherwise(o(9) + 10)
+    end = F.when(told == 0, F.octet_length(d)).otherwise(told + 6)
+    clocks = F.shiftright(o(8), 6)
+    pts, dts = pts_decode(d.substr(10, 5)), pts_decode(d.substr(15, 5))
+    has_pts, has_dts = ~bare & (clocks >= 2), ~bare & (clocks == 3)
+    issue = (
+        F.when((F.octet_length(d) < 6) | (F.hex(d.substr(1, 3)) != "000001"), "start_code")
+        .when(~bare & ((F.octet_length(d) < 9) | (F.shiftright(o(7), 6) != 2)), "header").when((told > 0) & (F.octet_length(d) < told + 6), "truncated")
+        .when(~bare & ((clocks == 1) | (has_pts & ((o(9) < 5) | pts.isNull())) | (has_dts & ((o(9) < 10) | dts.isNull()))), "timestamp")
+        .when(start - 1 > end, "header")
+    )
+    ok = issue.isNull()
+    return pes.withColumns({
+        "stream_id": F.when(ok, o(4)), "packet_length": F.when(ok, told), "aligned": F.when(ok, ~bare & (F.shiftright(o(7), 2) % 2 == 1)),
+        "pts": F.when(ok & has_pts, pts), "dts": F.when(ok & has_dts, dts),
+        "payload": F.when(ok, d.substr(start.cast("int"), (end - start + 1).cast("int"))), "issue": issue,
+    })
 
 
 def build_packet(pid: Column, cc: Column, pusi: Column, payload: Column, pcr: Column | None = None, discontinuity: Column | None = None) -> Column:

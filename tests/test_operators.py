@@ -60,11 +60,11 @@ def test_leaky_bucket_against_a_loop(spark):
     assert [(r["departure"], r["fullness"], r["busy_start"]) for r in got] == want
 
 
-def test_lifecycle_reuse_wins(spark):
+def test_retirement_lasts(spark):
     df = spark.createDataFrame([(1, "A"), (2, "D"), (3, "X"), (4, None), (5, "A")], "n int, s string").withColumn("k", F.lit(1))
     out = lifecycle.lifecycle(df, ["k"], ["n"], "s", [("A", "D")], ["A"], ["D"]).orderBy("n").collect()
-    assert [r["issue"] for r in out] == [None, None, "retired_reused", "missing_status", None]
-    assert [r["generation"] for r in out] == [0, 0, 1, 1, 1]
+    assert [r["issues"] for r in out] == [[], [], ["retired_reused"], ["missing_status", "retired_reused"], ["retired_reused"]]
+    assert [r["retired"] for r in out] == [False, True, True, True, True] and [r["observations"] for r in out] == [1, 2, 3, 4, 5]
 
 
 def test_density_parts_add_up(spark):
