@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import reports, rules, scalars, timed
+from .plans import reports, rules, scalars, streams, timed
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (timed, reports, scalars, rules):
+for module in (timed, reports, scalars, rules, streams):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
