@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import let
+
 
 def _number(raw: Column) -> Column:
     return F.conv(F.hex(raw), 16, 10).cast("long")
@@ -42,9 +44,12 @@ def ber_oid(value: Column, most: int = 9) -> Column:
 def ber_oid_decode(raw: Column) -> Column:
     """The identifier at the start of ``raw``, which has no octets besides; null if it begins with 0x80, has over nine octets, or doesn't end."""
     octets = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: _number(raw.substr(i, F.lit(1))))
-    value = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 128 + x % 128)
-    ends = F.forall(octets, lambda x: x >= 0) & (F.element_at(octets, -1) < 128) & (F.size(F.filter(octets, lambda x: x < 128)) == 1)
-    return F.when(F.octet_length(raw).between(1, 9), F.when((F.element_at(octets, 1) != 128) & ends, value))
+
+    def value(x: Column) -> Column:
+        ends = (F.element_at(x, -1) < 128) & (F.size(F.filter(x, lambda o: o < 128)) == 1)
+        return F.when((F.element_at(x, 1) != 128) & ends, F.aggregate(x, F.lit(0).cast("long"), lambda a, o: a * 128 + o % 128))
+
+    return F.when(F.octet_length(raw).between(1, 9), let(octets, value))
 
 
 def imap_shape(low: float, high: float, length: int) -> tuple[float, float]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import let
+
 
 def wrap_longitude(x: Column) -> Column:
     """Into [-180, 180)."""
@@ -39,18 +41,22 @@ def full_corners(corners: Sequence[tuple[Column, Column]]) -> Column:
 
 def clip_longitude(points: Column, edge: float, above: bool) -> Column:
     """The part of an open ring of (x, y) on one side of a meridian, by walking its edges; an empty array if there is none."""
-    n = F.size(points)
 
     def inside(p: Column) -> Column:
         return p["x"] >= edge if above else p["x"] <= edge
 
-    def walk(i: Column) -> Column:
-        a, b = F.get(points, i), F.get(points, (i + 1) % n)
-        share = (F.lit(edge) - a["x"]) / (b["x"] - a["x"])
-        crossing = F.struct(F.lit(edge).alias("x"), (a["y"] + share * (b["y"] - a["y"])).alias("y"))
-        return F.array_compact(F.array(F.when(inside(a), a), F.when(inside(a) != inside(b), crossing)))
+    def of(ring: Column) -> Column:
+        n = F.size(ring)
+
+        def walk(i: Column) -> Column:
+            a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+            share = (F.lit(edge) - a["x"]) / (b["x"] - a["x"])
+            crossing = F.struct(F.lit(edge).alias("x"), (a["y"] + share * (b["y"] - a["y"])).alias("y"))
+            return F.array_compact(F.array(F.when(inside(a), a), F.when(inside(a) != inside(b), crossing)))
 
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), walk))).otherwise(points)
+        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), walk))).otherwise(ring)
+
+    return let(points, of)
 
 
 def split_antimeridian(points: Column) -> Column:
@@ -62,20 +68,15 @@ def split_antimeridian(points: Column) -> Column:
         x = state["x"] + F.pmod(p["x"] - state["x"] + 180.0, F.lit(360.0)) - 180.0
         return F.struct(x.alias("x"), F.concat(state["ring"], F.array(F.struct(x.alias("x"), p["y"].alias("y")))).alias("ring"))
 
-    through = F.aggregate(points, start, on)["ring"]
-
     def shifted(ring: Column, by: float) -> Column:
         return F.transform(ring, lambda p: F.struct((p["x"] + by).alias("x"), p["y"].alias("y")))
 
-    middle = clip_longitude(clip_longitude(through, -180.0, True), 180.0, False)
-    parts = F.array(middle, shifted(clip_longitude(through, 180.0, True), -360.0), shifted(clip_longitude(through, -180.0, False), 360.0))
-    return F.when(F.size(points) > 2, F.filter(parts, lambda r: (F.size(r) > 2) & (ring_area(r) != 0)))
-
+    def parts(ring: Column) -> Column:
+        middle = clip_longitude(clip_longitude(ring, -180.0, True), 180.0, False)
+        cut = F.array(middle, shifted(clip_longitude(ring, 180.0, True), -360.0), shifted(clip_longitude(ring, -180.0, False), 360.0))
+        return F.filter(cut, lambda r: (F.size(r) > 2) & (ring_area(r) != 0))
 
-def frame_corner(full: Column, centre: Column, offset: Column, longitude: bool) -> Column:
-    """A corner's coordinate: the full one, else the centre and its offset."""
-    value = F.coalesce(full, centre + offset)
-    return wrap_longitude(value) if longitude else F.when(value.between(-90, 90), value)
+    return F.when(F.size(points) > 2, let(F.aggregate(points, start, on)["ring"], parts))
 
 
 def ring_area(points: Column) -> Column:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import let
 from .codecs import ber_oid_decode
 
 
@@ -25,11 +26,15 @@ def oid_length(raw: Column, start: int | Column = 1) -> Column:
 
 def frame_rate(raw: Column) -> Column:
     """Numerator and denominator of a frame rate: two identifiers, the second 1 if absent; null if malformed or divided by 0."""
-    n = F.when(F.octet_length(raw).between(1, 16), oid_length(raw))
-    rest = raw.substr((n + 1).cast("int"), F.lit(20))
-    num = ber_oid_decode(raw.substr(F.lit(1), n.cast("int")))
-    den = F.when(F.octet_length(rest) == 0, F.lit(1).cast("long")).otherwise(ber_oid_decode(rest))
-    return F.when(num.isNotNull() & (den > 0), F.struct(num.alias("numerator"), den.alias("denominator")))
+    def cut(n: Column) -> Column:
+        return F.struct(raw.substr(F.lit(1), n.cast("int")).alias("a"), raw.substr((n + 1).cast("int"), F.lit(20)).alias("b"))
+
+    def read(parts: Column) -> Column:
+        den = F.when(F.octet_length(parts["b"]) == 0, F.lit(1).cast("long")).otherwise(ber_oid_decode(parts["b"]))
+        return F.struct(ber_oid_decode(parts["a"]).alias("numerator"), den.alias("denominator"))
+
+    rate = let(let(F.when(F.octet_length(raw).between(1, 16), oid_length(raw)), cut), read)
+    return let(rate, lambda r: F.when(r["numerator"].isNotNull() & (r["denominator"] > 0), r))
 
 
 def horizon(raw: Column) -> Column:
@@ -99,8 +104,7 @@ def spread_values(df: DataFrame, raw: str) -> DataFrame:
 
 def after_oid(raw: Column) -> tuple[Column, Column]:
     """The identifier that octets begin with, and what follows it."""
-    n = oid_length(raw)
-    return ber_oid_decode(raw.substr(F.lit(1), n.cast("int"))), raw.substr((n + 1).cast("int"), F.lit(1 << 20))
+    return ber_oid_decode(let(oid_length(raw), lambda n: raw.substr(F.lit(1), n.cast("int")))), let(oid_length(raw), lambda n: raw.substr((n + 1).cast("int"), F.lit(1 << 20)))
 
 
 def wavelength_records(df: DataFrame, raw: str) -> DataFrame:

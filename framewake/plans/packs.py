@@ -34,7 +34,7 @@ def _part(table_, column="p_partkey"):
 def frame_rates(spark, sf_dir):
     p, k = _part(table(spark, sf_dir, "part"))
     raw = F.concat(codecs.ber_oid(k * 31), F.when(k % 7 == 0, F.lit(b"\x00")).when(k % 3 == 0, F.lit(b"")).otherwise(codecs.ber_oid(k % 500 + 1)))
-    return p.select("p_partkey", packs.frame_rate(raw).alias("r")).select("p_partkey", "r.*")
+    return p.select("p_partkey", raw.alias("raw")).select("p_partkey", packs.frame_rate(F.col("raw")).alias("r")).select("p_partkey", "r.*")
 
 
 @query("""
@@ -44,14 +44,14 @@ SELECT p_partkey, CASE WHEN p_partkey % 4 <> 1 THEN x END AS x0, CASE WHEN p_par
 def horizons(spark, sf_dir):
     p, k = _part(table(spark, sf_dir, "part"))
     raw = F.concat(_octets(k % 101, 1), F.lit(b"\x00"), _octets(F.lit(100), 1), _octets(k % 101, 1), F.when(k % 4 == 1, F.lit(b"\x01")).when(k % 4 == 2, _octets(k * 7919 % 2147483647, 4)).otherwise(F.lit(b"")))
-    return p.select("p_partkey", packs.horizon(raw).alias("h")).select("p_partkey", "h.x0", "h.x1", "h.latitude0")
+    return p.select("p_partkey", raw.alias("raw")).select("p_partkey", packs.horizon(F.col("raw")).alias("h")).select("p_partkey", "h.x0", "h.x1", "h.latitude0")
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(range(0, 16), lambda b: (CASE WHEN b < 8 THEN p_partkey % 256 ELSE p_partkey // 256 % 256 END) >> CAST(b % 8 AS BIGINT) & 1 = 1), ',') AS bits FROM part")
 def active_bits(spark, sf_dir):
     p, k = _part(table(spark, sf_dir, "part"))
     raw = F.concat(_octets(k % 256, 1), _octets(F.expr("p_partkey div 256 % 256"), 1))
-    return p.select("p_partkey", F.array_join(packs.bitset(raw), ",").alias("bits"))
+    return p.select("p_partkey", raw.alias("raw")).select("p_partkey", F.array_join(packs.bitset(F.col("raw")), ",").alias("bits"))
 
 
 @query("""
@@ -70,7 +70,7 @@ def miis_cores(spark, sf_dir):
     p, k = _part(table(spark, sf_dir, "part"))
     usage = (k % 4) * 32 + (k % 2) * 4
     raw = F.concat(F.when(k % 5 == 0, F.lit(b"\x02")).otherwise(F.lit(b"\x01")), _octets(usage, 1), F.unhex(F.when(k % 4 > 0, F.repeat(F.lit("AB"), 16)).otherwise("")), F.unhex(F.when(k % 2 > 0, F.repeat(F.lit("CD"), 16)).otherwise("")))
-    return p.select("p_partkey", packs.miis_core(raw).alias("m")).select("p_partkey", "m.sensor", F.col("m.window").alias("window_"))
+    return p.select("p_partkey", raw.alias("raw")).select("p_partkey", packs.miis_core(F.col("raw")).alias("m")).select("p_partkey", "m.sensor", F.col("m.window").alias("window_"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..session import scratch, table
+from ..session import scratch, settle, table
 from ..sources import klv, metadata, programs, registry, transport
 from .timed import E, events
 
@@ -99,7 +99,7 @@ def _demultiplexed(spark, sf_dir):
     packets = stream_packets(spark, sf_dir)
     _, pmt = programs.program_tables(packets)
     streams = programs.elementary_streams(pmt).withColumn("pid", F.col("pid").cast("long"))
-    return programs.demultiplex(packets, streams)
+    return settle(programs.demultiplex(packets, settle(streams, "streams")), "pes")
 
 
 @query("""
@@ -133,7 +133,7 @@ SELECT ts_us AS precision_time, event_id * 37 % 65536 * 360.0 / 65535 AS heading
 
 @query(_WIDE.format(f"CASE WHEN event_id % 2 = 0 THEN {_PTS} END"))
 def metadata_items(spark, sf_dir):
-    found = metadata.metadata_packets(_demultiplexed(spark, sf_dir)).where("key is not null")
+    found = settle(metadata.metadata_packets(_demultiplexed(spark, sf_dir)).where("key is not null"), "found")
     keys = ["file", "program", "pid", "offset", "n"]
     values = metadata.local_set_values(found, registry.registry(spark), keys)
     one = lambda tag, column: F.max(F.when(F.col("tag") == tag, F.col(column)))
@@ -146,7 +146,7 @@ def metadata_items(spark, sf_dir):
 
 @query(f"SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'checksum' END AS issue FROM {E}")
 def packet_checks(spark, sf_dir):
-    k = metadata.keyed_packets(local_sets(spark, sf_dir).select("event_id", F.col("klv").alias("data")))
+    k = settle(metadata.keyed_packets(local_sets(spark, sf_dir).select("event_id", F.col("klv").alias("data"))), "found")
     items = klv.local_set_items(k.select("event_id", F.col("value").alias("raw")), "raw", ("event_id",))
     return metadata.packet_issue(k, items, ["event_id"])
 
@@ -156,7 +156,7 @@ WITH g AS (SELECT 'f' || CAST(user_id % 3 AS VARCHAR) AS file, event_id, {_PTS}
 SELECT file, round((pts - min(pts) OVER (PARTITION BY file)) / 90000.0, 6) AS time_seconds, row_number() OVER (PARTITION BY file ORDER BY pts, event_id) AS sample FROM g
 """)
 def timeline(spark, sf_dir):
-    found = metadata.metadata_packets(_demultiplexed(spark, sf_dir)).where("key is not null and pts is not null")
+    found = settle(metadata.metadata_packets(_demultiplexed(spark, sf_dir)).where("key is not null and pts is not null"), "found")
     keys = ["file", "program", "pid", "offset", "n"]
     valid = metadata.local_set_values(found, registry.registry(spark), keys).where("tag = 2").select(*keys)
     t = found.join(valid, keys)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import running_sum_16
+from ..session import settle
 from . import klv, programs, transport
 from .registry import decode_fields, registry
 
@@ -178,13 +179,17 @@ def local_set_values(packets: DataFrame, tags: DataFrame, keys: list[str]) -> Da
 
 
 def scan_transport(spark: SparkSession, path: str, program: int | None = None) -> DataFrame:
-    """From transport files to typed metadata items: file, program, pid, offset, n, pts, and the columns of ``decode_fields``."""
+    """From transport files to typed metadata items: file, program, pid, offset, n, service, pts, and the columns of ``decode_fields``.
+
+    Program tables and metadata, a small part of a stream, are written to the shared folder in between; video never is.
+    """
     parsed = transport.parse_packets(transport.read_packets(spark, path))
     packets = parsed.where("issue is null").select("file", F.col("pid").cast("long").alias("pid"), "offset", "pusi", "payload")
     _, pmt = programs.program_tables(packets)
     streams = programs.elementary_streams(pmt).withColumn("pid", F.col("pid").cast("long"))
-    pes = programs.demultiplex(packets, streams.where("kind = 'metadata'"), program)
-    found = metadata_packets(pes).where("key is not null")
+    streams = settle(streams.where("kind = 'metadata'"), "streams")
+    pes = settle(programs.demultiplex(packets, streams, program), "pes")
+    found = settle(metadata_packets(pes).where("key is not null"), "found")
     keys = ["file", "program", "pid", "offset", "n"]
     values = local_set_values(found, registry(spark), keys)
     return values.join(found.select(*keys, "service", "pts"), keys)
