@@ -158,10 +158,15 @@ def pts_decode(raw: Column) -> Column:
     return F.when(marked, value)
 
 
+def _each_octet(raw: Column) -> Column:
+    """The octets as numbers."""
+    return F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda c: F.ascii(c).cast("long"))
+
+
 def running_sum_16(raw: Column) -> Column:
     """The sum of big-endian 16-bit words modulo 2^16; an odd last octet is the high one."""
-    words = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw), F.lit(1))), lambda i: F.coalesce(_number(raw.substr(i, F.lit(1))), F.lit(0)) * F.when(i % 2 == 1, 256).otherwise(1))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: (a + x) % 65536)
+    words = F.transform(_each_octet(raw), lambda x, i: F.when(i % 2 == 0, x * 256).otherwise(x))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + x) % 65536
 
 
 def crc_table(polynomial: int, bits: int) -> list[int]:
@@ -178,7 +183,7 @@ def crc_table(polynomial: int, bits: int) -> list[int]:
 def _crc(raw: Column, polynomial: int, bits: int, start: int) -> Column:
     raw = F.col(raw) if isinstance(raw, str) else raw
     table = F.array(*[F.lit(x).cast("long") for x in crc_table(polynomial, bits)])
-    octets = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: _number(raw.substr(i, F.lit(1))))
+    octets = _each_octet(raw)
     step = lambda c, x: (c * 256).bitwiseAND((1 << bits) - 1).bitwiseXOR(F.get(table, F.shiftright(c, bits - 8).bitwiseXOR(x).cast("int")))
     return F.when(F.octet_length(raw) == 0, F.lit(start).cast("long")).otherwise(F.aggregate(octets, F.lit(start).cast("long"), step))
 

@@ -22,6 +22,8 @@ def _octet(raw: Column, at: int) -> Column:
 
 #: packets of a range that one task reads at a time
 RANGE_PACKETS = 1 << 18
+#: packets before a range that are read to be in step where it begins
+LEAD = 16
 
 
 def _in_step(data: np.ndarray, at: int, depth: int = 4) -> bool:
@@ -49,7 +51,8 @@ def read_packets(spark: SparkSession, path: str, range_packets: int = RANGE_PACK
 
     A file is cut into ranges of whole packets, read by tasks of their own, so neither its size nor a row's limit matters.
     Where the sync octet is missing, a range looks on for the next place where it recurs at a packet's length; discarded
-    counts the octets passed over before a packet. A packet belongs to the range it starts in. A last partial packet is
+    counts the octets passed over before a packet. A packet belongs to the range it starts in; a range is in step with the
+    packets before it. A last partial packet is
     left out; an empty file has no rows.
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
@@ -62,14 +65,15 @@ def read_packets(spark: SparkSession, path: str, range_packets: int = RANGE_PACK
             for name, length, start in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 store, where = filesystem.FileSystem.from_uri(name)
                 with store.open_input_file(where) as f:
-                    f.seek(start)
-                    data = f.read(min(size + 5 * PACKET, length - start))
-                found = list(slice_packets(data, min(size, length - start)))
+                    begin = max(0, start - LEAD * PACKET)
+                    f.seek(begin)
+                    data = f.read(min(start + size + 5 * PACKET, length) - begin)
+                found = [(p, lost) for p, lost in slice_packets(data, min(start + size, length) - begin) if begin + p >= start]
                 for k in range(0, len(found), 1 << 14):
                     part = found[k : k + (1 << 14)]
                     places = [p for p, _ in part]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(part)), pa.array([start + p for p in places], pa.int64()), pa.array([x for _, x in part], pa.int64()), pa.array([data[p : p + PACKET] for p in places], pa.binary())],
+                        [pa.array([name] * len(part)), pa.array([begin + p for p in places], pa.int64()), pa.array([x for _, x in part], pa.int64()), pa.array([data[p : p + PACKET] for p in places], pa.binary())],
                         ["file", "offset", "discarded", "raw"],
                     )
 

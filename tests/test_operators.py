@@ -133,3 +133,30 @@ def test_entry(spark):
     import __spark_entry__
 
     assert "roc_state" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_reader_finds_its_step_again(spark, tmp_path):
+    packet = lambda k: bytes([0x47, 1, 0, 16 + k % 16]) + bytes([k]) * 184
+    data = b"junk\x47!" + b"".join(packet(k) for k in range(30)) + b"\x00" * 77 + b"".join(packet(k) for k in range(30, 60)) + b"\x47\x00"
+    (tmp_path / "b.ts").write_bytes(data)
+    (tmp_path / "empty.ts").write_bytes(b"")
+    for size in (7, 1 << 18):
+        got = transport.read_packets(spark, str(tmp_path), size).orderBy("offset").collect()
+        assert [bytes(r["raw"])[4] for r in got] == list(range(60)) and got[0]["offset"] == 6 and got[30]["offset"] == 6 + 30 * 188 + 77
+
+
+def test_codes_out_of_range_are_null(spark):
+    one = spark.range(1)
+    r = one.select(
+        codecs.ber_length(F.lit(-1)).alias("a"), codecs.ber_oid_decode(F.lit(b"\xff" * 9 + b"\x01")).alias("b"), codecs.ber_oid_decode(F.lit(b"\x81\x81")).alias("c"),
+        arrays.run_length_expand(F.lit(0), F.lit(1.0), F.array().cast("array<struct<value:double,start:bigint,length:bigint>>")).alias("d"),
+        geometry.ring_area(F.array().cast("array<struct<x:double,y:double>>")).alias("e"),
+    ).first()
+    assert (r["a"], r["b"], r["c"], r["d"], r["e"]) == (None, None, None, [], 0.0)
+
+
+def test_latest_of_equal_times_is_by_number(spark):
+    left = spark.createDataFrame([(1, 5)], "k int, t long")
+    right = spark.createDataFrame([(1, 5, 9), (1, 5, 10)], "k int, u long, j int")
+    assert asof.asof_join(left, right, ["k"], "t", "u", right_order=["j"]).first()["right_j"] == 10
+    assert [m["j"] for m in asof.asof_all(left, right, ["k"], "t", "u", ["j"]).first()["matches"]] == [9, 10]
