@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import packs, reports, rules, scalars, streams, timed
+from .plans import packs, records, reports, rules, scalars, streams, timed
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (timed, reports, scalars, rules, streams, packs):
+for module in (timed, reports, scalars, rules, streams, packs, records):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

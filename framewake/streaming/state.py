@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -13,7 +14,7 @@ def streaming_carry(stream: DataFrame, key: str, order: str, ts: str, tag: str,
     """The value of each arriving row's tag before it, if still visible: key, order, ts, tag, before, late.
 
     State is the last touch of each tag of a key. Rows of a batch are taken in the order of time; a row older than the
-    key's newest is late: it is returned as such and touches nothing.
+    key's newest is late: it is returned as such and touches nothing. A tag that can no longer be visible leaves the state.
     """
     types = dict(stream.dtypes)
     out = f"{key} {types[key]}, {order} {types[order]}, {ts} long, {tag} string, before double, late boolean"
@@ -31,12 +32,27 @@ def streaming_carry(stream: DataFrame, key: str, order: str, ts: str, tag: str,
             if not late:
                 newest = now
                 held[name] = (getattr(row, value), now)
+        held = {k: v for k, v in held.items() if newest - v[1] <= ttl}
         state.update((newest, list(held), [v for v, _ in held.values()], [int(t) for _, t in held.values()]))
         yield pd.DataFrame(found, columns=[key, order, ts, tag, "before", "late"])
 
     return stream.groupBy(key).applyInPandasWithState(run, out, "newest long, tags array<string>, vals array<double>, times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def windowed(stream: DataFrame, ts: str, width: str, lateness: str, keys: list[str], aggregates: list[Column]) -> DataFrame:
+    """Aggregates of tumbling windows, told once, when the watermark has passed their end: keys, start, end, aggregates.
+
+    Rows later than ``lateness`` behind the newest time may be dropped, and no window is kept beyond that.
+    """
+    grouped = stream.withWatermark(ts, lateness).groupBy(F.window(ts, width), *keys).agg(*aggregates)
+    return grouped.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in grouped.columns if c != "window" and c not in keys])
+
+
+def distinct_within(stream: DataFrame, ts: str, lateness: str, keys: list[str]) -> DataFrame:
+    """The first row of each key among those less than ``lateness`` apart; a key leaves the state once the watermark passes it."""
+    return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over all that is there now, into Parquet files, and read them."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
