@@ -49,3 +49,31 @@ def target_elevation(ellipsoid: Column, sea_level: Column) -> Column:
     """value and datum: height above the ellipsoid if there, else above sea level, else unknown."""
     datum = F.when(ellipsoid.isNotNull(), "hae").when(sea_level.isNotNull(), "msl").otherwise("unknown")
     return F.struct(F.coalesce(ellipsoid, sea_level).alias("value"), datum.alias("datum"))
+
+
+def context_issues(
+    declared: Column, reported: Column, detected: Column, at: Column, frame_at: Column, parent_at: Column, standalone: Column, other_source: Column,
+    sourced: Column, size: tuple[Column, Column], frame: tuple[Column, Column], period: Column, offsets: Column,
+) -> Column:
+    """What of a moving-target set contradicts the frame it was made from; what the context doesn't tell (null) isn't checked.
+
+    total_mismatch: ``declared`` targets aren't the ``detected`` ones; total_required: it isn't declared though not all are
+    ``reported``; time_mismatch: ``at`` isn't the frame's time; time_required: an embedded set without time whose parent has
+    another time than the frame; source: the images are of another source and fields of view or identifier (``sourced``)
+    are absent; width, height; offsets: targets with offsets from the parent, over two frame periods apart.
+    """
+    apart = F.abs(F.coalesce(frame_at, at) - parent_at)
+    return F.array_compact(F.array(
+        F.when(declared != detected, "total_mismatch"), F.when(declared.isNull() & (detected != reported), "total_required"),
+        F.when(at != frame_at, "time_mismatch"), F.when(at.isNull() & ~standalone & (parent_at != frame_at), "time_required"),
+        F.when(other_source & ~sourced, "source"), F.when(size[0] != frame[0], "width"), F.when(size[1] != frame[1], "height"),
+        F.when((apart > 2 * period) & offsets, "offsets"),
+    ))
+
+
+def tracker_issues(first: Column, latest: Column, boundary: Column, confidence: Column, history: Column, moving: Column) -> Column:
+    """What is wrong with a track: order (of its times), boundary (one place), confidence (over 100), history (a velocity or
+    acceleration, ``moving``, without a place). ``boundary`` and ``history`` count places, null where not told."""
+    return F.array_compact(F.array(
+        F.when(latest < first, "order"), F.when(boundary == 1, "boundary"), F.when(~confidence.between(0, 100), "confidence"), F.when(moving & (F.coalesce(history, F.lit(0)) < 1), "history"),
+    ))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codecs, records
+from ..functions import targets as targets_
 from ..operators import presentation
 from ..session import micros, scratch, table
+from ..sources import klv, registry, targets
 from ..streaming import state
 from .timed import DAY, E, events
 
@@ -251,3 +253,69 @@ def streaming_windows(spark, sf_dir):
     stream = stream.select("event_type", F.timestamp_micros(micros("ts")).alias("at"))
     days = state.windowed(stream, "at", "1 day", "1 hour", ["event_type"], [F.count("*").alias("n")])
     return state.run_once(days.select("event_type", F.unix_micros("start").alias("start_us"), "n"), scratch(spark, "stream"), scratch(spark, "state"))
+
+
+def _item(tag: int, value):
+    return F.concat(F.lit(bytes([tag])), _told(value))
+
+
+def _target_sets(spark, sf_dir):
+    """A moving-target set for each part, of one to three targets; every eleventh repeats a target."""
+    k = F.col("p_partkey")
+
+    def target(j):
+        items = F.concat(_item(1, _octets(k % 60_000 + 65_536, 3)), _item(5, _octets((k + j) % 120, 1)), _item(10, _octets(k * 7919 % 5033164, 3)), _item(12, _octets(k % 19901, 2)), _item(23, _octets((k + j) % 6, 1)))
+        return _told(F.concat(codecs.ber_oid(F.when(k % 11 == 0, 1).otherwise(j)), items))
+
+    series = F.aggregate(F.transform(F.sequence(F.lit(1).cast("long"), 1 + k % 3), target), F.lit(b""), lambda done, x: F.concat(done, x))
+    raw = F.concat(_item(2, _octets(k * 1_000_003, 8)), _item(5, _octets(k % 200 + 1, 1)), _item(8, _octets(k % 2 * 1920, 2)), _item(11, _octets(k % 23040, 2)), _item(101, series))
+    return klv.local_set_items(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw", ("p_partkey",))
+
+
+@query("""
+SELECT p_partkey, p_partkey * 1000003 AS at_us, CAST(p_partkey % 200 + 1 AS DOUBLE) AS total, CASE WHEN p_partkey % 2 = 1 THEN 1920.0 END AS width, p_partkey % 23040 / 128.0 AS view,
+  CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS issues FROM part
+""")
+def target_sets(spark, sf_dir):
+    values = registry.decode_fields(_target_sets(spark, sf_dir).drop("issue"), registry.registry(spark, targets.SET_TAGS))
+    one = lambda tag, column="num": F.max(F.when(F.col("tag") == tag, F.col(column)))
+    return values.groupBy("p_partkey").agg(one(2, "exact").cast("long").alias("at_us"), one(5).alias("total"), one(8).alias("width"), one(11).alias("view"), F.count("issue").alias("issues"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS k, unnest(range(1, CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 2 + p_partkey % 3 END)) AS j FROM part)
+SELECT k AS p_partkey, j AS target_id, k % 60000 + 65536.0 AS centroid, CASE WHEN (k + j) % 120 <= 100 THEN CAST((k + j) % 120 AS DOUBLE) END AS confidence, round((k * 7919 % 5033164 - 0.6) / 131072.0 - 19.2, 9) AS latitude_offset,
+  k % 19901 - 900.0 AS height, CASE WHEN (k + j) % 6 < 5 THEN CAST((k + j) % 6 AS DOUBLE) END AS status,
+  CASE WHEN (k + j) % 120 > 100 THEN 1 ELSE 0 END + CASE WHEN (k + j) % 6 = 5 THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 THEN k % 3 ELSE 0 END AS issues FROM t
+""")
+def target_series(spark, sf_dir):
+    series = _target_sets(spark, sf_dir).where("tag = 101").select("p_partkey", "raw")
+    values = registry.decode_fields(targets.target_items(series, "raw"), registry.registry(spark, targets.TARGET_TAGS))
+    found = targets.pivot_targets(values, ["p_partkey"], {"centroid": 1, "confidence": 5, "latitude_offset": 10, "height": 12, "status": 23})
+    return found.withColumn("latitude_offset", F.round("latitude_offset", 9))
+
+
+@query("""
+SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 1 THEN 'total_mismatch' END, CASE WHEN p_partkey % 2 = 1 AND p_partkey % 3 > 0 THEN 'total_required' END,
+  CASE WHEN p_partkey % 5 IN (1, 2) THEN 'time_mismatch' END, CASE WHEN p_partkey % 5 = 3 AND p_partkey % 7 > 0 AND p_partkey % 4 > 0 THEN 'time_required' END, CASE WHEN p_partkey % 11 = 0 AND p_partkey % 2 = 0 THEN 'source' END,
+  CASE WHEN p_partkey % 13 = 0 THEN 'width' END, CASE WHEN p_partkey % 7 <= 1 AND p_partkey % 9 = 0 THEN 'height' END, CASE WHEN p_partkey % 4 = 3 AND p_partkey % 3 = 0 THEN 'offsets' END) AS issues FROM part
+""")
+def target_contexts(spark, sf_dir):
+    k, long = F.col("p_partkey"), lambda x: F.lit(x).cast("long")
+    frame = k * 1000
+    issues = targets_.context_issues(
+        F.when(k % 2 == 0, k % 50), k % 50 + F.when(k % 3 == 2, 1).otherwise(0), F.when(k % 3 == 1, k % 50 + 1).otherwise(k % 50), F.when(k % 5 != 3, frame + F.when((k % 5).isin(1, 2), 7).otherwise(0)), frame,
+        frame + F.when(k % 4 == 3, 81).otherwise(k % 4), k % 7 == 0, k % 11 == 0, k % 2 == 1, (long(1920), F.when(k % 7 <= 1, long(1080))),
+        (F.when(k % 13 == 0, 1280).otherwise(1920), F.when(k % 9 == 0, 720).otherwise(1080)), F.lit(40), k % 3 == 0,
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(issues, ",").alias("issues"))
+
+
+@query("""
+SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 5 = 1 THEN 'order' END, CASE WHEN p_partkey % 4 = 1 THEN 'boundary' END, CASE WHEN p_partkey % 103 > 100 THEN 'confidence' END,
+  CASE WHEN p_partkey % 2 = 1 AND p_partkey % 3 <> 1 THEN 'history' END) AS issues FROM part
+""")
+def target_tracks(spark, sf_dir):
+    k = F.col("p_partkey")
+    issues = targets_.tracker_issues(F.when(k % 5 > 0, k), F.when(k % 5 == 1, k - 1).otherwise(k), F.when(k % 4 > 0, k % 4), k % 103, F.when(k % 3 > 0, k % 3 % 2), k % 2 == 1)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(issues, ",").alias("issues"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from framewake.functions import codecs, records
 from framewake.operators import presentation
+from framewake.sources import targets
 from framewake.streaming import state
 
 
@@ -77,3 +78,13 @@ def test_lengths_of_values(spark):
     long = "x" * 200
     raw = spark.range(1).select(F.concat(F.lit(b"\x01\x01"), codecs.ber_length(F.lit(200).cast("long")), F.lit(long).cast("binary")).alias("raw"), F.lit(0).alias("k"))
     assert records.countries(raw, "raw").first()["overflight"] == long
+
+
+def test_target_series(spark):
+    one, two = b"\x04\x01\x05\x01\x09", b"\x07\x02\x05\x01\x09\x05\x01\x08"
+    got = parsed(targets.target_items(packs(spark, one + two, one + one, b"\x01\x01" + one, one + b"\x09\x02", b"", None), "raw"))
+    nine = lambda target, issue=None: (target, 5, b"\x09", issue)
+    assert [(t, tag, raw and bytes(raw), issue) for t, tag, raw, issue in got] == [
+        nine(1), nine(2), (2, 5, b"\x08", "repeated_item"), nine(1), (1, None, None, "repeated_target"), (1, None, None, "no_items"), nine(1),
+        nine(1), (None, None, None, "malformed"), *[(None, None, None, "no_targets")] * 2,
+    ]
