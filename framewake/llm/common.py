@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none and all runs on one machine (tests) a temporary folder is made and set; on a
-    cluster a machine's own folder would lose rows, so there it is an error.
+    Only where the session names none and all runs on one machine (tests) a temporary folder is made, once for each
+    application; on a cluster a machine's own folder would lose rows, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        master = spark.sparkContext.master
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="framewake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="framewake-"))
     return path.rstrip("/")
 
 

@@ -8,7 +8,7 @@ similarity with the concentration of independent samples.
 Banding: ``rows`` coordinates make a band, ``bands`` bands make a sketch. A pair at the threshold 0.85 is missed by all
 28 bands of 5 coordinates with probability 7e-8.
 
-Verification: sets that are equal are one class. Within a bucket classes are first compared with pivots only, not all
+Verification: texts of the same words in the same order, by a cryptographic digest of them, are one class. Within a bucket classes are first compared with pivots only, not all
 with all: with the class that has the most bucket mates, then with four classes of its largest components. That draws in
 most of what belongs together, at about m comparisons for m near copies. Classes of buckets that still hold several
 components then meet in a prefix-filtered join, which is exact: shingles are ordered by how many candidates have them,
@@ -23,7 +23,6 @@ its hashes link is confirmed by its words.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as T
 from .common import discard, materialise, only
+from .classes import spread_components
 from .components import components
 
 U = np.uint64
@@ -75,12 +75,12 @@ def fast_similarity_sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     for i, j, buf, at in T.chunks(column):
         starts, ends, first = T.word_spans(buf, at, T.NOT_SPACE)
-        values, begin = T.shingle_hashes(T.word_hashes(buf, starts, ends), first, size)
+        values, begin = T.shingle_hashes(T.word_digests(buf, starts, ends), first, size)
         yield i, j, T.distinct_by_row(values, begin)
 
 
 def sketch_documents(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, text) to (id, h, n, same, band): a hash of the text, the set's size, a 128-bit key of the whole set, and its band keys."""
+    """(id, text) to (id, h, n, same, band): a hash of the text, the set's size, a 128-bit digest of its words in order, and its band keys."""
 
     def run(batches):
         for batch in batches:
@@ -91,7 +91,7 @@ def sketch_documents(docs: DataFrame, size: int, bands: int, rows: int) -> DataF
                     keys = T.mix(keys * U(3) + sketch[:, r::rows])
                 keys = T.mix(keys + np.arange(1, bands + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
                 n = np.array([len(s) for s in sets], np.int64)
-                same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                same = [T.sequence_key(t) for t in batch.column(2).slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), pa.array(same, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))],
@@ -303,25 +303,9 @@ def near_duplicates(
     labels = None if members.isEmpty() else _links(members, ranked, texts, size, percent)
     discard(heads, bucketed, members, texts, ranked)
 
-    known = classes.where("copies > 1").select("same", F.col("id").alias("component_id"), "copies")
+    found = None
     if labels is not None:
-        found = labels.join(nodes.select(F.col("c").alias("id"), "same"), "id").select("same", "label").join(classes, "same")
-        first = found.groupBy("label").agg(F.min("id").alias("component_id"))
-        known = classes.select("same", "id", "copies").join(found.join(first, "label").select("same", "component_id"), "same", "left")
-        known = known.where("copies > 1 or component_id is not null").select("same", F.coalesce("component_id", "id").alias("component_id"), "copies")
-    known = materialise(known, "known")
-    # a class with a thousandth of all rows has its label broadcast: that is a thousand labels at most
-    total = sketches.count()
-    hot = F.broadcast(known.where(F.col("copies") * 1000 >= total).select("same", "component_id"))
-    rare = named.join(hot.select("same"), "same", "left_anti").join(known.select("same", "component_id").hint("merge"), "same", "left")
-    out = named.join(hot, "same").select("id", "n", "component_id").union(rare.select("id", "n", F.coalesce("component_id", "id")))
-    several = named.groupBy("id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x != y").select("id")
-    several = materialise(several, "several")
-    if not several.isEmpty():
-        # texts of one id join their components
-        joined = components(out.join(several.hint("merge"), "id", "left_semi").select(F.col("id").alias("a"), F.col("component_id").alias("b")))
-        out = out.join(joined.select(F.col("id").alias("component_id"), "label").hint("merge"), "component_id", "left")
-        out = out.select("id", "n", F.coalesce("label", "component_id").alias("component_id"))
-    out = out.union(sketches.where("id is null or same is null").select("id", "n", F.col("id").alias("component_id")))
+        found = labels.join(nodes.select(F.col("c").alias("id"), "same"), "id").select("same", "label")
+    out = spread_components(sketches, classes, found)
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

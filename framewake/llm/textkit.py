@@ -76,10 +76,11 @@ def word_spans(buf: np.ndarray, at: np.ndarray, member: np.ndarray) -> tuple[np.
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, with A-Z taken as a-z.
+    """A quick 64-bit hash of every word, with A-Z taken as a-z.
 
-    Eight bytes at a time are mixed into the hash by a bijection that isn't linear, so words of one length that differ
-    in a single block never collide, and no plain family of words does. Long words are hashed by BLAKE2b.
+    Eight bytes at a time are mixed into the hash by a bijection, so words of one length that differ in a single block
+    never collide; words of several blocks that do can be solved for, as the mixing has no key. So it serves to count and
+    to find, never to decide that two words are equal. Long words are hashed by BLAKE2b.
     """
     if not len(starts):
         return np.empty(0, np.uint64)
@@ -131,6 +132,22 @@ def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return first, which
 
 
+def word_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2b digest of every word, with A-Z taken as a-z. Distinct words, told apart by their bytes, are digested once."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    first, which = distinct_words(buf, starts, ends)
+    data = LOWER[buf].tobytes()
+    found = [hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    return np.frombuffer(b"".join(found), "<u8")[which]
+
+
+def sequence_key(text: str | None) -> bytes | None:
+    """128 bits of the BLAKE2b digest of a text's words in order, with A-Z taken as a-z; None if it has no word."""
+    words = (text or "").encode().lower().split()  # of bytes: just A-Z, and just ASCII white space
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words of each row (a shorter, non-empty row is one run), and where each row's begin."""
     counts = np.diff(first)
