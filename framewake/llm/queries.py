@@ -12,6 +12,7 @@ from .chat import chat_report
 from .common import table
 from .decontaminate import contamination
 from .exactdedup import exact_duplicates
+from .groupjoin import jaccard_groups
 from .htmltext import extract_main_text, labelled_pages
 from .htmltext import train as train_extractor
 from .linededup import drop_boilerplate
@@ -130,6 +131,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op12_groupjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+#: as operator 3, with four words and without the mark of what stays
+OP12_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS ss FROM w
+), e AS (SELECT doc_id, unnest(ss) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.ss) + len(y.ss) - c)),
+both_ways AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, k2.b FROM reach r JOIN both_ways k2 ON r.b = k2.a)
+SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.b, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = s.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_htmltext": op1_htmltext,
     "op2_chat": op2_chat,
@@ -141,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exactdedup": op8_exactdedup,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op12_groupjoin": op12_groupjoin,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,4 +171,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op7_linededup": OP7_SQL,
     "op8_exactdedup": OP8_SQL,
+    "op12_groupjoin": OP12_SQL,
 }
