@@ -18,8 +18,10 @@ from .htmltext import train as train_extractor
 from .linededup import drop_boilerplate
 from .minhash import near_duplicates
 from .quality import score_quality, train
+from .search import ranked_search
 from .sharding import hilbert_shards
 from .tokenfile import token_file
+from .trie import prefix_trie
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -131,6 +133,38 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, sha256(strlen(role) || ':' || role || text) AS k, strlen(text) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), v AS (
+  SELECT c, own, c - c % 5 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda z, i: xor(z >> 1, CASE WHEN z & 1 = 1 THEN 3988292384 ELSE 0 END))), CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM (SELECT c, count(*) AS own FROM t GROUP BY c)
+), w AS (SELECT v.*, least(v.h, coalesce(x.own, 0)) AS shared FROM v LEFT JOIN v x ON x.c = v.base),
+r AS (
+  SELECT w.c, t.pos AS p, t.k, t.b FROM w JOIN t ON t.c = w.base AND t.pos <= w.shared
+  UNION ALL SELECT w.c, t.pos - w.h + w.shared, t.k, t.b FROM w JOIN t ON t.c = w.c AND t.pos > w.h
+), m AS (
+  SELECT c, 0 AS d, '' AS k, 0 AS b FROM w UNION ALL SELECT c, p, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY p)), b FROM r
+), l AS (SELECT c, max(d) AS n FROM m GROUP BY c),
+e AS (SELECT d, k, string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) AS ends FROM m JOIN l ON l.c = m.c AND l.n = m.d GROUP BY d, k),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b FROM m GROUP BY d, k),
+up AS (SELECT node.*, a.conv_id AS parent FROM node LEFT JOIN m ON m.c = node.conv_id AND m.d = node.d - 1 LEFT JOIN node a ON a.d = m.d AND a.k = m.k),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids ON kids.parent = up.conv_id AND kids.d = up.d),
+below AS (
+  SELECT m.d, m.k, count(*) FILTER (y.n_children = 0) AS n_leaves, sum((y.n_convs - 1) * y.b) AS saved FROM full_node y JOIN m ON m.c = y.conv_id AND m.d <= y.d GROUP BY ALL
+)
+SELECT conv_id, CAST(n.d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM full_node n JOIN below USING (d, k) LEFT JOIN e USING (d, k)
+"""
+
+
 def op12_groupjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -152,6 +186,26 @@ FROM s LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = s.doc_
 """
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), c AS (SELECT count(*) AS big_n, CAST(sum(len(ws)) AS BIGINT) AS big_l FROM d WHERE len(ws) > 0),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), c GROUP BY ALL
+), r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_htmltext": op1_htmltext,
     "op2_chat": op2_chat,
@@ -163,7 +217,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exactdedup": op8_exactdedup,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_trie": op11_trie,
     "op12_groupjoin": op12_groupjoin,
+    "op13_search": op13_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -171,5 +227,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op7_linededup": OP7_SQL,
     "op8_exactdedup": OP8_SQL,
+    "op11_trie": OP11_SQL,
     "op12_groupjoin": OP12_SQL,
+    "op13_search": OP13_SQL,
 }
