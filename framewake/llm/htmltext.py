@@ -1,9 +1,11 @@
 """Main-text extraction with a tree-structured graphical model over the DOM.
 
 Every element has a hidden label, content or not. A node potential says how likely its tag and its parent's, its form
-given the tag (the length of its own text, the share of links below it), and the tokens of its class, id and role, or of
-the nearest such above, are under either label; an edge potential says how likely a
-child's label is given its parent's. Both are counted on labelled pages. Sum-product message passing, from the leaves up
+given the tag, and the tokens of its class, id and role, or of the nearest such above, are under either label. The form of
+an element with text of its own is that text's length and the share of links below; of one without, it is how much text
+stands below it, how much of that is in links, and how often it ends a sentence, so articles whose elements have no known
+name are told by what they hold. An edge potential says how likely a child's label is given its parent's: one for parts of a
+text, such as rows and links, and one for all else. Both are counted on labelled pages. Sum-product message passing, from the leaves up
 and from the root down, gives the exact marginal of every label, and a text belongs to the article if its element's
 marginal for content is over one half.
 """
@@ -57,6 +59,10 @@ LEAVES = frozenset(
 )
 #: an opening tag that closes an open p looks for it up to these
 P_SCOPE = frozenset("article aside blockquote body button div footer form header li main nav object section td th foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: lists, and what their rows are made of
+LISTS = frozenset(["ul", "ol", "dl", "table"])
+ROWS = frozenset("li dt dd tbody tr td th a".split())
+PARTS_OF_TEXT = INLINE | {"li", "dt", "dd"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
@@ -67,6 +73,7 @@ _TOKEN = re.compile(
 _RAW_TAG = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'data-content="([01])"')
+_STOP = re.compile(r"[.!?\u2026\u3002](?=[\s\"')]|\Z)")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -78,6 +85,8 @@ class Page:
     tag: list[str] = field(default_factory=lambda: [""])
     attributes: list[str] = field(default_factory=lambda: [""])
     length: list[int] = field(default_factory=lambda: [0])
+    stops: list[int] = field(default_factory=lambda: [0])
+    led: list[bool] = field(default_factory=lambda: [False])
     blocks: list[list[tuple[int, str]]] = field(default_factory=list)
 
 
@@ -88,13 +97,17 @@ def parse(html: str) -> Page:
     stack, block, at = [0], [], 0
     # of each element: the svg or math that it is in, or 0; that its content is in; and whether its text is never shown
     within, foreign, unseen = [0], [0], [False]
+    ending = ""  # of the last text
     names = [""]  # as written; the page's tags tell an element of svg or math from HTML's of the same name
 
     def text(raw: str) -> None:
+        nonlocal ending
         if unseen[stack[-1]]:
             return
         block.append((stack[-1], raw))
         length[stack[-1]] += len(raw.strip())
+        page.stops[stack[-1]] += len(_STOP.findall(raw))
+        ending = raw.rstrip()[-1:] or ending
 
     def close(ended: frozenset, stop: frozenset) -> None:
         for depth in range(len(stack) - 1, 0, -1):
@@ -158,6 +171,8 @@ def parse(html: str) -> Page:
         tags.append(name if not root or name == "a" else f"{tags[root]}:{name}")
         attributes.append(own)
         length.append(0)
+        page.stops.append(0)
+        page.led.append(name in LISTS and ending == ":")
         stack.append(len(tags) - 1)
     if at < len(html):
         text(html[at:])
@@ -166,26 +181,39 @@ def parse(html: str) -> Page:
     return page
 
 
-def _links(page: Page) -> list[int]:
-    """How much of the text below each element is in links: -1 no text, 0 little, 1 some, 2 most."""
+def _masses(page: Page) -> tuple[list[int], list[str]]:
+    """How much of the text below each element is in links (-1 no text, 0 little, 1 some, 2 most); and its mass: the bins of
+    that text's length, of its share of links, of its ends of sentences, and of its share of the page."""
     n = len(page.tag)
-    total, linked = page.length[:], [0] * n
+    total, linked, stops = page.length[:], [0] * n, page.stops[:]
     for k in range(n - 1, 0, -1):
         if page.tag[k] == "a":
             linked[k] = total[k]
         total[page.parent[k]] += total[k]
         linked[page.parent[k]] += linked[k]
-    return [-1 if not t else 0 if x < 0.3 * t else 1 if x < 0.75 * t else 2 for t, x in zip(total, linked)]
+        stops[page.parent[k]] += stops[k]
+    share = [-1 if not t else 0 if x < 0.3 * t else 1 if x < 0.75 * t else 2 for t, x in zip(total, linked)]
+    mass = []
+    for t, x, s in zip(total, share, stops):
+        size = 0 if not t else 1 if t < 40 else 2 if t < 160 else 3 if t < 640 else 4
+        mass.append(f"{size} {x} {0 if not s else 1 if s * 200 < t else 2} {0 if 8 * t < total[0] else 1 if 2 * t < total[0] else 2}")
+    return share, mass
 
 
 def _evidence(page: Page) -> list[list[str]]:
-    """What the node potential sees of each element: its tags, its form, and its names or those of the nearest named element above."""
-    links, out, named = _links(page), [], []
+    """What the node potential sees of each element: its tags, its form, and its names or those of the nearest named element above.
+
+    A list that a colon leads to, and what its rows are made of, count as tags of their own.
+    """
+    (links, mass), out, named, tags = _masses(page), [], [], []
     for k, tag in enumerate(page.tag):
+        if page.led[k] or k and tag in ROWS and tags[page.parent[k]].endswith(":"):
+            tag += ":"
+        tags.append(tag)
         size = page.length[k]
         bin_ = 0 if not size else 1 if size < 25 else 2 if size < 100 else 3
-        above = page.tag[page.parent[k]] if k else ""
-        seen = [f"pair {above} {tag}", f"form {tag} {bin_} {links[k]}"]
+        above = tags[page.parent[k]] if k else ""
+        seen = [f"pair {above} {tag}", f"form {tag} {bin_} {links[k]}" if size else f"mass {tag} {mass[k]}"]
         own = page.attributes[k]
         found = [x for m in _NAMES.finditer(own) for x in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if x] if "=" in own else []
         above_names = named[page.parent[k]] if k else []
@@ -197,35 +225,41 @@ def _evidence(page: Page) -> list[list[str]]:
 
 @dataclass
 class TreeModel:
-    """node: evidence to the ratio of its likelihoods, content over other. edge[p][c]: a child's label c given its parent's p."""
+    """node: evidence to the ratio of its likelihoods, content over other. edge[p][c]: a child's label c given its parent's p; part: of PARTS_OF_TEXT."""
 
     node: dict[str, float]
     edge: tuple[tuple[float, float], tuple[float, float]]
     root: float
+    part: tuple[tuple[float, float], tuple[float, float]] | None = None
 
     def marginals(self, page: Page) -> list[float]:
         """The probability of content for each element, by sum-product over the tree."""
         n = len(page.tag)
-        parent, (stay, enter), (leave, keep) = page.parent, *self.edge
+        parent, edges = page.parent, [self.part or self.edge if tag in PARTS_OF_TEXT else self.edge for tag in page.tag]
         own = []
         get = self.node.get
         for seen in _evidence(page):
             # a pair of tags that no labelled page has counts as its tag alone
             ratio = get(seen[0]) or get("tag " + seen[0].rsplit(" ", 1)[1], 1.0)
-            for e in seen[1:]:
+            # and a form of a tag that they have under one label only, as that form of any tag
+            form = get(seen[1])
+            if form is None and seen[1].startswith("mass"):
+                form = get("mass * " + seen[1].split(" ", 2)[2])
+            ratio *= 1.0 if form is None else form
+            for e in seen[2:]:
                 ratio *= get(e, 1.0)
             own.append(min(max(ratio, 1e-12), 1e12))
         # upward, as ratios of content over other: children come after their parents in page order
         up, message = own[:], [1.0] * n
         for k in range(n - 1, 0, -1):
-            r = up[k]
+            r, ((stay, enter), (leave, keep)) = up[k], edges[k]
             message[k] = (leave + keep * r) / (stay + enter * r)
             up[parent[k]] = min(max(up[parent[k]] * message[k], 1e-100), 1e100)
         # downward: what the rest of the page says of an element
         belief = [0.0] * n
         belief[0] = up[0] * self.root / (1 - self.root)
         for k in range(1, n):
-            above = belief[parent[k]] / message[k]
+            above, ((stay, enter), (leave, keep)) = belief[parent[k]] / message[k], edges[k]
             prior = (enter + keep * above) / (stay + leave * above)
             belief[k] = min(max(up[k] * prior, 1e-100), 1e100)
         return [b / (1 + b) for b in belief]
@@ -234,7 +268,8 @@ class TreeModel:
 def train(pages: list[str]) -> TreeModel:
     """Count potentials on pages whose elements say their label as ``data-content="0"`` or ``"1"``."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    labels, edges = [0, 0], [[1.0, 0.01], [1.0, 1.0]]  # content under other is all but ruled out before counting
+    # content under other is all but ruled out before counting
+    labels, edges = [0, 0], {part: [[1.0, 0.01], [1.0, 1.0]] for part in (False, True)}
     for html in pages:
         page = parse(html)
         y = [1]
@@ -245,20 +280,23 @@ def train(pages: list[str]) -> TreeModel:
         evidence = _evidence(page)
         for k in range(1, len(page.tag)):
             labels[y[k]] += 1
-            edges[y[page.parent[k]]][y[k]] += 1
-            seen[y[k]].update({*evidence[k], f"tag {page.tag[k]}"})
+            edges[page.tag[k] in PARTS_OF_TEXT][y[page.parent[k]]][y[k]] += 1
+            tag = evidence[k][0].rsplit(" ", 1)[1]
+            seen[y[k]].update({*evidence[k], f"tag {tag}"})
+            if evidence[k][1].startswith("mass"):
+                seen[y[k]].update(["held " + tag, "held *", "mass * " + evidence[k][1].split(" ", 2)[2]])
     node = {}
     for e in {*seen[0], *seen[1]}:
         kind, of = e.split(" ")[:2]
-        if kind == "form":
-            # given the tag: of sixteen forms, and only for tags that both labels have
-            have = [seen[y][f"tag {of}"] for y in (0, 1)]
+        if kind in ("form", "mass"):
+            # given the tag: of about sixteen forms, and only for tags that both labels have
+            have = [seen[y][f"{'tag' if kind == 'form' else 'held'} {of}"] for y in (0, 1)]
             if min(have) >= 5:
                 node[e] = ((seen[1][e] + 0.5) / (have[1] + 8)) / ((seen[0][e] + 0.5) / (have[0] + 8))
-        else:
+        elif kind != "held" and (kind not in ("name", "within") or seen[0][e] + seen[1][e] >= 3):
             node[e] = ((seen[1][e] + 0.5) / (labels[1] + 1)) / ((seen[0][e] + 0.5) / (labels[0] + 1))
-    edge = tuple(tuple(c / sum(row) for c in row) for row in edges)
-    return TreeModel(node, edge, 0.9)
+    edge, part = (tuple(tuple(c / sum(row) for c in row) for row in edges[k]) for k in (False, True))
+    return TreeModel(node, edge, 0.9, part)
 
 
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
@@ -314,6 +352,32 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
         }[body]()
         return f'<{tag}{attribute} data-content="0">{inner}</{tag}>'
 
+    plain = random.Random(f"plain {seed}")  # of its own as well: layouts in which no name is known
+
+    def unnamed(tag: str, inner: str, label: str = "") -> str:
+        name = "".join(plain.choice("bcdfgkmpqtvxz0123") for _ in range(plain.randint(2, 7)))
+        attribute = plain.choice(["", "", f' class="{name}"', f' id="{name}"', f' class="{name}-{plain.randint(1, 99)}"'])
+        return f"<{tag}{attribute}{label}>{inner}</{tag}>"
+
+    def menu() -> str:
+        items = [f'<a href="/{words(1, 1, plain)}">{words(1, 3, plain)}</a>' for _ in range(plain.randint(2, 8))]
+        head = f"{words(1, 2, plain)}:" if plain.random() < 0.15 else ""
+        return head + plain.choice([f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>", " | ".join(items), "".join(f"<div>{x}</div>" for x in items)])
+
+    def sources() -> str:
+        """A paragraph that leads to a list of links within an article."""
+        return f"<p>{words(1, 4, plain)}:</p><ul>" + "".join(f'<li><a href="/{words(1, 1, plain)}">{words(2, 9, plain)}</a></li>' for _ in range(plain.randint(1, 4))) + "</ul>"
+
+    def nameless(body: list[str]) -> str:
+        """An article in the body itself, or in containers that say nothing, between menus and the like that say nothing either."""
+        inner = "".join(body)
+        for _ in range(plain.choice([0, 1, 1, 2, 3])):
+            inner = unnamed(plain.choice(["div", "div", "div", "section", "center"]), inner)
+        aside = ' data-content="0"'
+        sides = lambda: [unnamed(plain.choice(["div", "div", "section", "ul"]), menu(), aside) for _ in range(plain.randint(0, 2))]
+        close = [unnamed("div", plain.choice([f"{words(1, 5, plain)}", f"<a href='/'>{words(1, 3, plain)}</a> {words(1, 4, plain)}", menu()]), aside) for _ in range(plain.randint(0, 2))]
+        return "".join(sides()) + inner + "".join([*sides(), *close])
+
     pages = []
     for _ in range(n):
         body = [f"<h1>{words(2, 9)}</h1>"] if rng.random() < 0.8 else []
@@ -330,10 +394,14 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
         article = f"<{tag}{attribute}>{''.join(body)}</{tag}>"
         if tag == "article" and rng.random() < 0.3:
             article = f"<main>{article}</main>"
+        if plain.random() < 0.25:
+            body.insert(plain.randint(1, len(body)), sources())
         before = [other("top") for _ in range(rng.randint(0, 3))]
         after = [other("bottom") for _ in range(rng.randint(0, 3))]
         if fallback.random() < 0.1:
             before.insert(0, f'<noscript data-content="0">{words(3, 12, fallback)}.</noscript>')
+        if plain.random() < 0.5:
+            article = nameless(body)
         middle = "".join(before) + article + "".join(after)
         if rng.random() < 0.3:
             middle = f'<div class="{rng.choice(["wrapper", "container", "page", "row", "layout"])}">{middle}</div>'
