@@ -172,22 +172,29 @@ def join_inside(groups: DataFrame, texts: DataFrame, size: int, percent: int) ->
 
 
 def matrix_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(c, g): classes and the groups of other components that share a shingle of their prefixes and fit by size.
+    """(c, g): classes and the groups of other components that share a shingle of their prefixes and fit by size and position.
 
-    rows: c, n, k (the component, or the group of classes that have none), g, prefix. The class is the larger set of a pair.
+    rows: c, n, own, k (the component, or the group of classes that have none), g, prefix (at, shingle). The class is the
+    larger set of a pair, so a member is in the matrix with the few of its rarest shingles that a set no smaller must share.
     """
-    entries = materialise(rows.select("c", "n", "k", "g", F.explode("prefix.shingle").alias("shingle")), "entries")
-    matrix = entries.groupBy("shingle", "k", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("held"))
+    whole = 100 + percent
+    # J >= percent / 100 of sizes n and m: an overlap of percent * (n + m) / (100 + percent) at least
+    need = lambda n, m: f"({percent} * ({n} + {m}) + {whole - 1}) div {whole}"
+    entries = materialise(rows.select("c", "n", "own", "k", "g", F.explode("prefix").alias("e")).select("c", "n", "own", "k", "g", "e.*"), "entries")
+    matrix = entries.where(f"at <= n - {need('n', 'n')}").groupBy("shingle", "k", "g").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.expr("n - own")).alias("most"), F.count("*").alias("held"),
+    )
     by_part = matrix.groupBy("shingle", "k").agg(F.sum("held").alias("held"))
-    tops = by_part.groupBy("shingle").agg(F.max_by("k", "held").alias("top"), F.min("k").alias("x"), F.max("k").alias("y")).where("x != y")
-    tops = materialise(tops.select("shingle", "top"), "tops")
+    asked_by = entries.groupBy("shingle").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x != y")
+    tops = by_part.groupBy("shingle").agg(F.max_by("k", "held").alias("top")).join(asked_by.select("shingle").hint("merge"), "shingle")
+    tops = materialise(tops, "tops")
     # what belongs to the largest component under a shingle meets the others only
     turns = F.explode(F.when(F.col("k") != F.col("top"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     turn = F.when(F.col("k") != F.col("top"), 0).otherwise(1)
-    asked = entries.join(tops.hint("merge"), "shingle").select("shingle", "c", "n", F.col("k").alias("kc"), turn.alias("turn"))
-    held = matrix.join(tops.hint("merge"), "shingle").select("shingle", "g", "k", "lo", "hi", turns.alias("turn"))
-    fits = asked.join(held.hint("merge"), ["shingle", "turn"]).where(f"kc != k and n >= lo and 100 * hi >= {percent} * n")
-    found = materialise(fits.select("c", "g").distinct(), "candidates")
+    asked = entries.join(tops.hint("merge"), "shingle").select("shingle", "c", "n", F.expr("n - own").alias("mine"), "at", F.col("k").alias("kc"), turn.alias("turn"))
+    held = matrix.join(tops.hint("merge"), "shingle").select("shingle", "g", "k", "lo", "hi", "most", turns.alias("turn"))
+    close = f"kc != k and n >= lo and 100 * hi >= {percent} * n and at <= n - {need('n', 'lo')} and least(mine, most) >= {need('n', 'lo')}"
+    found = materialise(asked.join(held.hint("merge"), ["shingle", "turn"]).where(close).select("c", "g").distinct(), "candidates")
     discard(entries, tops)
     return found
 
@@ -292,7 +299,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = cut_groups(parts.select("lead", "m0", "m1", "c", "n"), ["lead", "m0", "m1"])
     # classes without a component share their group's negative number in place of one
     groups = materialise(groups.select("g", "c", "n", F.coalesce("lead", -1 - F.col("g")).alias("k"), F.col("lead").isNull().alias("lone")), "groups")
-    candidates = matrix_candidates(groups.join(ranked.select("c", "prefix").hint("merge"), "c").select("c", "n", "k", "g", "prefix"), percent)
+    candidates = matrix_candidates(groups.join(ranked.select("c", "own", "prefix").hint("merge"), "c").select("c", "n", "own", "k", "g", "prefix"), percent)
     links.append(materialise(open_groups(candidates, groups.select("g", "c", "lone"), texts, size, percent), "links"))
     if not links[-1].isEmpty():
         labels = labelled()
