@@ -246,7 +246,8 @@ def open_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, size
 def _survivors(heads: DataFrame, percent: int) -> DataFrame:
     """``c`` of the classes that share as many prefix shingles with others as a link asks for. heads: c, n, first."""
     spread = heads.select("c", F.explode("first").alias("shingle"))
-    often = spread.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("shingle")
+    # a class has a shingle once
+    often = spread.groupBy("shingle").count().where("count > 1").select("shingle")
     shared = spread.join(often.hint("merge"), "shingle").groupBy("c").agg(F.count("*").alias("shared"))
     # the least partner of a set of n has percent * n / 100 shingles
     least = F.expr(f"({percent} * n + 99) div 100")
@@ -270,7 +271,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialise(classes.select("same", "head.*", "copies"), "classes")
     heads = named.join(classes.select("same", "id", "h").hint("merge"), ["same", "id", "h"]).dropDuplicates(["same"])
     heads = materialise(heads.select(F.monotonically_increasing_id().alias("c"), "*"), "heads")
+    full, rows = rows, materialise(rows.select("id", "n", "same"), "rows")
+    discard(full)
     nodes = materialise(heads.join(_survivors(heads, percent).hint("merge"), "c", "left_semi").drop("first"), "nodes")
+    discard(heads)
     texts = rows_in.withColumn("h", F.xxhash64("text")).join(nodes.select("c", "id", "h").hint("merge"), ["id", "h"])
     texts = materialise(texts.select("c", "text"), "texts")
     ranked = materialise(ranked_shingles(texts, nodes.select("c", "n"), size, percent), "ranked")
@@ -304,6 +308,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not links[-1].isEmpty():
         labels = labelled()
     found = labels.select(F.col("id").alias("c"), "label").join(nodes.select("c", "same").hint("merge"), "c").select("same", "label")
-    discard(heads, texts, ranked, live, groups, candidates, *links)
-    out = spread_components(rows.select("id", "n", "same"), classes, found)
+    discard(texts, ranked, live, groups, candidates, *links)
+    out = spread_components(rows, classes, found)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
