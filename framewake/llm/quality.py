@@ -177,7 +177,8 @@ def is_held_out(id_col):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, most: int = TRAIN_ROWS) -> Model:
     """Fit on labelled rows that aren't held out, ``most`` at most, those of the least hashed ids.
 
-    Only the sample's features, a few numbers a row, come to the driver. Unlabelled rows and null ids take no part.
+    Only the sample's features, a few numbers a row, come to the driver: ``most`` rows, however often ids repeat. Unlabelled
+    rows and null ids take no part; an empty table gives a model that scores 0.5.
     """
     known = only(labels, id=id_col, label=label_col).where("id is not null and label is not null").where(~is_held_out(F.col("id")))
     known = known.orderBy(F.xxhash64("id"), "id", "label").limit(most)
@@ -189,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # the sample is of at most ``most`` rows, so it may be broadcast
     rows = only(docs, id=id_col, text=text_col).join(F.broadcast(known), "id").select("id", "text", F.col("label").cast("int"))
-    got = rows.mapInArrow(run, "id long, label int, x array<double>").toPandas().sort_values("id", kind="stable")
+    found = rows.mapInArrow(run, "id long, label int, x array<double>").orderBy(F.xxhash64("id"), "id", "label", "x").limit(most)
+    got = found.toPandas().sort_values("id", kind="stable")
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["label"].to_numpy(dtype=float))
 

@@ -108,7 +108,17 @@ def hilbert_shards(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", **options) -> None:
-    """Write the whole rows of ``docs``, whose ids are unique, as one folder a shard, each in slot order."""
-    place = hilbert_shards(docs, shards, id_col, **options).select(F.col(id_col).alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    joined = docs.join(place, docs[id_col].eqNullSafe(place["__id"])).drop("__id")
-    joined.repartition("__shard").sortWithinPartitions("__shard", "__slot").drop("__slot").withColumnRenamed("__shard", "shard").write.partitionBy("shard").parquet(path)
+    """Write the whole rows of ``docs``, whose ids are unique, as one folder a shard; a shard's files are in slot order.
+
+    Rows are dealt by ranges of shard and slot, so a large shard is written by several tasks. The folders are named
+    ``shard=``, with underscores before it as long as ``docs`` has a column of that name. A null id is an id like any other;
+    an empty table writes no shard; rows of equal places on the curve are in the order of hilbert_shards.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    place = hilbert_shards(docs, shards, id_col, **options).select(F.col(id_col).alias("id"), F.col("shard").alias("at"), "slot")
+    held = docs.select(F.col(f"`{id_col}`").alias("mine"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = held.join(place, held["mine"].eqNullSafe(place["id"])).select("row", "at", "slot")
+    dealt = joined.repartitionByRange("at", "slot").sortWithinPartitions("at", "slot")
+    dealt.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("at").alias(name)).write.partitionBy(name).parquet(path)
