@@ -37,7 +37,7 @@ def _item(tag: int, value):
     return F.concat(_octets(F.lit(tag), 1), codecs.ber_length(F.octet_length(value).cast("long")), value)
 
 
-def local_sets(spark, sf_dir) -> DataFrame:
+def local_sets(spark, sf_dir, files: int = 3) -> DataFrame:
     """A keyed packet for each event; every eleventh has a wrong checksum."""
     e = events(spark, sf_dir)
     i = F.col("event_id")
@@ -46,7 +46,7 @@ def local_sets(spark, sf_dir) -> DataFrame:
         _item(39, _octets(i % 256, 1)), F.when(i % 3 == 0, _item(56, F.lit(b""))).otherwise(_item(56, _octets(i % 200, 1))), _item(65, F.lit(b"\x13")), _item(96, _octets(i * 101 % (1 << 23), 3)),
     )
     start = F.concat(F.unhex(F.lit(metadata.LOCAL_SET_KEY)), codecs.ber_length(F.octet_length(items).cast("long") + 4), items, F.lit(b"\x01\x02"))
-    e = e.select("event_id", "ts_us", F.concat(F.lit("f"), (F.col("user_id") % 3).cast("string")).alias("file"), start.alias("start"))
+    e = e.select("event_id", "ts_us", F.concat(F.lit("f"), (F.col("user_id") % files).cast("string")).alias("file"), start.alias("start"))
     summed = codecs.running_sum_16(F.col("start")) + F.when(i % 11 == 0, 1).otherwise(0)
     return e.select("event_id", "ts_us", "file", F.concat("start", _octets(summed % 65_536, 2)).alias("klv"))
 
@@ -60,13 +60,13 @@ def _program_map(file, order):
     return [one(0, 0, pat), one(0x100, 1, pmt)]
 
 
-def stream_packets(spark, sf_dir) -> DataFrame:
-    """Parsed packets (file, offset, pid, pusi, payload, ...) of transport streams that carry the local sets.
+def raw_packets(spark, sf_dir, files: int = 3) -> DataFrame:
+    """Packets (file, offset, raw) of transport streams that carry the local sets; offset is their order.
 
     Even events are synchronous, every sixth in two fragments; odd ones asynchronous, every fifth in two PES packets. PES
     packets of every fourth event take two packets. Other pids and null packets lie between.
     """
-    sets = local_sets(spark, sf_dir)
+    sets = local_sets(spark, sf_dir, files)
     i = F.col("event_id")
     part = lambda a, n=1 << 20: F.col("klv").substr(a, n)
     cell = lambda k, fragment, data: F.struct(F.lit(k).alias("k"), F.lit(fragment).alias("fragment"), data.alias("data"))
@@ -92,7 +92,12 @@ def stream_packets(spark, sf_dir) -> DataFrame:
     raw = transport.build_packet(F.col("pid"), F.col("cc"), F.col("pusi"), F.col("payload"))
     path = scratch(spark, "packets")
     all_.select("file", F.col("at").alias("offset"), raw.alias("raw")).write.parquet(path)
-    return transport.parse_packets(spark.read.schema("file string, offset long, raw binary").parquet(path)).withColumn("pid", F.col("pid").cast("long"))
+    return spark.read.schema("file string, offset long, raw binary").parquet(path)
+
+
+def stream_packets(spark, sf_dir) -> DataFrame:
+    """Parsed packets (file, offset, pid, pusi, payload, ...) of the streams of ``raw_packets``."""
+    return transport.parse_packets(raw_packets(spark, sf_dir)).withColumn("pid", F.col("pid").cast("long"))
 
 
 def _demultiplexed(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import packs, records, reports, rules, scalars, streams, timed
+from .plans import files, packs, records, reports, rules, scalars, streams, timed, trees
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (timed, reports, scalars, rules, streams, packs, records):
+for module in (timed, reports, scalars, rules, streams, packs, records, files, trees):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import running_sum_16
 from ..session import settle
-from . import klv, programs, transport
+from . import klv, programs, stream_files, transport
 from .registry import decode_fields, registry
 
 #: the key of the local set of the registry
@@ -181,14 +181,23 @@ def local_set_values(packets: DataFrame, tags: DataFrame, keys: list[str]) -> Da
 def scan_transport(spark: SparkSession, path: str, program: int | None = None) -> DataFrame:
     """From transport files to typed metadata items: file, program, pid, offset, n, service, pts, and the columns of ``decode_fields``.
 
-    Program tables and metadata, a small part of a stream, are written to the shared folder in between; video never is.
+    Three passes read ranges of the files, and each makes rows of the pids it is for alone: program associations, the program
+    maps they name, and metadata; of video no packet ever becomes a row. Pids, a few for each file, choose the next pass's
+    packets; metadata, a small part of a stream, is written to the shared folder in between.
     """
-    parsed = transport.parse_packets(transport.read_packets(spark, path))
-    packets = parsed.where("issue is null").select("file", F.col("pid").cast("long").alias("pid"), "offset", "pusi", "payload")
-    _, pmt = programs.program_tables(packets)
-    streams = programs.elementary_streams(pmt).withColumn("pid", F.col("pid").cast("long"))
-    streams = settle(streams.where("kind = 'metadata'"), "streams")
-    pes = settle(programs.demultiplex(packets, streams, program), "pes")
+    stream_files.register(spark)
+    packets = lambda pids: transport.parse_packets(
+        spark.read.format("transport").option("path", path).option("pids", ",".join(map(str, sorted(pids)))).load().select("file", "offset", "raw")
+    ).where("issue is null").select("file", F.col("pid").cast("long").alias("pid"), "offset", "pusi", "payload")
+    pat = settle(programs.parse_pat(programs.sections(packets([0]))), "pat")
+    wanted = pat.where("issue is null and current").select("file", F.col("pmt_pid").alias("pid")).distinct()
+    # pids are 13 bits wide, so there are 8,192 at most
+    maps = {r[0] for r in wanted.select("pid").distinct().collect()}
+    pmt = programs.parse_pmt(programs.sections(packets(maps or {transport.NULL_PID}).join(wanted, ["file", "pid"], "left_semi")))
+    # a stream begins with a map that has it and ends with its program's next one, whether that has it or not
+    streams = settle(programs.stream_spans(pmt).where("kind = 'metadata'"), "streams")
+    own = {r[0] for r in streams.select("pid").distinct().collect()}
+    pes = settle(programs.demultiplex(packets(own or {transport.NULL_PID}), streams, program), "pes")
     found = settle(metadata_packets(pes).where("key is not null"), "found")
     keys = ["file", "program", "pid", "offset", "n"]
     values = local_set_values(found, registry(spark), keys)

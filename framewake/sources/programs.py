@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import mpeg2_crc32
 from ..operators.asof import asof_join
+from ..session import settle
 from .transport import NULL_PID, assemble_pes, joined, parse_pes
 
 # Stream types of video and of audio
@@ -184,37 +185,56 @@ def elementary_streams(pmt: DataFrame) -> DataFrame:
 
 def program_tables(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Program association rows and program map rows of parsed packets (file, offset, pid, pusi, payload)."""
-    pat = parse_pat(sections(packets.where("pid = 0")))
-    wanted = pat.where("issue is null and current").select("file", F.col("pmt_pid").alias("pid")).distinct()
-    # a row for each program of a file
-    maps = packets.where("pid <> 0").join(F.broadcast(wanted), ["file", "pid"], "left_semi")
+    pat = settle(parse_pat(sections(packets.where("pid = 0"))), "pat")
+    # a row for each program of a file: its size is known from the table, so Spark broadcasts it only where it is small
+    wanted = settle(pat.where("issue is null and current").select("file", F.col("pmt_pid").alias("pid")).distinct(), "maps")
+    maps = packets.where("pid <> 0").join(wanted, ["file", "pid"], "left_semi")
     return pat, parse_pmt(sections(maps))
 
 
+def stream_spans(pmt: DataFrame) -> DataFrame:
+    """``elementary_streams`` with until_offset: where the program's next current map stands, null for its last.
+
+    A map that a program repeats unchanged begins no new span; one that no longer has a stream ends it.
+    """
+    maps = pmt.where("issue is null and current")
+    w = Window.partitionBy("file", "program").orderBy("offset")
+    fresh = F.lag("streams").over(w).isNull() | (F.lag("streams").over(w) != F.col("streams"))
+    changed = maps.withColumn("__new", fresh).where("__new")
+    ends = changed.withColumn("until_offset", F.lead("offset").over(w)).select("file", "program", F.col("offset").alias("from_offset"), "until_offset")
+    kept = changed.drop("__new")
+    return elementary_streams(kept).withColumn("pid", F.col("pid").cast("long")).join(ends, ["file", "program", "from_offset"])
+
+
 def demultiplex(packets: DataFrame, streams: DataFrame, program: int | None = None) -> DataFrame:
     """PES packets with the stream that is active where they start: its columns and those of ``parse_pes``.
 
-    A stream's packets before its first program map, and pids that no map names, are left out. ``program`` keeps one program,
-    before packets are shuffled. Streams, a row each, are broadcast for that.
+    A stream's packets before its first program map, after a map of its program that no longer has it, and pids that no map
+    names, are left out; ``streams`` of ``stream_spans`` say where they end, those of ``elementary_streams`` go on to the pid's next.
+    A PES packet that is cut off by the end of its stream is left out with it. ``program`` keeps one program.
     """
     streams = streams if program is None else streams.where(F.col("program") == program)
-    named = F.broadcast(streams.select("file", "pid").distinct())
+    if "until_offset" not in streams.columns:
+        streams = streams.withColumn("until_offset", F.lit(None).cast("long"))
+    named = streams.select("file", "pid").distinct()
     own = packets.where(F.col("pid") != NULL_PID).join(named, ["file", "pid"], "left_semi")
-    active = asof_join(own.select("file", "pid", "offset", "pusi", "payload"), streams, ["file", "pid"], "offset", "from_offset", right_order=["program"], prefix="s_").where("s_from_offset is not null")
-    pes = parse_pes(assemble_pes(active.select("file", "pid", "offset", "pusi", "payload"), ["file", "pid"]))
-    out = asof_join(pes, streams, ["file", "pid"], "first_offset", "from_offset", right_order=["program"], prefix="s_")
+    open_ = lambda at: F.col("s_from_offset").isNotNull() & (F.col("s_until_offset").isNull() | (F.col(at) < F.col("s_until_offset")))
+    active = asof_join(own.select("file", "pid", "offset", "pusi", "payload"), streams, ["file", "pid"], "offset", "from_offset", right_order=["program"], prefix="s_").where(open_("offset"))
+    # of a stream that ends and begins again, packets of two spans aren't put together
+    pes = parse_pes(assemble_pes(active.select("file", "pid", "offset", "pusi", "payload", F.col("s_from_offset").alias("__span")), ["file", "pid", "__span"])).drop("__span")
+    out = asof_join(pes, streams, ["file", "pid"], "first_offset", "from_offset", right_order=["program"], prefix="s_").where(open_("first_offset"))
     return out.select(*pes.columns, *[F.col(f"s_{c}").alias(c) for c in ("program", "stream_type", "kind", "carriage", "services")])
 
 
 def clock_events(packets: DataFrame, pmt: DataFrame) -> DataFrame:
     """A row for each program that a packet's clock reading is for: file, program, pid, offset, pcr, opcr, discontinuity.
 
-    A pid may clock several programs. Programs, a row each, are broadcast.
+    A pid may clock several programs.
     """
     clocks = pmt.where("issue is null and current").select("file", "program", F.col("pcr_pid").alias("pid"), F.col("offset").alias("since"))
     w = Window.partitionBy("file", "program").orderBy("since")
     clocks = clocks.withColumn("until", F.lead("since").over(w))
-    own = packets.where("pcr is not null").join(F.broadcast(clocks), ["file", "pid"])
+    own = packets.where("pcr is not null").join(clocks, ["file", "pid"])
     own = own.where((F.col("offset") >= F.col("since")) & (F.col("until").isNull() | (F.col("offset") < F.col("until"))))
     return own.select("file", "program", "pid", "offset", "pcr", "opcr", "discontinuity")
 

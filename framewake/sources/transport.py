@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +31,35 @@ def _in_step(data: np.ndarray, at: int, depth: int = 4) -> bool:
     return bool((data[at : at + depth * PACKET + 1 : PACKET] == SYNC).all())
 
 
-def slice_packets(data: bytes, end: int) -> Iterator[tuple[int, int]]:
-    """(place, discarded) of every whole packet that starts before ``end``, with the octets passed over to find it."""
-    octets = np.frombuffer(data, np.uint8)
-    at, lost = 0, 0
-    while at < end and at + PACKET <= len(octets):
-        if octets[at] == SYNC and (not lost or _in_step(octets, at)):
-            yield at, lost
-            at, lost = at + PACKET, 0
+def find_packets(octets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all whole packets that start before ``end``, and the octets passed over before each one.
+
+    While sync octets follow one another, a run is taken in one step; only where one is missing is the next searched.
+    """
+    places, lost, at, passed = [], [], 0, 0
+    end = min(end, len(octets) - PACKET + 1)
+    while at < end:
+        if octets[at] == SYNC and (not passed or _in_step(octets, at)):
+            here = octets[at:end:PACKET] == SYNC
+            n = len(here) if here.all() else int(np.argmin(here))
+            places.append(at + PACKET * np.arange(n))
+            lost.append(np.zeros(n, np.int64))
+            lost[-1][0] = passed
+            at, passed = at + PACKET * n, 0
         else:
             step = np.flatnonzero(octets[at + 1 : end] == SYNC)
             found = next((at + 1 + int(k) for k in step if _in_step(octets, at + 1 + int(k))), end)
-            lost += found - at
+            passed += found - at
             at = found
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *places]), np.concatenate([none, *lost])
+
+
+def packet_column(octets: np.ndarray, places: np.ndarray) -> pa.Array:
+    """The packets at ``places`` as a binary column, copied in one step."""
+    ends = pa.array(np.arange(0, (len(places) + 1) * PACKET, PACKET, dtype=np.int32))
+    raw = octets[places[:, None] + np.arange(PACKET)]
+    return pa.Array.from_buffers(pa.binary(), len(places), [None, ends.buffers()[1], pa.py_buffer(raw.tobytes())])
 
 
 def read_packets(spark: SparkSession, path: str, range_packets: int = RANGE_PACKETS) -> DataFrame:
@@ -68,14 +84,13 @@ def read_packets(spark: SparkSession, path: str, range_packets: int = RANGE_PACK
                     begin = max(0, start - LEAD * PACKET)
                     f.seek(begin)
                     data = f.read(min(start + size + 5 * PACKET, length) - begin)
-                found = [(p, lost) for p, lost in slice_packets(data, min(start + size, length) - begin) if begin + p >= start]
-                for k in range(0, len(found), 1 << 14):
-                    part = found[k : k + (1 << 14)]
-                    places = [p for p, _ in part]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(part)), pa.array([begin + p for p in places], pa.int64()), pa.array([x for _, x in part], pa.int64()), pa.array([data[p : p + PACKET] for p in places], pa.binary())],
-                        ["file", "offset", "discarded", "raw"],
-                    )
+                octets = np.frombuffer(data, np.uint8)
+                places, lost = find_packets(octets, min(start + size, length) - begin)
+                own = places >= start - begin
+                places, lost = places[own], lost[own]
+                for k in range(0, len(places), 1 << 14):
+                    at = places[k : k + (1 << 14)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at + begin), pa.array(lost[k : k + (1 << 14)]), packet_column(octets, at)], ["file", "offset", "discarded", "raw"])
 
     return ranges.mapInArrow(run, "file string, offset long, discarded long, raw binary")
 
