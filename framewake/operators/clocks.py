@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import asof_join
+
 
 def _rows(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -81,24 +85,69 @@ def sequence_audit(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq
     return df.withColumn("lost", F.when(F.col("verdict") == "loss", F.col(seq) - high - 1).otherwise(F.lit(0)).cast("long"))
 
 
+def unwrap_highest(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str, modulus: int) -> DataFrame:
+    """Add unwrapped, each number taken the nearest way to the highest before it, and high, that highest; null at a key's first row.
+
+    Rows of a key are streamed in their order and only the highest is held; where the nearest way to the row before
+    is that to the highest too, as all but everywhere, a whole run is done in one step.
+    """
+    half, width = modulus // 2, len(keys)
+    rows = df.select(*keys, F.struct(*df.columns).alias("__row"), F.col(seq).cast("long").alias("__seq"), *[F.col(o).alias(f"__o{k}") for k, o in enumerate(order)])
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"__o{k}" for k in range(len(order))]).select("__row", "__seq", *keys)
+
+    def run_of(s: np.ndarray, high: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+        out, before, at = np.empty(len(s), np.int64), np.full(len(s), -1, np.int64), 0
+        if high is None:
+            out[0], high, at = s[0], int(s[0]), 1
+        while at < len(s):
+            part = s[at:]
+            first = high + (part[0] - high + half) % modulus - half
+            u = first + np.concatenate([[0], np.cumsum((np.diff(part) + half) % modulus - half)])
+            top = np.maximum(high, np.concatenate([[high], np.maximum.accumulate(u)[:-1]]))
+            right = top + (part - top + half) % modulus - half
+            wrong = np.flatnonzero(u != right)
+            n = int(wrong[0]) + 1 if len(wrong) else len(part)
+            u[n - 1] = right[n - 1]
+            out[at : at + n], before[at : at + n] = u[:n], top[:n]
+            high, at = max(high, int(u[:n].max())), at + n
+        return out, before, high
+
+    def run(batches):
+        last, high = None, None
+        for batch in batches:
+            owners = list(zip(*(batch.column(2 + k).to_pylist() for k in range(width))))
+            s = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            out, before = np.empty(len(s), np.int64), np.full(len(s), -1, np.int64)
+            edges = [0, *[k for k in range(1, len(owners)) if owners[k] != owners[k - 1]], len(owners)]
+            fresh = np.zeros(len(s), bool)
+            for i, j in zip(edges[:-1], edges[1:]):
+                if i == j:
+                    continue
+                if owners[i] != last:
+                    last, high, fresh[i] = owners[i], None, True
+                out[i:j], before[i:j], high = run_of(s[i:j], high)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(before, mask=fresh)], ["__row", "unwrapped", "high"])
+
+    kind = rows.schema["__row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"__row {kind}, unwrapped long, high long").select("__row.*", "unwrapped", "high")
+
+
 def rtp_audit(df: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str, modulus: int = 65_536) -> DataFrame:
     """Arrivals of wrapped sequence numbers: unwrapped, and verdict ok, duplicate (seen before), late (below the highest) or loss, with lost.
 
     A number is unwrapped against the highest before it, the nearest way, so a row that comes late moves nothing.
     """
-    half = modulus // 2
-    near = unwrap(df, keys, order, seq, modulus)
-    w = _rows(keys, order)
-    high = F.max("unwrapped").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    near = unwrap_highest(df, keys, order, seq, modulus)
     times = F.row_number().over(_rows([*keys, "unwrapped"], order))
-    near = near.withColumn("__high", high).withColumn("__times", times)
+    high = F.col("high")
+    near = near.withColumn("__times", times)
     verdict = (
-        F.when(F.col("__times") > 1, "duplicate").when(F.col("__high").isNull() | (F.col("unwrapped") == F.col("__high") + 1), "ok")
-        .when(F.col("unwrapped") < F.col("__high"), "late").otherwise("loss")
+        F.when(F.col("__times") > 1, "duplicate").when(high.isNull() | (F.col("unwrapped") == high + 1), "ok")
+        .when(F.col("unwrapped") < high, "late").otherwise("loss")
     )
     near = near.withColumn("verdict", verdict)
-    lost = F.when(F.col("verdict") == "loss", F.col("unwrapped") - F.col("__high") - 1).otherwise(F.lit(0)).cast("long")
-    return near.withColumn("lost", lost).drop("__high", "__times", "ambiguous")
+    lost = F.when(F.col("verdict") == "loss", F.col("unwrapped") - high - 1).otherwise(F.lit(0)).cast("long")
+    return near.withColumn("lost", lost).drop("high", "__times")
 
 
 def regressions(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, discontinuity: Column) -> DataFrame:
@@ -108,17 +157,46 @@ def regressions(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: st
     return df.withColumn("code", code).where("code is not null")
 
 
-def bounded_cadence(df: DataFrame, keys: Sequence[str], order: Sequence[str], low: str, high: str, limit: int) -> DataFrame:
+def bounded_cadence(df: DataFrame, keys: Sequence[str], order: Sequence[str], low: str, high: str, limit: int, reset: Column | None = None) -> DataFrame:
     """Intervals between events whose times are known only to lie in [low, high], as between two clock readings.
 
-    Add verdict: compliant if even the longest possible interval is within ``limit``, excessive if even the shortest isn't,
-    else indeterminate; unverifiable where a bound is missing; first at a key's first row.
+    Events are to come more often than once in ``limit``. Add verdict: compliant if even the longest possible interval is below
+    ``limit``, excessive if even the shortest isn't, else indeterminate; unverifiable where a bound is missing; first at a
+    key's first row, and at a row of ``reset``, where the clock begins anew.
     """
-    w = _rows(keys, order)
+    cut = segments(df, keys, order, F.lit(False) if reset is None else reset, "__segment")
+    w = _rows([*keys, "__segment"], order)
     shortest, longest = F.col(low) - F.lag(high).over(w), F.col(high) - F.lag(low).over(w)
     first = F.row_number().over(w) == 1
     verdict = (
-        F.when(first, "first").when(shortest.isNull() | longest.isNull(), "unverifiable").when(longest <= limit, "compliant")
-        .when(shortest > limit, "excessive").otherwise("indeterminate")
+        F.when(first, "first").when(shortest.isNull() | longest.isNull(), "unverifiable").when(longest < limit, "compliant")
+        .when(shortest >= limit, "excessive").otherwise("indeterminate")
     )
-    return df.withColumn("verdict", verdict)
+    return cut.withColumn("verdict", verdict).drop("__segment")
+
+
+def overdue_tables(
+    clocks: DataFrame, tables: DataFrame, keys: Sequence[str], order: str, ticks: str, pid: str, table: str, limit: int, modulus: int, reset: Column,
+) -> DataFrame:
+    """Tables proven to have stayed away for ``limit`` ticks: keys, table, told_at, clock_at (places), shortest, longest.
+
+    clocks: keys, ``order``, ``ticks`` (wrapped at ``modulus``), ``pid``. tables: keys, ``order``, ``table``. A table came between
+    the clock readings before and after it. At a reading before which it didn't come again, the time since is at least from the upper
+    bound of its last coming; the first reading at which that is ``limit`` or more is told, once until it comes again. A
+    discontinuity (``reset``), another pid and a clock that goes back begin anew: what came before isn't held against what comes after.
+    """
+    w = _rows(keys, [order])
+    step = F.pmod(F.col(ticks) - F.lag(ticks).over(w) + modulus // 2, F.lit(modulus)) - modulus // 2
+    c = clocks.withColumn("__step", step).withColumn("__new", F.lag(ticks).over(w).isNull() | F.coalesce(reset, F.lit(False)) | (F.lag(pid).over(w) != F.col(pid)) | (F.col("__step") < 0))
+    c = c.withColumn("__segment", F.sum(F.col("__new").cast("long")).over(w)).withColumn("__time", F.sum(F.when(F.col("__new"), 0).otherwise(F.col("__step"))).over(w)).withColumn("__n", F.row_number().over(w))
+    c = c.select(*keys, F.col(order).alias("__o"), F.struct(F.col("__segment").alias("segment"), F.col("__time").alias("time"), F.col("__n").alias("n"), F.col(order).alias("at")).alias("c"), F.lit(None).cast("string").alias("table"))
+    t = tables.select(*keys, F.col(order).alias("__o"), F.lit(None).cast(c.schema["c"].dataType).alias("c"), F.col(table).alias("table"))
+    both = Window.partitionBy(*keys).orderBy("__o", F.col("c").isNotNull())
+    seen = c.union(t).withColumn("low", F.last("c", ignorenulls=True).over(both.rowsBetween(Window.unboundedPreceding, -1))).withColumn("high", F.first("c", ignorenulls=True).over(both.rowsBetween(1, Window.unboundedFollowing)))
+    came = seen.where("table is not null and low.segment = high.segment").groupBy(*keys, "table", F.col("high.n").alias("n")).agg(F.max_by(F.struct(F.col("__o").alias("told_at"), "low", "high"), "__o").alias("t"))
+    asked = c.select(*keys, F.col("c.n").alias("n"), "c").join(came.select(*keys, "table").distinct(), list(keys))
+    last = came.select(*keys, "table", F.col("n").alias("__m"), "t")
+    out = asof_join(asked, last, [*keys, "table"], "n", "__m", prefix="__").where("__t is not null and __t.high.segment = c.segment and ____m < n")
+    out = out.withColumn("shortest", F.col("c.time") - F.col("__t.high.time")).withColumn("longest", F.col("c.time") - F.col("__t.low.time")).where(F.col("shortest") >= limit)
+    once = F.row_number().over(Window.partitionBy(*keys, "table", "____m").orderBy("n"))
+    return out.withColumn("__k", once).where("__k = 1").select(*keys, "table", F.col("__t.told_at").alias("told_at"), F.col("c.at").alias("clock_at"), "shortest", "longest")

@@ -31,11 +31,22 @@ def active_issues(refs: DataFrame, records: DataFrame, clears: DataFrame, keys:
     return seen.withColumn("issue", issue).where("issue is not null").select(*refs.columns, "issue")
 
 
-def count_restarts(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, declared: str, ttl: int) -> DataFrame:
-    """Add restart: why a declared table begins anew at a row: expired, if the count before is older than ``ttl``, or count, if it differs."""
+def count_restarts(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, declared: str, ttl: int, cleared: Column | None = None) -> DataFrame:
+    """Add restart: why a declared table begins anew at a row.
+
+    count: the row tells another count than the last one told, which is no older than ``ttl`` and hasn't been cleared since;
+    expired: this is the first row at which the last count told, or not at all in between, is older than ``ttl``; cleared: the row clears
+    the table. Rows without a count leave it as it is.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    before, at = F.lag(declared).over(w), F.lag(ts).over(w)
-    return df.withColumn("restart", F.when(F.col(ts) - at > ttl, "expired").when(F.col(declared) != before, "count"))
+    wipes = F.coalesce(cleared, F.lit(False)) if cleared is not None else F.lit(False)
+    word = F.when(wipes, F.struct(F.lit(None).cast(df.schema[declared].dataType).alias("n"), F.col(ts).alias("at"))).when(F.col(declared).isNotNull(), F.struct(F.col(declared).alias("n"), F.col(ts).alias("at")))
+    df = df.withColumn("__w", F.last(word, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__before", F.lag(ts).over(w))
+    held, at = F.col("__w.n").isNotNull(), F.col("__w.at")
+    old = held & (F.col(ts) - at > ttl)
+    first = old & (F.col("__before") - at <= ttl)
+    restart = F.when(wipes, "cleared").when(first, "expired").when(held & ~old & (F.col(declared) != F.col("__w.n")), "count")
+    return df.withColumn("restart", restart).drop("__w", "__before")
 
 
 def missing_records(df: DataFrame, keys: Sequence[str], declared: str, id_: str) -> DataFrame:
@@ -46,19 +57,44 @@ def missing_records(df: DataFrame, keys: Sequence[str], declared: str, id_: str)
     return got.withColumn("complete", F.size("missing") == 0).drop("__ids")
 
 
-def order_issues(df: DataFrame, keys: Sequence[str], seq: Sequence[str], id_: str, order: str, cancelled: int = 32767) -> DataFrame:
-    """Violations of waypoint orders: keys, id, order, code.
+def states_at(packets: DataFrame, records: DataFrame, clears: DataFrame, keys: Sequence[str], seq: str, ts: str, id_: str, value: str, ttl: int) -> DataFrame:
+    """The table that a stream's records make, at each packet: keys, ``seq``, id, value, told (in this packet) and before.
 
-    duplicate_order: several ids claim an order that isn't the cancelled one at their last word; historical_not_decreasing: a
-    waypoint that becomes historical gets an order that isn't below all historical ones before it.
+    packets: keys, seq (their order), ts. records: those and id, value. clears: keys, seq. A record is there while it is no
+    older than ``ttl`` and no clear stands after it. before: the value that its id had until this packet, null if none was left. The
+    last word on an id is found by one scan by (stream, id); ids of a stream are few, so work grows with the packets.
+    """
+    words = records.select(*keys, id_, F.col(seq).alias("__s"), F.col(ts).alias("__at"), F.col(value).alias("value"))
+    w = Window.partitionBy(*keys, id_).orderBy("__s")
+    words = words.withColumn("__p", F.lag(F.struct(F.col("__s").alias("s"), F.col("__at").alias("at"), "value")).over(w))
+    asked = packets.select(*keys, seq, ts).join(words.select(*keys, id_).distinct(), list(keys))
+    wiped = clears.select(*keys, F.col(seq).alias("__c")).distinct()
+    asked = asof_join(asked, wiped, keys, seq, "__c", prefix="_")
+    found = asof_join(asked, words, [*keys, id_], seq, "__s", prefix="_")
+    live = lambda s, at: (F.col(ts) - at <= ttl) & (F.col("___c").isNull() | (s > F.col("___c")))
+    there = found.where(F.col("___s").isNotNull() & live(F.col("___s"), F.col("___at")))
+    told = F.col("___s") == F.col(seq)
+    last = F.when(told, F.when(live(F.col("___p.s"), F.col("___p.at")), F.col("___p.value"))).otherwise(F.col("_value"))
+    return there.select(*keys, seq, id_, F.col("_value").alias(value), told.alias("told"), last.alias("before"))
+
+
+def order_issues(
+    packets: DataFrame, records: DataFrame, clears: DataFrame, keys: Sequence[str], seq: str, ts: str, id_: str, order: str, ttl: int, cancelled: int = 32767,
+) -> DataFrame:
+    """Violations of waypoint orders at each packet: keys, ``seq``, id, order, code; tables as in ``states_at``, a packet has an id once.
+
+    duplicate_order: several waypoints that are there claim an order that isn't the cancelled one. historical_not_decreasing: a
+    waypoint that this packet makes historical (below 0, and not below before) has an order that isn't below those of all other
+    historical ones that are there, leaving out those that become so in this packet.
     """
-    last = df.groupBy(*keys, id_).agg(F.max_by(order, F.struct(*seq)).alias(order))
-    same = F.count("*").over(Window.partitionBy(*keys, order))
-    twice = last.withColumn("__n", same).where((F.col("__n") > 1) & (F.col(order) != cancelled)).select(*keys, id_, order, F.lit("duplicate_order").alias("code"))
-    became = df.withColumn("__before", F.lag(order).over(Window.partitionBy(*keys, id_).orderBy(*seq))).where((F.col(order) < 0) & (F.col("__before").isNull() | (F.col("__before") != F.col(order))))
-    low = F.min(order).over(Window.partitionBy(*keys).orderBy(*seq).rowsBetween(Window.unboundedPreceding, -1))
-    wrong = became.withColumn("__low", low).where(F.col(order) >= F.col("__low")).select(*keys, id_, order, F.lit("historical_not_decreasing").alias("code"))
-    return twice.union(wrong)
+    s = states_at(packets, records, clears, keys, seq, ts, id_, order, ttl)
+    became = F.col("told") & (F.col(order) < 0) & (F.col("before").isNull() | (F.col("before") >= 0))
+    at = Window.partitionBy(*keys, seq)
+    s = s.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, seq, order))).withColumn("__low", F.min(F.when((F.col(order) < 0) & ~became, F.col(order))).over(at))
+    codes = F.array_compact(F.array(
+        F.when((F.col("__n") > 1) & (F.col(order) != cancelled), "duplicate_order"), F.when(became & (F.col(order) >= F.col("__low")), "historical_not_decreasing"),
+    ))
+    return s.select(*keys, seq, id_, order, F.explode(codes).alias("code"))
 
 
 def set_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], items: str) -> DataFrame:

@@ -145,12 +145,15 @@ def table_references(spark, sf_dir):
 
 
 @query(f"""
-WITH t AS (SELECT event_id, user_id, ts_us, event_id // 50 % 4 AS n FROM {E})
-SELECT event_id, CASE WHEN ts_us - lag(ts_us) OVER w > {DAY} THEN 'expired' WHEN n <> lag(n) OVER w THEN 'count' END AS restart FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id)
+WITH t AS (SELECT event_id, user_id, ts_us, CASE WHEN event_id % 3 <> 0 THEN event_id // 50 % 4 END AS n, event_type = 'error' AS wipe, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS k FROM {E}),
+w AS (SELECT user_id, k, CASE WHEN NOT wipe THEN n END AS n, ts_us FROM t WHERE wipe OR n IS NOT NULL),
+j AS (SELECT t.*, w.n AS held, w.ts_us AS at_, lag(t.ts_us) OVER (PARTITION BY t.user_id ORDER BY t.k) AS before FROM t ASOF LEFT JOIN w ON w.user_id = t.user_id AND w.k < t.k)
+SELECT event_id, CASE WHEN wipe THEN 'cleared' WHEN held IS NOT NULL AND ts_us - at_ > {DAY} AND before - at_ <= {DAY} THEN 'expired' WHEN ts_us - at_ <= {DAY} AND n <> held THEN 'count' END AS restart FROM j
 """)
 def payload_restarts(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("n", F.expr("event_id div 50 % 4"))
-    return tables.count_restarts(e, ["user_id"], ["ts_us", "event_id"], "ts_us", "n", DAY).select("event_id", "restart")
+    """Every third packet tells no count, errors clear the table."""
+    e = events(spark, sf_dir).withColumn("n", F.when(F.col("event_id") % 3 != 0, F.expr("event_id div 50 % 4")))
+    return tables.count_restarts(e, ["user_id"], ["ts_us", "event_id"], "ts_us", "n", DAY, F.col("event_type") == "error").select("event_id", "restart")
 
 
 @query("""
@@ -162,19 +165,34 @@ def payload_missing(spark, sf_dir):
     return tables.missing_records(line.withColumnRenamed("total", "declared"), ["l_orderkey"], "declared", "id").withColumn("missing", F.array_join("missing", ","))
 
 
-_WP = f"(SELECT user_id, event_id, ts_us, event_id % 7 AS id, CASE WHEN event_id % 11 = 0 THEN 32767 ELSE event_id % 13 - 6 END AS order_ FROM {E})"
+_WP = f"""(
+  SELECT user_id, event_id, ts_us, event_id % 7 AS id, CASE WHEN event_id % 11 = 0 THEN 32767 ELSE event_id % 13 - 6 END AS order_ FROM {E} WHERE event_type <> 'error'
+  UNION ALL SELECT user_id, event_id, ts_us, 7 + event_id % 3, event_id % 5 - 4 FROM {E} WHERE event_type IN ('view', 'click')
+)"""
 
 
 @query(f"""
-WITH l AS (SELECT user_id, id, arg_max(order_, event_id) AS order_ FROM {_WP} GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY user_id, order_) AS n FROM l),
-b AS (SELECT *, lag(order_) OVER (PARTITION BY user_id, id ORDER BY event_id) AS before FROM {_WP}), h AS (SELECT * FROM b WHERE order_ < 0 AND (before IS NULL OR before <> order_)),
-w AS (SELECT *, min(order_) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM h)
-SELECT user_id, id, order_, 'duplicate_order' AS code FROM n WHERE n > 1 AND order_ <> 32767 UNION ALL SELECT user_id, id, order_, 'historical_not_decreasing' FROM w WHERE order_ >= low
+WITH r AS (SELECT *, lag(order_) OVER w AS p_order, lag(ts_us) OVER w AS p_ts, lag(event_id) OVER w AS p_seq FROM {_WP} WINDOW w AS (PARTITION BY user_id, id ORDER BY event_id)),
+i AS (SELECT DISTINCT user_id, id FROM r), c AS (SELECT user_id, event_id FROM {E} WHERE event_type = 'error'),
+q AS (SELECT e.user_id, e.event_id, e.ts_us, i.id, c.event_id AS wiped FROM {E} e JOIN i USING (user_id) ASOF LEFT JOIN c ON c.user_id = e.user_id AND c.event_id <= e.event_id),
+s AS (
+  SELECT q.user_id, q.event_id, q.id, r.order_, r.event_id = q.event_id AS told,
+    CASE WHEN r.event_id <> q.event_id THEN r.order_ WHEN q.ts_us - p_ts <= {3 * DAY} AND (wiped IS NULL OR p_seq > wiped) THEN p_order END AS before
+  FROM q ASOF JOIN r ON r.user_id = q.user_id AND r.id = q.id AND r.event_id <= q.event_id WHERE q.ts_us - r.ts_us <= {3 * DAY} AND (wiped IS NULL OR r.event_id > wiped)
+), b AS (SELECT *, told AND order_ < 0 AND coalesce(before >= 0, true) AS became, count(*) OVER (PARTITION BY user_id, event_id, order_) AS n FROM s),
+l AS (SELECT *, min(CASE WHEN order_ < 0 AND NOT became THEN order_ END) OVER (PARTITION BY user_id, event_id) AS low FROM b)
+SELECT user_id, event_id, id, CAST(order_ AS BIGINT) AS order_, 'duplicate_order' AS code FROM l WHERE n > 1 AND order_ <> 32767
+UNION ALL SELECT user_id, event_id, id, CAST(order_ AS BIGINT), 'historical_not_decreasing' FROM l WHERE became AND order_ >= low
 """)
 def waypoint_orders(spark, sf_dir):
+    """A packet for each event, with one waypoint or two; errors clear the list, waypoints stay for three days."""
     i = F.col("event_id")
-    e = events(spark, sf_dir).select("user_id", "event_id", (i % 7).alias("id"), F.when(i % 11 == 0, 32767).otherwise(i % 13 - 6).alias("order_"))
-    return tables.order_issues(e, ["user_id"], ["event_id"], "id", "order_")
+    e = events(spark, sf_dir).select("user_id", "event_id", "ts_us", "event_type")
+    first = F.struct((i % 7).alias("id"), F.when(i % 11 == 0, 32767).otherwise(i % 13 - 6).cast("long").alias("order_"))
+    second = F.struct((7 + i % 3).alias("id"), (i % 5 - 4).cast("long").alias("order_"))
+    records = e.where("event_type <> 'error'").withColumn("r", F.explode(F.when(F.col("event_type").isin("view", "click"), F.array(first, second)).otherwise(F.array(first))))
+    clears = e.where("event_type = 'error'")
+    return tables.order_issues(e, records.select("user_id", "event_id", "ts_us", "r.*"), clears, ["user_id"], "event_id", "ts_us", "id", "order_", 3 * DAY)
 
 
 @query(f"""
@@ -222,13 +240,14 @@ def expected_fields(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT event_id AS o, event_id * 1000 + event_id % 7 * 10 AS t FROM events WHERE event_id % 20 = 0)
-SELECT e.event_id, CAST(floor(p.t + (e.event_id - p.o) * (n.t - p.t) / (n.o - p.o)) AS BIGINT) AS at_ticks FROM events e ASOF LEFT JOIN c p ON e.event_id >= p.o ASOF LEFT JOIN c n ON e.event_id < n.o
+WITH c AS (SELECT user_id, event_id AS o, event_id * 1000 + event_id % 7 * 10 AS t FROM events WHERE event_type = 'view')
+SELECT e.event_id, CAST(floor(p.t + (e.event_id - p.o) * (n.t - p.t) / (n.o - p.o)) AS BIGINT) AS at_ticks FROM events e ASOF LEFT JOIN c p ON p.user_id = e.user_id AND e.event_id >= p.o ASOF LEFT JOIN c n ON n.user_id = e.user_id AND e.event_id < n.o
 """)
 def byte_clock(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.lit(1).alias("file"))
-    clock = e.where("event_id % 20 = 0").select("file", "event_id", (F.col("event_id") * 1000 + F.col("event_id") % 7 * 10).alias("t"))
-    return tables.byte_times(e, clock, ["file"], "event_id", "t").select("event_id", "at_ticks")
+    """A recording for each user; the views read its clock."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    clock = e.where("event_type = 'view'").select("user_id", "event_id", (F.col("event_id") * 1000 + F.col("event_id") % 7 * 10).alias("t"))
+    return tables.byte_times(e, clock, ["user_id"], "event_id", "t").select("event_id", "at_ticks")
 
 
 @query("""

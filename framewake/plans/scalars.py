@@ -322,5 +322,27 @@ def streaming_roc(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def streaming_dedup(spark, sf_dir):
+    """The first of each pair within a span longer than the whole table's."""
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    return state.run_once(stream.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), scratch(spark, "stream"), scratch(spark, "state"))
+    timed = stream.select("user_id", "event_type", F.timestamp_micros(micros("ts")).alias("at"))
+    return state.run_once(state.distinct_within(timed, "at", "3650 days", ["user_id", "event_type"]), scratch(spark, "stream"), scratch(spark, "state")).select("user_id", "event_type")
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, ts_us, event_type IN ('view', 'click') AND user_id % 4 <> 0 AS media, CASE WHEN event_id % 3 <> 0 THEN (ts_us * 9 // 100 + 8589934592 - 1000000) % 8589934592 END AS pts FROM {E}),
+s AS (SELECT user_id, arg_min(pts, CAST(ts_us AS HUGEINT) * 1000000 + event_id) FILTER (media AND pts IS NOT NULL) AS start, min(ts_us) FILTER (NOT media) AS first FROM e GROUP BY user_id),
+p AS (SELECT e.user_id, event_id, (pts - start + 4294967296 + 8589934592) % 8589934592 - 4294967296 AS d, ts_us - first AS since, start FROM e JOIN s USING (user_id) WHERE NOT media)
+SELECT user_id, event_id AS ref, greatest(0.0, coalesce(d / 90000.0, since / 1000000.0)) AS seconds, d IS NOT NULL AS by_clock FROM p
+""")
+def streaming_live(spark, sf_dir):
+    """Metadata of every user, shown by the clock of the media; every fourth user has none, and a timer ends the wait."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    at = micros("ts")
+    media = F.col("event_type").isin("view", "click") & (F.col("user_id") % 4 != 0)
+    stream = stream.select("user_id", F.col("event_id").alias("ref"), media.alias("media"), F.expr("CASE WHEN event_id % 3 <> 0 THEN 1 END").alias("told"), at.alias("at"))
+    stream = stream.select("user_id", "ref", "media", F.when(F.col("told") == 1, F.expr("(at * 9 div 100 + 8589934592 - 1000000) % 8589934592")).alias("pts"), "at")
+    last = table(spark, sf_dir, "events").agg(F.max(micros("ts"))).first()[0]
+    # a row of no user that is of use, so much later that the watermark passes all others
+    end = spark.createDataFrame([(-1, -1, True, None, last + 100 * DAY)], "user_id long, ref long, media boolean, pts long, at long")
+    return state.run_to_the_end(stream, end, lambda s: state.live_samples(s, "user_id", 30 * DAY, "1 hour"), scratch(spark, "live"))
+

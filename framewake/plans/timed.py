@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, carry, clocks, lifecycle, queues
@@ -212,17 +212,20 @@ def reorder_loss(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT event_id AS seq, event_id + CASE WHEN event_id % 31 = 0 THEN 5 ELSE 0 END AS place, 0 AS again FROM events WHERE event_id % 13 <> 0
-  UNION ALL SELECT event_id, event_id + 3, 1 FROM events WHERE event_id % 17 = 0 AND event_id % 13 <> 0),
-m AS (SELECT *, max(seq) OVER (ORDER BY place, again, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high, row_number() OVER (PARTITION BY seq ORDER BY place, again) AS n FROM a)
-SELECT seq, again, CASE WHEN n > 1 THEN 'duplicate' WHEN high IS NULL OR seq = high + 1 THEN 'ok' WHEN seq < high THEN 'late' ELSE 'loss' END AS verdict,
+WITH n AS (SELECT event_id, user_id % 5 AS ssrc, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) + 65000 AS seq FROM events),
+a AS (SELECT ssrc, seq, seq + CASE WHEN seq % 31 = 0 THEN 5 ELSE 0 END AS place, 0 AS again FROM n WHERE seq % 13 <> 0
+  UNION ALL SELECT ssrc, seq, seq + 3, 1 FROM n WHERE seq % 17 = 0 AND seq % 13 <> 0),
+m AS (SELECT *, max(seq) OVER (PARTITION BY ssrc ORDER BY place, again, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high, row_number() OVER (PARTITION BY ssrc, seq ORDER BY place, again) AS n FROM a)
+SELECT ssrc, seq, again, CASE WHEN n > 1 THEN 'duplicate' WHEN high IS NULL OR seq = high + 1 THEN 'ok' WHEN seq < high THEN 'late' ELSE 'loss' END AS verdict,
   CAST(CASE WHEN n = 1 AND seq > high + 1 THEN seq - high - 1 ELSE 0 END AS BIGINT) AS lost FROM m
 """)
 def rtp_gaps(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 13 <> 0").select(F.col("event_id").alias("seq"))
-    sent = e.select("seq", (F.col("seq") + F.when(F.col("seq") % 31 == 0, 5).otherwise(0)).alias("place"), F.lit(0).alias("again"))
-    sent = sent.union(e.where("seq % 17 = 0").select("seq", F.col("seq") + 3, F.lit(1))).withColumn("ssrc", F.lit(7)).withColumn("wrapped", F.col("seq") % 65_536)
-    return clocks.rtp_audit(sent, ["ssrc"], ["place", "again", "seq"], "wrapped").select("seq", "again", "verdict", "lost")
+    """Five senders whose numbers begin at 65,001, so that they wrap."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("ssrc"))
+    e = e.withColumn("seq", F.row_number().over(Window.partitionBy("ssrc").orderBy("event_id")).cast("long") + 65_000).where("seq % 13 <> 0")
+    sent = e.select("ssrc", "seq", (F.col("seq") + F.when(F.col("seq") % 31 == 0, 5).otherwise(0)).alias("place"), F.lit(0).alias("again"))
+    sent = sent.union(e.where("seq % 17 = 0").select("ssrc", "seq", F.col("seq") + 3, F.lit(1))).withColumn("wrapped", F.col("seq") % 65_536)
+    return clocks.rtp_audit(sent, ["ssrc"], ["place", "again", "seq"], "wrapped").select("ssrc", "seq", "again", "verdict", "lost")
 
 
 @query(f"""
@@ -237,14 +240,35 @@ def time_regressions(spark, sf_dir):
 
 
 @query(f"""
-WITH t AS (SELECT event_id, user_id, ts_us, CASE WHEN event_id % 23 <> 0 THEN ts_us - 3600000000 END AS low, ts_us + event_id % 5 * 3600000000 AS high FROM {E}),
-d AS (SELECT *, low - lag(high) OVER w AS shortest, high - lag(low) OVER w AS longest, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id))
-SELECT event_id, CASE WHEN n = 1 THEN 'first' WHEN shortest IS NULL OR longest IS NULL THEN 'unverifiable' WHEN longest <= {DAY // 3} THEN 'compliant' WHEN shortest > {DAY // 3} THEN 'excessive' ELSE 'indeterminate' END AS verdict FROM d
+WITH t AS (SELECT event_id, user_id, ts_us, CASE WHEN event_id % 23 <> 0 THEN ts_us - 3600000000 END AS low, ts_us + event_id % 5 * 3600000000 AS high, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS g FROM {E}),
+d AS (SELECT *, low - lag(high) OVER w AS shortest, high - lag(low) OVER w AS longest, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY user_id, g ORDER BY ts_us, event_id))
+SELECT event_id, CASE WHEN n = 1 THEN 'first' WHEN shortest IS NULL OR longest IS NULL THEN 'unverifiable' WHEN longest < {DAY // 3} THEN 'compliant' WHEN shortest >= {DAY // 3} THEN 'excessive' ELSE 'indeterminate' END AS verdict FROM d
 """)
 def bracketed_cadence(spark, sf_dir):
     i = F.col("event_id")
     e = events(spark, sf_dir).withColumn("low", F.when(i % 23 != 0, F.col("ts_us") - 3_600_000_000)).withColumn("high", F.col("ts_us") + i % 5 * 3_600_000_000)
-    return clocks.bounded_cadence(e, ["user_id"], ["ts_us", "event_id"], "low", "high", DAY // 3).select("event_id", "verdict")
+    return clocks.bounded_cadence(e, ["user_id"], ["ts_us", "event_id"], "low", "high", DAY // 3, F.col("event_type") == "error").select("event_id", "verdict")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_id AS o, event_id * 3 % 4096 AS ticks, event_id // 500 % 2 AS pid, event_id % 97 = 0 AS jump FROM events WHERE event_type IN ('view', 'click')),
+s AS (SELECT *, (ticks - lag(ticks) OVER w + 2048 + 4096) % 4096 - 2048 AS step, coalesce(lag(pid) OVER w <> pid, true) AS other FROM c WINDOW w AS (PARTITION BY user_id ORDER BY o)),
+n AS (SELECT *, jump OR other OR step < 0 AS fresh, row_number() OVER (PARTITION BY user_id ORDER BY o) AS n FROM s),
+k AS (SELECT *, sum(CAST(fresh AS INT)) OVER w AS seg, sum(CASE WHEN fresh THEN 0 ELSE step END) OVER w AS t FROM n WINDOW w AS (PARTITION BY user_id ORDER BY o)),
+b AS (SELECT user_id, event_id AS o, CASE event_type WHEN 'signup' THEN 'PAT' ELSE 'PMT' END AS tab FROM events WHERE event_type IN ('signup', 'purchase')),
+h AS (SELECT b.user_id, b.o, tab, lo.t AS lt, hi.t AS ht, hi.n AS m, hi.seg AS seg FROM b ASOF JOIN k lo ON lo.user_id = b.user_id AND lo.o < b.o ASOF JOIN k hi ON hi.user_id = b.user_id AND hi.o > b.o WHERE lo.seg = hi.seg),
+l AS (SELECT user_id, tab, m, max(o) AS told_at, arg_max(lt, o) AS lt, arg_max(ht, o) AS ht, any_value(seg) AS seg FROM h GROUP BY ALL),
+q AS (SELECT k.user_id, k.n, k.o, k.t, k.seg, x.tab FROM k JOIN (SELECT DISTINCT user_id, tab FROM l) x USING (user_id)),
+a AS (SELECT q.*, l.m, l.told_at, q.t - l.ht AS shortest, q.t - l.lt AS longest FROM q ASOF JOIN l ON l.user_id = q.user_id AND l.tab = q.tab AND l.m <= q.n WHERE l.seg = q.seg AND l.m < q.n AND q.t - l.ht >= 1200)
+SELECT user_id, tab AS "table", told_at, min(o) AS clock_at, CAST(min(shortest) AS BIGINT) AS shortest, CAST(min(longest) AS BIGINT) AS longest FROM a GROUP BY user_id, tab, told_at, m
+""")
+def tables_overdue(spark, sf_dir):
+    """Views and clicks read each user's clock, whose pid changes and which jumps; signups and purchases are the tables."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    read = e.where("event_type in ('view', 'click')").select("user_id", "event_id", (i * 3 % 4096).alias("ticks"), F.expr("event_id div 500 % 2").alias("pid"), (i % 97 == 0).alias("jump"))
+    told = e.where("event_type in ('signup', 'purchase')").select("user_id", "event_id", F.when(F.col("event_type") == "signup", "PAT").otherwise("PMT").alias("table"))
+    return clocks.overdue_tables(read, told, ["user_id"], "event_id", "ticks", "pid", "table", 1200, 4096, F.col("jump"))
 
 
 _ALLOWED = [("view", "click"), ("click", "view"), ("click", "purchase"), ("view", "purchase"), ("purchase", "view"), ("purchase", "click"), ("signup", "view"), ("signup", "click")]
