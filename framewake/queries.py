@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import files, packs, records, reports, requirements, rules, scalars, streams, timed, trees, video
+from .plans import files, packs, records, reports, requirements, rules, scalars, shapes, streams, timed, trees, video
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (timed, reports, scalars, rules, streams, packs, records, files, trees, video, requirements):
+for module in (timed, reports, scalars, rules, streams, packs, records, files, trees, video, requirements, shapes):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
