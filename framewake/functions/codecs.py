@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import binascii
 import math
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..session import let
 
@@ -158,15 +163,30 @@ def pts_decode(raw: Column) -> Column:
     return F.when(marked, value)
 
 
-def _each_octet(raw: Column) -> Column:
-    """The octets as numbers."""
-    return F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda c: F.ascii(c).cast("long"))
+#: every octet with its bits turned round
+_TURNED = bytes(int(f"{n:08b}"[::-1], 2) for n in range(256))
 
 
-def running_sum_16(raw: Column) -> Column:
-    """The sum of big-endian 16-bit words modulo 2^16; an odd last octet is the high one."""
-    words = F.transform(_each_octet(raw), lambda x, i: F.when(i % 2 == 0, x * 256).otherwise(x))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + x) % 65536
+@F.pandas_udf(LongType())
+def _sum_16(raw: pd.Series) -> pd.Series:
+    rows = [x or b"" for x in raw]
+    size = np.array([len(x) for x in rows], np.int64)
+    octets = np.frombuffer(b"".join(rows), np.uint8).astype(np.int64)
+    start = np.cumsum(size) - size
+    octets[(np.arange(len(octets)) - np.repeat(start, size)) % 2 == 0] <<= 8
+    total = np.concatenate([[0], np.cumsum(octets)])
+    return pd.Series((total[start + size] - total[start]) % 65536).where(raw.notna().to_numpy())
+
+
+@F.pandas_udf(LongType())
+def _crc_32(raw: pd.Series) -> pd.Series:
+    # zlib's is the same polynomial with all bits turned round, and inverted at the end
+    return raw.map(lambda x: int(f"{zlib.crc32(bytes(x).translate(_TURNED)) ^ 0xFFFFFFFF:032b}"[::-1], 2), na_action="ignore")
+
+
+@F.pandas_udf(LongType())
+def _crc_16(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: binascii.crc_hqx(bytes(x), 0x1D0F), na_action="ignore")
 
 
 def crc_table(polynomial: int, bits: int) -> list[int]:
@@ -180,19 +200,16 @@ def crc_table(polynomial: int, bits: int) -> list[int]:
     return table
 
 
-def _crc(raw: Column, polynomial: int, bits: int, start: int) -> Column:
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    table = F.array(*[F.lit(x).cast("long") for x in crc_table(polynomial, bits)])
-    octets = _each_octet(raw)
-    step = lambda c, x: (c * 256).bitwiseAND((1 << bits) - 1).bitwiseXOR(F.get(table, F.shiftright(c, bits - 8).bitwiseXOR(x).cast("int")))
-    return F.when(F.octet_length(raw) == 0, F.lit(start).cast("long")).otherwise(F.aggregate(octets, F.lit(start).cast("long"), step))
+def running_sum_16(raw: Column) -> Column:
+    """The sum of big-endian 16-bit words modulo 2^16; an odd last octet is the high one. Whole batches are summed at once."""
+    return _sum_16(raw)
 
 
 def mpeg2_crc32(raw: Column) -> Column:
     """CRC-32/MPEG-2 (not reflected, no final inversion), which Spark's crc32 is not."""
-    return _crc(raw, 0x04C11DB7, 32, 0xFFFFFFFF)
+    return _crc_32(raw)
 
 
 def crc16_ccitt(raw: Column) -> Column:
     """CRC-16 of polynomial 0x1021 from 0x1D0F."""
-    return _crc(raw, 0x1021, 16, 0x1D0F)
+    return _crc_16(raw)

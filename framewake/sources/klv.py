@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,33 +28,115 @@ def _oid(data: bytes, at: int) -> tuple[int, int]:
             return value, at
 
 
+def _one_by_one(data: bytes) -> list[tuple]:
+    """(tag, start, size, issue) of a set's items, in order."""
+    found, at = [], 0
+    while at < len(data):
+        try:
+            tag, at = _oid(data, at)
+        except IndexError:
+            return [*found, (None, 0, -1, "truncated")]
+        try:
+            size, at = _ber(data, at)
+            if at + size > len(data):
+                raise ValueError("value")
+        except (ValueError, IndexError):
+            return [*found, (tag, 0, -1, "truncated")]
+        found.append((tag, at, size, None))
+        at += size
+    return found
+
+
+def _in_step(octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Items of many sets, one of each set at a time: set, tag, start, size, and sets that aren't plain.
+
+    Plain are tags of up to four octets and lengths of up to three; where anything else stands, or an item reaches beyond its
+    set, the set is left to be taken one by one.
+    """
+    rows, tags, starts, sizes, odd = [], [], [], [], np.zeros(len(start), bool)
+    padded = np.concatenate([octets, np.zeros(8, np.uint8)]).astype(np.int64)
+    live = np.flatnonzero(start < end)
+    at = start[live].copy()
+    while len(live):
+        tag, going = np.zeros(len(live), np.int64), np.ones(len(live), bool)
+        for _ in range(4):
+            b = padded[np.minimum(at, len(octets))]
+            tag = np.where(going, tag << 7 | b & 127, tag)
+            at = at + going
+            going &= b >= 128
+            if not going.any():
+                break
+        bad = going | (at >= end[live])
+        first = padded[np.minimum(at, len(octets))]
+        at = at + 1
+        extra = np.where(first > 128, first - 128, 0)
+        bad |= (first == 128) | (extra > 2)
+        size = np.where(first < 128, first, 0)
+        for k in range(2):
+            more = extra > k
+            if more.any():
+                size = np.where(more, size << 8 | padded[np.minimum(at, len(octets))], size)
+                at = at + more
+        bad |= at + size > end[live]
+        odd[live[bad]] = True
+        good = ~bad
+        live, at, tag, size = live[good], at[good], tag[good], size[good]
+        rows.append(live)
+        tags.append(tag)
+        starts.append(at)
+        sizes.append(size)
+        at = at + size
+        left = at < end[live]
+        live, at = live[left], at[left]
+    none = np.empty(0, np.int64)
+    return (*(np.concatenate([none, *x]) for x in (rows, tags, starts, sizes)), odd)
+
+
 def local_set_items(df: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("packet",)) -> DataFrame:
     """Items of local sets: keys, ordinal, tag, raw, and issue for what a malformed set ends with.
 
-    A zero-length item has empty octets. One row in, its items out; nothing is shuffled.
+    A zero-length item has empty octets. One row in, its items out; nothing is shuffled. The sets of a batch are read in step,
+    an item of each at a time.
     """
+    n = len(keys)
 
     def run(batches):
         for batch in batches:
-            source, ordinals, tags, values, issues = [], [], [], [], []
-            for k, data in enumerate(batch.column(len(keys)).to_pylist()):
-                data, at, n = data or b"", 0, 0
-                while at < len(data):
-                    tag, value, issue = None, None, None
-                    try:
-                        tag, at = _oid(data, at)
-                        length, at = _ber(data, at)
-                        if at + length > len(data):
-                            raise ValueError("value")
-                        value, at = data[at : at + length], at + length
-                    except (ValueError, IndexError):
-                        issue, at = "truncated", len(data)
-                    for column, x in ((source, k), (ordinals, n), (tags, tag), (values, value), (issues, issue)):
-                        column.append(x)
-                    n += 1
-            columns = [batch.column(i).take(pa.array(source, pa.int64())) for i in range(len(keys))]
-            columns += [pa.array(ordinals, pa.int32()), pa.array(tags, pa.int64()), pa.array(values, pa.binary()), pa.array(issues, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, "ordinal", "tag", "raw", "issue"])
+            for k in range(0, len(batch), 4096):
+                part = batch.slice(k, 4096)
+                data = [x or b"" for x in part.column(n).to_pylist()]
+                octets = np.frombuffer(b"".join(data), np.uint8)
+                end = np.cumsum([len(x) for x in data])
+                start = end - np.array([len(x) for x in data], np.int64)
+                row, tag, at, size, odd = _in_step(octets, start, end)
+                keep = ~odd[row]
+                row, tag, at, size = row[keep], tag[keep], at[keep], size[keep]
+                told = np.zeros(len(row), bool)
+                no_tag = np.zeros(len(row), bool)
+                slow = [(i, t, start[i] + a, s, issue) for i in np.flatnonzero(odd).tolist() for t, a, s, issue in _one_by_one(data[i])]
+                if slow:
+                    i, t, a, s, issue = zip(*slow)
+                    # a tag beyond a long is none
+                    t = [x if x is not None and x < 1 << 63 else None for x in t]
+                    row, at, size = np.concatenate([row, i]), np.concatenate([at, a]), np.concatenate([size, s])
+                    tag = np.concatenate([tag, [x or 0 for x in t]]).astype(np.int64)
+                    no_tag = np.concatenate([no_tag, [x is None for x in t]])
+                    told = np.concatenate([told, [x is not None for x in issue]])
+                order = np.argsort(row, kind="stable")
+                row, tag, at, size, told, no_tag = (x[order] for x in (row, tag, at, size, told, no_tag))
+                if not len(row):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                ordinal = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
+                held = np.maximum(size, 0)
+                ends = np.concatenate([[0], np.cumsum(held)])
+                values = octets[np.repeat(at - ends[:-1], held) + np.arange(ends[-1])]
+                column = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.array(ends.astype(np.int32)).buffers()[1], pa.py_buffer(values.tobytes())])
+                if told.any():
+                    column = pc.if_else(pa.array(told), pa.scalar(None, pa.binary()), column)
+                issues = pc.if_else(pa.array(told), pa.scalar("truncated"), pa.scalar(None, pa.string()))
+                kept = [part.column(c).take(pa.array(row)) for c in range(n)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ordinal.astype(np.int32)), pa.array(tag, mask=no_tag), column, issues], [*keys, "ordinal", "tag", "raw", "issue"])
 
     types = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ordinal int, tag long, raw binary, issue string"

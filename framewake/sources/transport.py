@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import pts_decode
+from ..session import let
 
 #: fixed by the transport stream format
 PACKET, SYNC, NULL_PID = 188, 0x47, 0x1FFF
@@ -101,20 +102,23 @@ def parse_packets(packets: DataFrame, raw: str = "raw") -> DataFrame:
     Of an adaptation field: discontinuity, random_access, pcr, opcr, splice_countdown and private_data.
     """
     r = F.col(raw)
-    out = packets.withColumns({"__1": _octet(r, 2), "__2": _octet(r, 3), "__3": _octet(r, 4), "__4": _octet(r, 5), "__5": _octet(r, 6)})
+    number = lambda start, n: F.conv(F.hex(r.substr(start, n)), 16, 10).cast("long")
+    # the first six octets are read as one number, and the six of a clock as another
+    out = packets.withColumn("__h", number(F.lit(1), F.lit(6)))
+    octet = lambda k: F.shiftright("__h", 8 * (6 - k)).bitwiseAND(255).cast("int")
+    out = out.withColumns({"__4": octet(5), "__5": octet(6)})
     out = out.withColumns({
-        "sync_lost": _octet(r, 1) != SYNC, "tei": F.col("__1") >= 128, "pusi": F.shiftright("__1", 6) % 2 == 1,
-        "pid": (F.col("__1") % 32) * 256 + F.col("__2"), "scrambling": F.shiftright("__3", 6), "afc": F.shiftright("__3", 4) % 4, "cc": F.col("__3") % 16,
+        "sync_lost": octet(1) != SYNC, "tei": octet(2) >= 128, "pusi": F.shiftright(octet(2), 6) % 2 == 1,
+        "pid": F.shiftright("__h", 24).bitwiseAND(0x1FFF).cast("int"), "scrambling": F.shiftright(octet(4), 6), "afc": F.shiftright(octet(4), 4) % 4, "cc": octet(4) % 16,
     })
     has_field = F.col("afc") >= 2
     length = F.when(has_field, F.col("__4") + 1).otherwise(0)
     flagged = has_field & (F.col("__4") > 0)
     flag = lambda bit: flagged & (F.shiftright("__5", bit) % 2 == 1)
-    at = lambda k: F.conv(F.hex(r.substr(k.cast("int"), F.lit(1))), 16, 10).cast("int")
+    at = lambda k: number(k.cast("int"), F.lit(1)).cast("int")
 
     def clock(start: Column) -> Column:
-        base = F.conv(F.hex(r.substr(start.cast("int"), F.lit(4))), 16, 10).cast("long") * 2 + F.shiftright(at(start + 4), 7)
-        return base * 300 + (at(start + 4) % 2) * 256 + at(start + 5)
+        return let(number(start.cast("int"), F.lit(6)), lambda b: F.shiftright(b, 15) * 300 + b.bitwiseAND(511))
 
     opcr_at = F.lit(7) + F.when(flag(4), 6).otherwise(0)
     splice_at = opcr_at + F.when(flag(3), 6).otherwise(0)
@@ -132,7 +136,7 @@ def parse_packets(packets: DataFrame, raw: str = "raw") -> DataFrame:
         "splice_countdown": F.when(fine, F.when(countdown > 127, countdown - 256).otherwise(countdown)),
         "private_data": F.when(fine & flag(1), r.substr((private_at + 1).cast("int"), at(private_at))),
         "payload": F.when(F.col("afc") % 2 == 1, r.substr(length + 5, F.lit(PACKET))), "issue": issue,
-    }).drop("__1", "__2", "__3", "__4", "__5")
+    }).drop("__h", "__4", "__5")
 
 
 def joined(parts: Column, field: str) -> Column:
