@@ -26,6 +26,8 @@ from .transport import LEAD, PACKET, RANGE_PACKETS, find_packets, packet_column
 SCHEMA = "file string, offset long, discarded long, pid int, pusi boolean, cc int, raw binary"
 #: rows of a batch that a task hands on
 BATCH = 1 << 14
+#: octets of small files, or of small ranges, that one task reads
+PACK = 8 << 20
 
 
 def store_of(path: str) -> tuple[filesystem.FileSystem, str]:
@@ -75,12 +77,36 @@ def read_range(name: str, start: int, end: int, pids: frozenset | None) -> Itera
 
 @dataclass
 class Range(InputPartition):
+    """A range of a file, and further ranges that are so small that one task reads them all."""
+
     name: str
     start: int
     end: int
-
-    def __init__(self, name: str, start: int, end: int):
-        self.name, self.start, self.end = name, start, end
+    more: list
+
+    def __init__(self, name: str, start: int, end: int, more: list | None = None):
+        self.name, self.start, self.end, self.more = name, start, end, more or []
+
+    def read(self, pids: frozenset | None) -> Iterator[pa.RecordBatch]:
+        for name, start, end in [(self.name, self.start, self.end), *self.more]:
+            if name:
+                yield from read_range(name, start, end, pids)
+
+
+def packed(spans: list[tuple[str, int, int]], size: int) -> list[Range]:
+    """Spans, in their order, cut to ranges of ``size`` octets at most; ranges of less than PACK together go to one task."""
+    out: list[Range] = []
+    room = 0
+    for name, start, end in spans:
+        for at in range(start, end, size):
+            piece = (name, at, min(at + size, end))
+            if out and piece[2] - at <= room:
+                out[-1].more.append(piece)
+                room -= piece[2] - at
+            else:
+                out.append(Range(*piece))
+                room = PACK - (piece[2] - at)
+    return out or [Range("", 0, 0)]
 
 
 def _pids(options: dict) -> frozenset | None:
@@ -105,11 +131,10 @@ class TransportReader(DataSourceReader):
 
     def partitions(self):
         files = [(n, s) for n, s in list_files(self.path) if self.files is None or n in self.files]
-        return [Range(n, at, min(at + self.size, s)) for n, s in files for at in range(0, s, self.size)] or [Range("", 0, 0)]
+        return packed([(n, 0, s) for n, s in files], self.size)
 
     def read(self, partition: Range):
-        if partition.name:
-            yield from read_range(partition.name, partition.start, partition.end, self.pids)
+        yield from partition.read(self.pids)
 
 
 class TransportStreamReader(DataSourceStreamReader):
@@ -133,11 +158,10 @@ class TransportStreamReader(DataSourceStreamReader):
         # after a restart the places are those of the last batch told
         self.at = {n: max(self.at.get(n, 0), e) for n, e in {**self.at, **end}.items()}
         spans = [(n, start.get(n, 0), e) for n, e in end.items() if e > start.get(n, 0)]
-        return [Range(n, at, min(at + self.size, e)) for n, s, e in spans for at in range(s, e, self.size)] or [Range("", 0, 0)]
+        return packed(spans, self.size)
 
     def read(self, partition: Range):
-        if partition.name:
-            yield from read_range(partition.name, partition.start, partition.end, self.pids)
+        yield from partition.read(self.pids)
 
     def commit(self, end: dict) -> None:
         return None
