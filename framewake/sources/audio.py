@@ -65,12 +65,14 @@ class _Stream:
             length, per, samples, bits, channels = _adts(o) if self.kind == ADTS else _layer_two(o, self.kind)
         candidates = np.flatnonzero(length)
         follows = candidates + length[candidates]
-        # places from which another header, or the end, follows
-        sure = candidates[(follows >= len(length)) | (length[np.minimum(follows, max(len(length) - 1, 0))] > 0)] if len(candidates) else candidates
+        beyond = follows >= len(length)
+        # places from which another header, or the end, follows; of those that lead beyond what is here, only the end tells
+        sure = candidates[beyond | (length[np.minimum(follows, max(len(length) - 1, 0))] > 0)] if len(candidates) else candidates
+        open_ = frozenset() if last else frozenset(candidates[beyond].tolist())
         out, at = [], 0
         while at < len(o):
             if at < len(length) and length[at] and not (self.passed and at not in self._set(sure)):
-                if at + length[at] > len(o):
+                if at + length[at] > len(o) or self.passed and at in open_:
                     break
                 order, pts, first = self._packet(self.base + at)
                 out.append((self.base + at, order, pts if first else None, int(length[at]), int(per[at]), int(samples[at]), int(bits[at]) or None, int(channels[at]), self.passed, None))

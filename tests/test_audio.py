@@ -46,6 +46,21 @@ def test_frames_over_packets_cut_anywhere(spark):
         assert len(stamped) == len(set(stamped)) and all(r["pts"] in (None, r["n"] * 10) for r in own)
 
 
+def test_a_frame_between_gaps_at_the_end_of_a_batch():
+    rng = random.Random(4)
+    for kind, make in ((audio.ADTS, adts), (audio.MPEG1, lambda r: layer(r, audio.MPEG1))):
+        frames = [make(rng) for _ in range(6)]
+        # the third stands between two gaps, the fifth after one
+        data = b"".join([*frames[:2], bytes(30), frames[2], bytes(20), *frames[3:5], bytes(9), frames[5]])
+        whole = audio._Stream(kind)
+        want = whole.feed([data], [0], [None], False) + whole.feed([], [], [], True)
+        assert [f[3] for f in want if f[-1] is None] == [len(f) for k, f in enumerate(frames) if k != 2]
+        for cut in range(1, len(data)):
+            stream = audio._Stream(kind)
+            got = stream.feed([data[:cut]], [0], [None], False) + stream.feed([data[cut:]], [1], [None], False) + stream.feed([], [], [], True)
+            assert [(f[0], f[3], f[8], f[9]) for f in got] == [(f[0], f[3], f[8], f[9]) for f in want]
+
+
 def test_streams_of_nothing(spark):
     df = spark.createDataFrame([(1, audio.ADTS, 0, bytearray(b"abc"), None), (2, audio.MPEG1, 0, None, None), (3, 27, 0, bytearray(b"x"), None)], "k int, stream_type int, n int, payload binary, pts long")
     assert [(r["k"], r["length"], r["issue"]) for r in audio.audio_frames(df, ["k"], "n").collect()] == [(1, 3, "truncated")]
