@@ -21,7 +21,7 @@ from pyarrow import fs as filesystem
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .transport import LEAD, PACKET, RANGE_PACKETS, find_packets, packet_column
+from .transport import PACKET, RANGE_PACKETS, packet_column, range_packets_of
 
 SCHEMA = "file string, offset long, discarded long, pid int, pusi boolean, cc int, raw binary"
 #: rows of a batch that a task hands on
@@ -55,12 +55,7 @@ def read_range(name: str, start: int, end: int, pids: frozenset | None) -> Itera
     """
     store, where = store_of(name)
     with store.open_input_file(where) as f:
-        begin = max(0, start - LEAD * PACKET)
-        f.seek(begin)
-        octets = np.frombuffer(f.read(end + 5 * PACKET - begin), np.uint8)
-    places, lost = find_packets(octets, end - begin)
-    own = places >= start - begin
-    places, lost = places[own], lost[own]
+        octets, begin, places, lost = range_packets_of(f, start, end)
     for k in range(0, len(places), BATCH):
         at, passed = places[k : k + BATCH], lost[k : k + BATCH]
         pid = (octets[at + 1].astype(np.int32) & 31) << 8 | octets[at + 2]

@@ -23,39 +23,96 @@ def _octet(raw: Column, at: int) -> Column:
 
 #: packets of a range that one task reads at a time
 RANGE_PACKETS = 1 << 18
-#: packets before a range that are read to be in step where it begins
+#: packets before a range that are read at first to be in step where it begins
 LEAD = 16
 
 
-def _in_step(data: np.ndarray, at: int, depth: int = 4) -> bool:
-    """Whether sync octets stand at ``at`` and a packet's length apart after it, as far as the data goes."""
-    return bool((data[at : at + depth * PACKET + 1 : PACKET] == SYNC).all())
+def _in_step(octets: np.ndarray, at: int, end: int, depth: int = 4) -> int:
+    """The first place from ``at`` on where sync octets stand, there and a packet's length apart after it, as far as the data goes; or ``end``.
 
-
-def find_packets(octets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all whole packets that start before ``end``, and the octets passed over before each one.
+    The search goes on in blocks that grow, so that it costs no more than what it passes over.
+    """
+    size = 4 * PACKET
+    while at < end:
+        stop = min(at + size, end)
+        found = at + np.flatnonzero(octets[at:stop] == SYNC)
+        for k in range(1, depth + 1):
+            after = found + k * PACKET
+            found = found[(after >= len(octets)) | (octets[np.minimum(after, len(octets) - 1)] == SYNC)]
+        if len(found):
+            return int(found[0])
+        at, size = stop, 2 * size
+    return end
+
+
+def _run(octets: np.ndarray, at: int, end: int) -> int:
+    """How many sync octets follow one another from ``at``, a packet's length apart, before ``end``."""
+    n, size = 0, 64
+    while at + n * PACKET < end:
+        here = octets[at + n * PACKET : min(at + (n + size) * PACKET, end) : PACKET] == SYNC
+        if not here.all():
+            return n + int(np.argmin(here))
+        n, size = n + len(here), 2 * size
+    return n
+
+
+def find_packets(octets: np.ndarray, end: int, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all whole packets that start from ``at`` on, where one is due, and before ``end``, and the octets passed over before each one.
 
     While sync octets follow one another, a run is taken in one step; only where one is missing is the next searched.
     """
-    places, lost, at, passed = [], [], 0, 0
+    places, lost, passed = [], [], 0
     end = min(end, len(octets) - PACKET + 1)
     while at < end:
-        if octets[at] == SYNC and (not passed or _in_step(octets, at)):
-            here = octets[at:end:PACKET] == SYNC
-            n = len(here) if here.all() else int(np.argmin(here))
+        if octets[at] == SYNC:
+            n = _run(octets, at, end)
             places.append(at + PACKET * np.arange(n))
             lost.append(np.zeros(n, np.int64))
             lost[-1][0] = passed
             at, passed = at + PACKET * n, 0
         else:
-            step = np.flatnonzero(octets[at + 1 : end] == SYNC)
-            found = next((at + 1 + int(k) for k in step if _in_step(octets, at + 1 + int(k))), end)
-            passed += found - at
-            at = found
+            found = _in_step(octets, at + 1, end)
+            passed, at = found - at, found
     none = np.empty(0, np.int64)
     return np.concatenate([none, *places]), np.concatenate([none, *lost])
 
 
+def _settled(octets: np.ndarray, until: int) -> int | None:
+    """A place before ``until`` where a packet begins, whatever is before ``octets``; None if more than one place may.
+
+    What is before can only have left a packet due at one of the first places, or a search that goes on. All of these are
+    followed until they are at the same place: octets that look like sync octets may keep two apart for long.
+    """
+    end = len(octets) - PACKET + 1
+    open_ = {int(k) for k in np.flatnonzero(octets[:PACKET] == SYNC)} | {_in_step(octets, PACKET, end)}
+    while (at := min(open_)) < min(until, end):
+        if len(open_) == 1:
+            return at
+        open_.remove(at)
+        due = at + PACKET
+        open_.add(due if due < end and octets[due] == SYNC else _in_step(octets, due + 1, end))
+    return None
+
+
+def range_packets_of(file, start: int, end: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Of an open file: octets, the place of their first, and places and lost of the packets that begin in [start, end).
+
+    The packets are those that a reading of the whole file finds: as much before the range is read as makes its first place sure.
+    """
+    lead = LEAD
+    while True:
+        begin = max(0, start - lead * PACKET)
+        file.seek(begin)
+        octets = np.frombuffer(file.read(end + 5 * PACKET - begin), np.uint8)
+        first = _settled(octets, start - begin) if begin else 0
+        if first is not None or len(octets) <= start - begin:
+            break
+        lead *= 4
+    places, lost = find_packets(octets, end - begin, first or 0)
+    own = places >= start - begin
+    return octets, begin, places[own], lost[own]
+
+
 def packet_column(octets: np.ndarray, places: np.ndarray) -> pa.Array:
     """The packets at ``places`` as a binary column, copied in one step."""
     ends = pa.array(np.arange(0, (len(places) + 1) * PACKET, PACKET, dtype=np.int32))
@@ -82,13 +139,7 @@ def read_packets(spark: SparkSession, path: str, range_packets: int = RANGE_PACK
             for name, length, start in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 store, where = filesystem.FileSystem.from_uri(name)
                 with store.open_input_file(where) as f:
-                    begin = max(0, start - LEAD * PACKET)
-                    f.seek(begin)
-                    data = f.read(min(start + size + 5 * PACKET, length) - begin)
-                octets = np.frombuffer(data, np.uint8)
-                places, lost = find_packets(octets, min(start + size, length) - begin)
-                own = places >= start - begin
-                places, lost = places[own], lost[own]
+                    octets, begin, places, lost = range_packets_of(f, start, min(start + size, length))
                 for k in range(0, len(places), 1 << 14):
                     at = places[k : k + (1 << 14)]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at + begin), pa.array(lost[k : k + (1 << 14)]), packet_column(octets, at)], ["file", "offset", "discarded", "raw"])

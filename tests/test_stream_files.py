@@ -81,3 +81,38 @@ def test_runs_are_found_as_one_by_one():
             else:
                 at, passed = at + 1, passed + 1
         assert list(zip(places.tolist(), lost.tolist())) == want
+
+
+def test_ranges_find_the_packets_of_the_whole_file(tmp_path):
+    # an octet of the payload looks like a sync octet in every packet of a long stretch
+    good = bytearray(packet(7, 0, 0))
+    good[90] = 0x47
+    rng = np.random.default_rng(5)
+    parts = []
+    for k in range(600):
+        parts.append(bytes(good) if k % 200 < 150 else packet(7, 0, k % 50))
+        if k % 97 == 50:
+            parts.append(bytes(rng.integers(1, 60)))
+    data = b"".join(parts)
+    (tmp_path / "a.ts").write_bytes(data)
+    octets = np.frombuffer(data, np.uint8)
+    places, lost = transport.find_packets(octets, len(octets))
+    assert len(places) == 600
+    for size in (5, 17, 33, 61):
+        found = [(o, d) for s in range(0, len(data), size * 188) for b in stream_files.read_range(f"file://{tmp_path}/a.ts", s, min(s + size * 188, len(data)), None) for o, d in zip(b["offset"].to_pylist(), b["discarded"].to_pylist())]
+        assert found == list(zip(places.tolist(), lost.tolist()))
+
+
+def test_gaps_cost_no_more_than_they_are_long():
+    octets = np.frombuffer((packet(5, 0, 0) * 8 + bytes(3)) * 4000, np.uint8)
+
+    class Counted(np.ndarray):
+        seen = 0
+
+        def __getitem__(self, key):
+            got = super().__getitem__(key)
+            Counted.seen += got.size if isinstance(got, np.ndarray) else 1
+            return got
+
+    places, lost = transport.find_packets(octets.view(Counted), len(octets))
+    assert len(places) == 32_000 and lost.sum() == 3 * 3999 and Counted.seen < 2 * len(octets)
