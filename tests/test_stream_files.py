@@ -116,3 +116,10 @@ def test_gaps_cost_no_more_than_they_are_long():
 
     places, lost = transport.find_packets(octets.view(Counted), len(octets))
     assert len(places) == 32_000 and lost.sum() == 3 * 3999 and Counted.seen < 2 * len(octets)
+
+
+def test_a_search_over_octets_that_are_no_packet_goes_on_block_by_block():
+    octets = np.frombuffer(bytes(5_000_000) + packet(5, 0, 0) * 9, np.uint8)
+    places, lost = transport.find_packets(octets, len(octets))
+    assert places.tolist() == [5_000_000 + 188 * k for k in range(9)] and lost[0] == 5_000_000
+    assert transport._settled(octets[4_000_000:], 900_000) is None and transport._settled(octets[4_000_000:], 1_000_100) == 1_000_000
