@@ -167,15 +167,31 @@ def pts_decode(raw: Column) -> Column:
 _TURNED = bytes(int(f"{n:08b}"[::-1], 2) for n in range(256))
 
 
+#: octets whose sums are worked out at once, longer rows alone, so that memory doesn't grow with the rows of a batch
+SUMMED = 1 << 20
+
+
+def _sums_16(rows: list[bytes]) -> np.ndarray:
+    """Of each row, the sum of its 16-bit words modulo 2^16; a row is padded to whole words."""
+    words = np.frombuffer(b"".join(x + b"\0" if len(x) % 2 else x for x in rows), ">u2")
+    size = np.array([(len(x) + 1) // 2 for x in rows], np.int64)
+    total = np.zeros(len(rows), np.int64)
+    some = size > 0
+    if some.any():
+        total[some] = np.add.reduceat(words, (np.cumsum(size) - size)[some], dtype=np.int64) % 65536
+    return total
+
+
 @F.pandas_udf(LongType())
 def _sum_16(raw: pd.Series) -> pd.Series:
-    rows = [x or b"" for x in raw]
-    size = np.array([len(x) for x in rows], np.int64)
-    octets = np.frombuffer(b"".join(rows), np.uint8).astype(np.int64)
-    start = np.cumsum(size) - size
-    octets[(np.arange(len(octets)) - np.repeat(start, size)) % 2 == 0] <<= 8
-    total = np.concatenate([[0], np.cumsum(octets)])
-    return pd.Series((total[start + size] - total[start]) % 65536).where(raw.notna().to_numpy())
+    found, part, held = [], [], 0
+    for x in raw:
+        part.append(x or b"")
+        held += len(part[-1])
+        if held >= SUMMED:
+            found.append(_sums_16(part))
+            part, held = [], 0
+    return pd.Series(np.concatenate([*found, _sums_16(part)]), index=raw.index).where(raw.notna())
 
 
 @F.pandas_udf(LongType())

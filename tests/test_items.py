@@ -31,3 +31,20 @@ def test_items_in_step(spark):
     for k, d in enumerate(sets):
         want = [(n, t if t is None or t < 1 << 63 else None, None if issue else d[a : a + s], issue) for n, (t, a, s, issue) in enumerate(klv._one_by_one(d))]
         assert got.get(k, []) == want
+
+
+def test_sums_of_many_octets_hold_a_part_of_them():
+    import tracemalloc
+
+    import pandas as pd
+
+    from framewake.functions import codecs
+
+    rows = [bytes([k % 256]) * (k * 37 % 5000) for k in range(4000)] + [None, b"", b"\x01"]
+    want = [sum(x << 8 * (k % 2 == 0) for k, x in enumerate(r)) % 65536 if r is not None else None for r in rows]
+    tracemalloc.start()
+    got = codecs._sum_16.func(pd.Series(rows, dtype=object))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [None if pd.isna(x) else int(x) for x in got] == want
+    assert peak < 10 << 20 and sum(len(r or b"") for r in rows) > 9 << 20
