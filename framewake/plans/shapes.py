@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boundary, identifiers
 from ..operators import reorder
-from ..session import table
+from ..session import dealt, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -45,7 +45,7 @@ def boundary_contours(spark, sf_dir):
     shapes = F.array(*[F.array(*[at(float(x), y) for x, y in s]) for s, _ in SHAPES])
     own = F.get(shapes, (k % len(SHAPES)).cast("int"))
     broken = F.concat(F.slice(own, 1, 1), F.array(F.struct(F.lit(None).cast("double").alias("lon"), F.lit(1.0).alias("lat"))))
-    return boundary.boundary_areas(table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 50 == 7, broken).otherwise(own).alias("points")), ["c_custkey"], "points")
+    return boundary.boundary_areas(dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.when(k % 50 == 7, broken).otherwise(own).alias("points")), ["c_custkey"], "points")
 
 
 _DIGITS = "(SELECT p_partkey, '01' || CASE WHEN p_partkey % 2 = 0 THEN '70' ELSE '60' END || upper(md5(p_name)) || CASE WHEN p_partkey % 2 = 0 THEN upper(md5(p_brand)) ELSE '' END AS d FROM part)"
@@ -61,7 +61,7 @@ def identifier_texts(spark, sf_dir):
     """Identifiers to text and, by XML or plainly, back; some with another digit, without a dash, or in another element."""
     k = F.col("p_partkey")
     raw = F.unhex(F.concat(F.lit("01"), F.when(k % 2 == 0, "70").otherwise("60"), F.md5("p_name"), F.when(k % 2 == 0, F.md5("p_brand")).otherwise("")))
-    t = table(spark, sf_dir, "part").select("p_partkey", identifiers.core_text(raw).alias("text"), identifiers.core_xml(raw).alias("xml"))
+    t = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", identifiers.core_text(raw).alias("text"), identifiers.core_xml(raw).alias("xml"))
     last = F.substring("text", -1, 1)
     broken = F.concat(F.col("text").substr(F.lit(1), F.length("text") - 1), F.when(last == "0", "1").otherwise("0"))
     plain = identifiers.parse_core_text(F.when(k % 7 == 0, broken).when(k % 7 == 1, F.regexp_replace("text", "^(.{9})-", "$1")).otherwise(F.lower("text")))

@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are dealt by ``key`` to as many tasks as the session works with, for work that is done a row at a time.
+
+    Rows of one row group are one task else, however much is done for each; a number that is told isn't coalesced.
+    """
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, name).repartition(n, key)
+
+
 def micros(ts: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp without a zone, whatever the session's zone is."""
     name = ts if isinstance(ts, str) else None

@@ -128,3 +128,13 @@ def test_requirements_at_the_right_packets(spark):
         (6, "overdue", "a", False), (3, "overdue", "never", True), (4, "overdue", "never", False), (5, "overdue", "never", False), (6, "overdue", "never", False), (4, "overdue", "b", True), (5, "overdue", "b", False),
         (5, "overdue", "sensor_altitude", True), (6, "overdue", "sensor_altitude", False), (None, "missing", "never", True), (None, "overdue", "a", True), (None, "overdue", "sensor_altitude", True),
     }
+
+
+def test_rows_of_one_row_group_are_dealt_to_tasks(spark):
+    from framewake import session
+    from framewake.plans import packs, records, shapes, video
+
+    assert session.dealt(spark, "/root/testdata/sf0.001", "part", "p_partkey").rdd.getNumPartitions() >= 4
+    for module, name in ((shapes, "boundary_contours"), (records, "payload_lists"), (packs, "wavelengths")):
+        assert module.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+    assert video.video_chunks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
