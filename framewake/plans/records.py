@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, records
 from ..functions import targets as targets_
 from ..operators import presentation
-from ..session import micros, scratch, table
+from ..session import dealt, micros, scratch, table
 from ..sources import klv, registry, targets
 from ..streaming import state
 from .timed import DAY, E, events
@@ -53,7 +53,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 11 <> 0 THEN p_pa
 def identifier_lists(spark, sf_dir):
     k = F.col("p_partkey")
     raw = F.concat(codecs.ber_oid(k), codecs.ber_oid(k * 31), F.when(k % 5 == 0, F.lit(b"\x00")).otherwise(F.lit(b"")), F.when(k % 11 == 0, F.lit(b"\x81")).otherwise(F.lit(b"")))
-    found = records.id_lists(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw", zero_alone=True)
+    found = records.id_lists(dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", raw.alias("raw")), "raw", zero_alone=True)
     return found.withColumn("ids", F.when(F.col("issue").isNull(), F.array_join("ids", ",")))
 
 
@@ -69,7 +69,7 @@ def country_packs(spark, sf_dir):
         F.lit(b"\x01"), _octets(k % 18, 1), _told(F.col("c_mktsegment").cast("binary")),
         F.when(k % 3 == 0, F.lit(b"\x00")).when(k % 3 == 1, F.lit(b"\x02US")).otherwise(F.lit(b"")), F.when(k % 6 == 1, F.lit("\x02Ö".encode())).otherwise(F.lit(b"")),
     )
-    found = records.countries(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")), "raw")
+    found = records.countries(dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", raw.alias("raw")), "raw")
     return found.withColumn("method", F.col("method").cast("long"))
 
 
@@ -86,7 +86,7 @@ def payload_lists(spark, sf_dir):
     one = lambda j: _told(F.concat(codecs.ber_oid(F.when(k % 17 == 0, j + total).otherwise(j)), codecs.ber_oid(kind), _told(F.col("p_name").cast("binary"))))
     many = F.sequence(F.lit(0).cast("long"), F.when(k % 2 == 0, total - 1).otherwise(0).cast("long"))
     raw = F.aggregate(F.transform(many, one), codecs.ber_oid(total), lambda done, x: F.concat(done, x))
-    return records.payloads(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw")
+    return records.payloads(dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", raw.alias("raw")), "raw")
 
 
 @query("""
@@ -99,7 +99,7 @@ def weapon_stores(spark, sf_dir):
     k = F.col("p_partkey")
     one = lambda carriage: _told(F.concat(codecs.ber_oid(k % 4), codecs.ber_oid(k % 3), codecs.ber_oid(carriage), codecs.ber_oid(F.lit(300)), codecs.ber_oid(k * 37 % 4096), _told(F.col("p_type").cast("binary"))))
     raw = F.concat(one(F.lit(1)), one(F.when(k % 19 == 0, 1).otherwise(2)))
-    found = records.stores(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw")
+    found = records.stores(dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", raw.alias("raw")), "raw")
     return found.select("p_partkey", "station", "hardpoint", "carriage", "store", records.engagement(F.col("status")).alias("e"), "name", "issue").select("p_partkey", "station", "hardpoint", "carriage", "store", "e.*", "name", "issue")
 
 
@@ -117,7 +117,7 @@ def airbases(spark, sf_dir):
         F.when(kind == 0, _told(at(k))).when(kind == 1, F.concat(_told(F.concat(at(k), _octets(k * 31 % 5068800, 3))), _told(at(k + 1)))).when(kind == 2, F.concat(_told(at(k)), F.lit(b"\x00")))
         .when(kind == 3, F.concat(F.lit(b"\x00"), _told(at(k + 1)))).when(kind == 4, F.concat(_told(at(k)), _told(at(k)))).otherwise(_told(F.concat(at(k), F.lit(b"\x00"))))
     )
-    b = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", records.bases(F.col("raw")).alias("b"))
+    b = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", raw.alias("raw")).select("p_partkey", records.bases(F.col("raw")).alias("b"))
     return b.select(
         "p_partkey", F.col("b").isNull().alias("malformed"), F.col("b.takeoff.latitude").alias("takeoff_latitude"), F.col("b.takeoff.longitude").alias("takeoff_longitude"),
         F.col("b.takeoff.height").alias("takeoff_height"), F.col("b.recovery.latitude").alias("recovery_latitude"), F.col("b.recovery.longitude").alias("recovery_longitude"),
@@ -136,7 +136,7 @@ def target_locations(spark, sf_dir):
         _octets(k * 104729 % 1509949440, 4), _octets(k * 15485863 % 1509949440, 4), _octets(k % 19901, 2),
         F.when(k % 4 == 3, F.lit(b"\x00")).when(k % 4 == 0, F.lit(b"")).otherwise(F.concat(sigma, sigma, sigma)), F.when(k % 4 == 2, F.concat(rho, rho, rho)).otherwise(F.lit(b"")),
     )
-    found = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", records.location(F.col("raw")).alias("l"))
+    found = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", raw.alias("raw")).select("p_partkey", records.location(F.col("raw")).alias("l"))
     return found.select("p_partkey", "l.latitude", "l.longitude", "l.height", "l.sigma_u", "l.rho_nu")
 
 
@@ -148,7 +148,7 @@ def target_motion(spark, sf_dir):
     k = F.col("p_partkey")
     v, sigma, rho = _octets(k % 28800, 2), _octets(k % 20800, 2), _octets(k % 32768, 2)
     raw = F.concat(v, v, v, F.when(k % 4 == 3, F.lit(b"\x00")).when(k % 4 == 0, F.lit(b"")).otherwise(F.concat(sigma, sigma, sigma)), F.when(k % 4 == 2, F.concat(rho, rho, rho)).otherwise(F.lit(b"")))
-    found = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", records.motion(F.col("raw")).alias("m"))
+    found = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", raw.alias("raw")).select("p_partkey", records.motion(F.col("raw")).alias("m"))
     return found.select("p_partkey", "m.east", "m.sigma_e", "m.rho_en")
 
 
@@ -165,7 +165,7 @@ SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 2 WHEN 1 THEN 4 END AS category
 """)
 def universal_labels(spark, sf_dir):
     raw = F.unhex(F.get(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % 8).cast("int")))
-    found = table(spark, sf_dir, "part").select("p_partkey", records.universal_label(raw).alias("u"))
+    found = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", records.universal_label(raw).alias("u"))
     return found.select("p_partkey", "u.category", "u.designator", "u.key")
 
 
@@ -180,7 +180,7 @@ def mask_checks(spark, sf_dir):
     contour = F.when(k % 5 == 0, F.array(*square)).when(k % 5 == 1, F.array(*square[::-1])).when(k % 5 == 2, F.array(*square[:2])).when(k % 5 == 3, F.array(p, p + 3, F.lit(5000).cast("long")))
     run = lambda n: F.array(F.struct(F.lit(3000).cast("long").alias("start"), F.lit(n).cast("long").alias("length")))
     runs = F.when(k % 3 == 0, run(73)).when(k % 3 == 1, run(74))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(records.mask_issues(contour, runs, F.lit(64), F.lit(48)), ",").alias("issues"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.array_join(records.mask_issues(contour, runs, F.lit(64), F.lit(48)), ",").alias("issues"))
 
 
 @query(f"""
@@ -269,7 +269,7 @@ def _target_sets(spark, sf_dir):
 
     series = F.aggregate(F.transform(F.sequence(F.lit(1).cast("long"), 1 + k % 3), target), F.lit(b""), lambda done, x: F.concat(done, x))
     raw = F.concat(_item(2, _octets(k * 1_000_003, 8)), _item(5, _octets(k % 200 + 1, 1)), _item(8, _octets(k % 2 * 1920, 2)), _item(11, _octets(k % 23040, 2)), _item(101, series))
-    return klv.local_set_items(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "raw", ("p_partkey",))
+    return klv.local_set_items(dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", raw.alias("raw")), "raw", ("p_partkey",))
 
 
 @query("""
@@ -308,7 +308,7 @@ def target_contexts(spark, sf_dir):
         frame + F.when(k % 4 == 3, 81).otherwise(k % 4), k % 7 == 0, k % 11 == 0, k % 2 == 1, (long(1920), F.when(k % 7 <= 1, long(1080))),
         (F.when(k % 13 == 0, 1280).otherwise(1920), F.when(k % 9 == 0, 720).otherwise(1080)), F.lit(40), k % 3 == 0,
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(issues, ",").alias("issues"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.array_join(issues, ",").alias("issues"))
 
 
 @query("""
@@ -318,4 +318,4 @@ SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 5 = 1 THEN 'order' END, C
 def target_tracks(spark, sf_dir):
     k = F.col("p_partkey")
     issues = targets_.tracker_issues(F.when(k % 5 > 0, k), F.when(k % 5 == 1, k - 1).otherwise(k), F.when(k % 4 > 0, k % 4), k % 103, F.when(k % 3 > 0, k % 3 % 2), k % 2 == 1)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(issues, ",").alias("issues"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.array_join(issues, ",").alias("issues"))
