@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, packs, targets
 from ..operators import tables
-from ..session import table
+from ..session import dealt, table
 from .timed import DAY, E, events
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -32,7 +32,7 @@ def _part(table_, column="p_partkey"):
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey * 31 END AS numerator, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 1 ELSE p_partkey % 500 + 1 END AS denominator FROM part""")
 def frame_rates(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     raw = F.concat(codecs.ber_oid(k * 31), F.when(k % 7 == 0, F.lit(b"\x00")).when(k % 3 == 0, F.lit(b"")).otherwise(codecs.ber_oid(k % 500 + 1)))
     return p.select("p_partkey", raw.alias("raw")).select("p_partkey", packs.frame_rate(F.col("raw")).alias("r")).select("p_partkey", "r.*")
 
@@ -42,14 +42,14 @@ WITH b AS (SELECT p_partkey, p_partkey % 101 AS x, p_partkey * 7919 % 2147483647
 SELECT p_partkey, CASE WHEN p_partkey % 4 <> 1 THEN x END AS x0, CASE WHEN p_partkey % 4 <> 1 THEN 100 END AS x1, CASE WHEN p_partkey % 4 = 2 THEN u * (90.0 / 2147483647) END AS latitude0 FROM b
 """)
 def horizons(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     raw = F.concat(_octets(k % 101, 1), F.lit(b"\x00"), _octets(F.lit(100), 1), _octets(k % 101, 1), F.when(k % 4 == 1, F.lit(b"\x01")).when(k % 4 == 2, _octets(k * 7919 % 2147483647, 4)).otherwise(F.lit(b"")))
     return p.select("p_partkey", raw.alias("raw")).select("p_partkey", packs.horizon(F.col("raw")).alias("h")).select("p_partkey", "h.x0", "h.x1", "h.latitude0")
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(range(0, 16), lambda b: (CASE WHEN b < 8 THEN p_partkey % 256 ELSE p_partkey // 256 % 256 END) >> CAST(b % 8 AS BIGINT) & 1 = 1), ',') AS bits FROM part")
 def active_bits(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     raw = F.concat(_octets(k % 256, 1), _octets(F.expr("p_partkey div 256 % 256"), 1))
     return p.select("p_partkey", raw.alias("raw")).select("p_partkey", F.array_join(packs.bitset(F.col("raw")), ",").alias("bits"))
 
@@ -67,7 +67,7 @@ def miis_combined(spark, sf_dir):
 SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN p_partkey % 4 > 0 THEN upper(repeat('ab', 16)) END END AS sensor, CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN p_partkey % 2 > 0 THEN upper(repeat('cd', 16)) END END AS window_ FROM part
 """)
 def miis_cores(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     usage = (k % 4) * 32 + (k % 2) * 4
     raw = F.concat(F.when(k % 5 == 0, F.lit(b"\x02")).otherwise(F.lit(b"\x01")), _octets(usage, 1), F.unhex(F.when(k % 4 > 0, F.repeat(F.lit("AB"), 16)).otherwise("")), F.unhex(F.when(k % 2 > 0, F.repeat(F.lit("CD"), 16)).otherwise("")))
     return p.select("p_partkey", raw.alias("raw")).select("p_partkey", packs.miis_core(F.col("raw")).alias("m")).select("p_partkey", "m.sensor", F.col("m.window").alias("window_"))
@@ -77,7 +77,7 @@ def miis_cores(spark, sf_dir):
 SELECT p_partkey, n, p_partkey % 40 + 10 + n AS id, CASE WHEN p_partkey % 40 + 10 + n < 21 THEN 'reserved_id' END AS issue, 'w' || CAST(n AS VARCHAR) AS name, 380.0 + n AS low_nm FROM part, (VALUES (0), (1), (2)) v(n) WHERE n <= p_partkey % 3
 """)
 def wavelengths(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
 
     def record(n):
         body = F.concat(codecs.ber_oid(k % 40 + 10 + n), codecs.imap_octets(F.lit(380.0 + n), 0.0, 1e9, 4), codecs.imap_octets(F.lit(750.0), 0.0, 1e9, 4), F.lit(f"w{n}").cast("binary"))
@@ -89,7 +89,7 @@ def wavelengths(spark, sf_dir):
 
 @query("SELECT p_partkey, CAST(p_partkey % 3 + 1 AS BIGINT) AS id, p_partkey % 65536 - 32768 AS order_ FROM part")
 def waypoint_packs(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     raw = F.concat(F.lit(b"\x03"), codecs.ber_oid(k % 3 + 1), _octets(F.pmod(k % 65_536 - 32_768, F.lit(65_536)), 2))
     return packs.waypoint_records(p.select("p_partkey", raw.alias("raw")), "raw").select("p_partkey", "id", F.col("order").alias("order_"))
 
@@ -99,7 +99,7 @@ WITH i AS (SELECT p_partkey, unnest(range(0, 6)) AS i FROM part)
 SELECT p_partkey, i, CASE p_partkey % 4 WHEN 0 THEN CAST(i * 10 + p_partkey % 50 AS DOUBLE) WHEN 1 THEN CAST(64 >> CAST(i AS INTEGER) & 64 = 64 AS DOUBLE) WHEN 2 THEN CAST(5 + i AS DOUBLE) ELSE CASE WHEN i IN (4, 5) THEN 9.0 ELSE 1.0 END END AS value FROM i
 """.replace("CAST(64 >> CAST(i AS INTEGER) & 64 = 64 AS DOUBLE)", "CASE WHEN i = 1 THEN 1.0 ELSE 0.0 END"))
 def mdap_decode(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     head = F.unhex(F.lit("020203"))
     plain = F.concat(head, F.unhex(F.lit("0201")), *[_octets(k % 50 + i * 10, 2) for i in range(6)])
     bits = F.concat(head, F.unhex(F.lit("010340")))
@@ -115,7 +115,7 @@ WITH b AS (SELECT p_partkey, CAST(p_partkey % 16 + 1 AS DOUBLE) AS s FROM part)
 SELECT p_partkey, s * s AS v00, CASE WHEN p_partkey % 2 = 0 THEN s * 2 * 0.5 ELSE 0.0 END AS v01, s * 4 * -0.25 AS v12 FROM b
 """)
 def sdcc_decode(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     # 32-bit floats of 1 to 16, and of 2 and 4
     whole = F.get(F.array(*[F.lit(h) for h in ["3F800000", "40000000", "40400000", "40800000", "40A00000", "40C00000", "40E00000", "41000000", "41100000", "41200000", "41300000", "41400000", "41500000", "41600000", "41700000", "41800000"]]), (k % 16).cast("int"))
     deviations = F.concat(whole, F.lit("40000000"), F.lit("40800000"))
@@ -274,7 +274,7 @@ WITH b AS (SELECT p_partkey, p_partkey % 600 AS l, p_partkey % 400 AS t, p_partk
 SELECT p_partkey, CASE WHEN r > l THEN t * 640 + l + 1 END AS top_left, CASE WHEN r > l THEN (b - 1) * 640 + r END AS bottom_right, CASE WHEN r > l THEN ((t + b - 1) // 2) * 640 + (l + r - 1) // 2 + 1 END AS centroid FROM b
 """)
 def box_numbers(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     box = targets.box_pixels(k % 600, k % 400, k % 600 + k % 40, k % 400 + 30, F.lit(640))
     return p.select("p_partkey", box.alias("b")).select("p_partkey", "b.*")
 
@@ -284,7 +284,7 @@ WITH b AS (SELECT p_partkey, p_partkey * 331 % 310000 + 1 AS a, p_partkey * 577
 SELECT p_partkey, concat_ws(',', CASE WHEN a > 307200 OR z > 307200 THEN 'beyond_frame' END, CASE WHEN (a - 1) // 640 > (z - 1) // 640 OR (a - 1) % 640 > (z - 1) % 640 THEN 'order' END) AS issues FROM b
 """)
 def pixel_rules(spark, sf_dir):
-    p, k = _part(table(spark, sf_dir, "part"))
+    p, k = _part(dealt(spark, sf_dir, "part", "p_partkey"))
     return p.select("p_partkey", F.array_join(targets.pixel_issues(k * 331 % 310_000 + 1, k * 577 % 310_000 + 1, F.lit(640), F.lit(480)), ",").alias("issues"))
 
 
