@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import let, settle, table
+from ..session import dealt, let, settle
 from ..sources import video
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -68,7 +68,7 @@ def video_chunks(spark, sf_dir):
     two = lambda unit: F.concat(other, unit, other, unit)
     mpeg2 = two(F.concat(code, F.lit("B3"), _octets(header, False), code, F.lit("B5"), _octets(extension, False)))
     text = F.when(k % 3 == 0, mpeg2).when(k % 3 == 1, two(F.concat(code, F.lit("67"), _octets(avc, True)))).otherwise(two(F.concat(code, F.lit("4201"), _octets(hevc, True))))
-    p = table(spark, sf_dir, "part").select("p_partkey", pick_type(k).alias("stream_type"), F.unhex(text).alias("raw"))
+    p = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", pick_type(k).alias("stream_type"), F.unhex(text).alias("raw"))
     p = settle(p, "streams")
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length("raw") / 7).cast("int") - 1), lambda n: F.col("raw").substr(n * 7 + 1, F.lit(7)))
     return p.select("p_partkey", "stream_type", F.posexplode(cut).alias("n", "payload"))
