@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, records
 from ..functions import targets as targets_
 from ..operators import presentation
-from ..session import dealt, micros, scratch, table
+from ..session import dealt, let, micros, scratch, table
 from ..sources import klv, registry, targets
 from ..streaming import state
 from .timed import DAY, E, events
@@ -31,7 +31,7 @@ def _octets(c, n):
 
 def _told(value):
     """A value with its length before it."""
-    return F.concat(codecs.ber_length(F.octet_length(value).cast("long")), value)
+    return let(value, lambda v: F.concat(codecs.ber_length(F.octet_length(v).cast("long")), v))
 
 
 
