@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs
+from ..operators import slices
 from ..session import scratch, settle, table
 from ..sources import klv, metadata, programs, registry, transport
 from .timed import E, events
@@ -68,13 +69,12 @@ def raw_packets(spark, sf_dir, files: int = 3) -> DataFrame:
     """
     sets = local_sets(spark, sf_dir, files)
     i = F.col("event_id")
-    part = lambda a, n=1 << 20: F.col("klv").substr(a, n)
-    cell = lambda k, fragment, data: F.struct(F.lit(k).alias("k"), F.lit(fragment).alias("fragment"), data.alias("data"))
-    cells = F.when((i % 2 == 0) & (i % 6 == 0), F.array(cell(0, 2, part(1, 20)), cell(1, 1, part(21)))).when(i % 2 == 0, F.array(cell(0, 3, part(1))))
-    cells = cells.when(i % 5 == 0, F.array(cell(0, 2, part(1, 30)), cell(1, 1, part(31)))).otherwise(F.array(cell(0, 3, part(1))))
-    c = sets.select("event_id", "ts_us", "file", F.explode(cells).alias("c")).select("event_id", "ts_us", "file", "c.*")
-    sequence = (F.row_number().over(Window.partitionBy("file", i % 2).orderBy("event_id", "k")) - 1) % 256
-    c = c.withColumn("sequence", sequence)
+    part = lambda a, n=F.lit(1 << 20): F.col("klv").substr(a, n)
+    cut = F.when(i % 6 == 0, 20).when((i % 2 == 1) & (i % 5 == 0), 30)
+    c = sets.withColumn("k", F.explode(F.when(cut.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    c = c.withColumns({"fragment": F.when(cut.isNull(), 3).when(F.col("k") == 0, 2).otherwise(1), "data": F.when(cut.isNull(), F.col("klv")).when(F.col("k") == 0, part(F.lit(1), cut)).otherwise(part(cut + 1))})
+    c = c.withColumns({"odd": i % 2, "__slice": slices.slice_of("event_id", 1 << 16)})
+    c = slices.numbered(c, ["file", "odd"], "__slice", ["event_id", "k"], "sequence").withColumn("sequence", F.col("sequence") % 256)
     unit = F.concat(_octets(F.lit(0), 1), _octets(F.col("sequence"), 1), _octets(F.col("fragment") * 64 + 31, 1), _octets(F.octet_length("data"), 2), F.col("data"))
     pts = codecs.pts_encode(F.expr("ts_us * 9 div 100") % (1 << 33))
     sync = F.concat(F.unhex(F.concat(F.lit("000001FC"), _hex(F.octet_length("unit") + 8, 2), F.lit("848005"))), pts, F.col("unit"))
@@ -82,11 +82,11 @@ def raw_packets(spark, sf_dir, files: int = 3) -> DataFrame:
     c = c.withColumn("unit", unit).withColumn("pes", F.when(i % 2 == 0, sync).otherwise(plain))
     pid = F.when(i % 2 == 0, SYNC).otherwise(ASYNC).cast("long")
     at = (i + 10) * 16 + F.col("k") * 4
-    one = lambda p, k, pusi, payload: F.struct(p.alias("pid"), (at + k).alias("at"), F.lit(pusi).alias("pusi"), payload.alias("payload"))
-    other = one(F.lit(0x1F0).cast("long"), 2, True, F.col("data"))
-    rows = F.when(i % 4 == 0, F.array(one(pid, 0, True, F.col("pes").substr(1, 50)), one(pid, 1, False, F.col("pes").substr(51, 1 << 20)), other))
-    rows = rows.otherwise(F.array(one(pid, 0, True, F.col("pes")), other))
-    body = c.select("file", F.explode(rows).alias("r")).select("file", "r.*")
+    # place 0 the PES packet or its beginning, 1 its rest, 2 another pid's packet
+    part_ = F.col("p")
+    payload = F.when(part_ == 2, F.col("data")).when(part_ == 1, F.col("pes").substr(51, 1 << 20)).when(i % 4 == 0, F.col("pes").substr(1, 50)).otherwise(F.col("pes"))
+    body = c.withColumn("p", F.explode(F.when(i % 4 == 0, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0), F.lit(2)))))
+    body = body.select("file", F.when(part_ == 2, F.lit(0x1F0).cast("long")).otherwise(pid).alias("pid"), (at + part_).alias("at"), (part_ != 1).alias("pusi"), payload.alias("payload"))
     heads = sets.select("file").distinct().select("file", F.explode(F.array(*_program_map(F.col("file"), F.lit(0)))).alias("r")).select("file", "r.*")
     all_ = programs.packet_counters(body.union(heads), ["file", "pid"], ["at"])
     raw = transport.build_packet(F.col("pid"), F.col("cc"), F.col("pusi"), F.col("payload"))
@@ -165,9 +165,11 @@ def timeline(spark, sf_dir):
     keys = ["file", "program", "pid", "offset", "n"]
     valid = metadata.local_set_values(found, registry.registry(spark), keys).where("tag = 2").select(*keys)
     t = found.join(valid, keys)
-    by_file, ordered = Window.partitionBy("file"), Window.partitionBy("file").orderBy("pts", "offset")
-    seconds = F.round((F.col("pts") - F.min("pts").over(by_file)) / 90_000.0, 6)
-    return t.select("file", seconds.alias("time_seconds"), F.row_number().over(ordered).cast("long").alias("sample"))
+    t = slices.ranged(t.select("file", "pts", "offset"), ["file", "pts", "offset"], "__slice")
+    first = t.groupBy("file").agg(F.min("pts").alias("first"))
+    t = slices.numbered(t, ["file"], "__slice", ["pts", "offset"], "n").join(first, "file")
+    seconds = F.round((F.col("pts") - F.col("first")) / 90_000.0, 6)
+    return t.select("file", seconds.alias("time_seconds"), (F.col("n") + 1).alias("sample"))
 
 
 @query("""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import running_sum_16
+from ..operators.slices import carry, slice_of
 from ..session import settle
 from . import klv, programs, stream_files, transport
 from .registry import decode_fields, registry
@@ -100,13 +101,19 @@ def synchronous_units(pes: DataFrame) -> DataFrame:
     p = pes.where("carriage = 'synchronous'").withColumn("issue", wrong)
     bad = p.where("issue is not null").select("file", "program", "pid", F.lit(None).cast("int").alias("service"), F.col("first_offset").alias("offset"), "pts", F.lit(None).cast("boolean").alias("random_access"), F.lit(None).cast("binary").alias("data"), "issue")
     c = unit_cells(p.where("issue is null").select("file", "program", "pid", "first_offset", "pts", "services", "payload"))
-    by_pid = Window.partitionBy("file", "pid").orderBy("first_offset", "cell")
-    lost = F.col("sequence") != (F.lag("sequence").over(by_pid) + 1) % 256
+    # a null service is a group of its own; a unit begins at a first or whole part, or behind a last or whole one
+    place = lambda after: F.struct("first_offset", "cell", F.lit(after).alias("after"))
+    first, done = F.when(F.col("fragment").isin(2, 3) | F.col("fragment").isNull(), place(0)), F.when(F.col("fragment").isin(1, 3), place(1))
+    c = settle(c.withColumns({"__service": F.coalesce("service", F.lit(-1)), "__slice": slice_of("first_offset")}), "cells")
+    c = carry(c, ["file", "pid"], "__slice", {"__prior": F.struct("first_offset", "cell", "sequence")})
+    c = carry(c, ["file", "pid", "__service"], "__slice", {"__open": F.greatest(first, done)})
+    by_pid = Window.partitionBy("file", "pid", "__slice").orderBy("first_offset", "cell")
+    number = F.when(F.row_number().over(by_pid) == 1, F.col("__prior.sequence")).otherwise(F.lag("sequence").over(by_pid))
+    lost = F.col("sequence") != (number + 1) % 256
     issue = F.when(F.col("cell_issue").isNotNull(), F.col("cell_issue")).when(~F.array_contains("services", F.col("service")), "service").when(lost, "lost")
-    c = c.withColumn("cell_issue", issue)
-    by_service = Window.partitionBy("file", "pid", "service").orderBy("first_offset", "cell").rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.col("fragment").isin(2, 3) | F.col("fragment").isNull() | (F.lag("fragment").over(Window.partitionBy("file", "pid", "service").orderBy("first_offset", "cell")).isin(1, 3))
-    c = c.withColumn("__unit", F.sum(F.when(begins, 1).otherwise(0)).over(by_service))
+    by_service = Window.partitionBy("file", "pid", "__service", "__slice").orderBy("first_offset", "cell")
+    begun, ended = F.max(first).over(by_service.rowsBetween(Window.unboundedPreceding, 0)), F.max(done).over(by_service.rowsBetween(Window.unboundedPreceding, -1))
+    c = c.withColumn("cell_issue", issue).withColumn("__unit", F.greatest("__open", begun, ended))
     parts = F.sort_array(F.collect_list(F.struct("first_offset", "cell", "fragment", "random_access", "pts", "data")))
     u = c.groupBy("file", "program", "pid", "service", "__unit").agg(F.min("first_offset").alias("offset"), F.min("pts").alias("pts"), F.max("pts").alias("__last"), parts.alias("p"), F.min_by("cell_issue", F.when(F.col("cell_issue").isNotNull(), F.struct("first_offset", "cell"))).alias("issue"))
     n = F.size("p")
@@ -130,8 +137,9 @@ def asynchronous_units(pes: DataFrame) -> DataFrame:
     p = pes.where("carriage = 'asynchronous'").withColumn("issue", wrong)
     empty = F.lit(None).cast("int").alias("service"), F.lit(None).cast("boolean").alias("random_access")
     bad = p.where("issue is not null").select("file", "program", "pid", empty[0], F.col("first_offset").alias("offset"), "pts", empty[1], F.lit(None).cast("binary").alias("data"), "issue")
-    w = Window.partitionBy("file", "pid").orderBy("first_offset").rowsBetween(Window.unboundedPreceding, 0)
-    g = p.where("issue is null and octet_length(payload) > 0").withColumn("__unit", F.sum(F.when(F.col("aligned"), 1).otherwise(0)).over(w)).where("__unit > 0")
+    g = p.where("issue is null and octet_length(payload) > 0").select("file", "program", "pid", "first_offset", "payload", slice_of("first_offset").alias("__slice"), F.when(F.col("aligned"), F.col("first_offset")).alias("__start"))
+    w = Window.partitionBy("file", "pid", "__slice").orderBy("first_offset").rowsBetween(Window.unboundedPreceding, 0)
+    g = carry(g, ["file", "pid"], "__slice", {"__before": F.col("__start")}).withColumn("__unit", F.coalesce(F.max("__start").over(w), "__before")).where("__unit is not null")
     g = g.groupBy("file", "program", "pid", "__unit").agg(F.min("first_offset").alias("offset"), F.sort_array(F.collect_list(F.struct("first_offset", "payload"))).alias("p"))
     good = g.select("file", "program", "pid", empty[0], "offset", F.lit(None).cast("long").alias("pts"), empty[1], transport.joined(F.col("p"), "payload").alias("data"), F.lit(None).cast("string").alias("issue"))
     return good.union(bad)
@@ -139,7 +147,7 @@ def asynchronous_units(pes: DataFrame) -> DataFrame:
 
 def metadata_packets(pes: DataFrame) -> DataFrame:
     """Keyed packets of all metadata streams: file, program, pid, service, offset, pts, random_access, n, key, value, packet, issue."""
-    units = synchronous_units(pes).union(asynchronous_units(pes))
+    units = settle(synchronous_units(pes).union(asynchronous_units(pes)), "units")
     k = keyed_packets(units)
     told = units.where("data is null").select("file", "program", "pid", "service", "offset", "pts", "random_access", F.lit(None).cast("int"), *[F.lit(None).cast("binary")] * 3, "issue")
     return k.select("file", "program", "pid", "service", "offset", "pts", "random_access", "n", "key", "value", "packet", F.coalesce("klv_issue", "issue").alias("issue")).union(told)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import mpeg2_crc32
-from ..operators.asof import asof_join
+from ..operators.slices import numbered, slice_of
 from ..session import settle
 from .transport import NULL_PID, assemble_pes, joined, parse_pes
 
@@ -216,14 +216,24 @@ def demultiplex(packets: DataFrame, streams: DataFrame, program: int | None = No
     streams = streams if program is None else streams.where(F.col("program") == program)
     if "until_offset" not in streams.columns:
         streams = streams.withColumn("until_offset", F.lit(None).cast("long"))
-    named = streams.select("file", "pid").distinct()
-    own = packets.where(F.col("pid") != NULL_PID).join(named, ["file", "pid"], "left_semi")
-    open_ = lambda at: F.col("s_from_offset").isNotNull() & (F.col("s_until_offset").isNull() | (F.col(at) < F.col("s_until_offset")))
-    active = asof_join(own.select("file", "pid", "offset", "pusi", "payload"), streams, ["file", "pid"], "offset", "from_offset", right_order=["program"], prefix="s_").where(open_("offset"))
+    told = ("program", "stream_type", "kind", "carriage", "services")
+    # of streams that begin at one place the last program's counts; each goes on to the pid's next, or ends before
+    spans = streams.where("from_offset is not null").groupBy("file", "pid", F.col("from_offset").cast("long").alias("__span")).agg(F.max_by(F.struct("until_offset", *told), "program").alias("s"))
+    following = F.lead("__span").over(Window.partitionBy("file", "pid").orderBy("__span"))
+    spans = settle(spans.withColumn("__end", F.least("s.until_offset", following)), "spans")
+    last = spans.where("__end is null").select("file", "pid", F.col("__span").alias("__last"))
+    pieces = F.sequence(slice_of("__span"), slice_of(F.col("__end") - 1))
+    ended = spans.where("__end > __span").select("file", "pid", F.col("__span").alias("__own"), "__end", F.explode(pieces).alias("__slice"))
+    own = packets.where(F.col("pid") != NULL_PID).select("file", "pid", "offset", "pusi", "payload").withColumn("__slice", slice_of("offset"))
+    own = own.join(spans.select("file", "pid").distinct(), ["file", "pid"], "left_semi").join(last, ["file", "pid"], "left")
+    a, b = own.alias("a"), ended.alias("b")
+    same = (F.col("a.file") == F.col("b.file")) & (F.col("a.pid") == F.col("b.pid")) & (F.col("a.__slice") == F.col("b.__slice"))
+    own = a.join(b, same & (F.col("a.offset") >= F.col("b.__own")) & (F.col("a.offset") < F.col("b.__end")), "left").select("a.*", "b.__own")
+    active = own.withColumn("__span", F.coalesce(F.when(F.col("offset") >= F.col("__last"), F.col("__last")), "__own")).where("__span is not null")
     # of a stream that ends and begins again, packets of two spans aren't put together
-    pes = parse_pes(assemble_pes(active.select("file", "pid", "offset", "pusi", "payload", F.col("s_from_offset").alias("__span")), ["file", "pid", "__span"])).drop("__span")
-    out = asof_join(pes, streams, ["file", "pid"], "first_offset", "from_offset", right_order=["program"], prefix="s_").where(open_("first_offset"))
-    return out.select(*pes.columns, *[F.col(f"s_{c}").alias(c) for c in ("program", "stream_type", "kind", "carriage", "services")])
+    pes = parse_pes(assemble_pes(active.select("file", "pid", "offset", "pusi", "payload", "__span"), ["file", "pid", "__span"]))
+    kept = [c for c in pes.columns if c != "__span"]
+    return pes.join(spans, ["file", "pid", "__span"]).select(*kept, *[F.col(f"s.{c}").alias(c) for c in told])
 
 
 def clock_events(packets: DataFrame, pmt: DataFrame) -> DataFrame:
@@ -273,5 +283,6 @@ def build_section(table_id: int, extension: Column, version: Column, body: Colum
 
 
 def packet_counters(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add cc: each stream's packets numbered modulo 16, as a multiplexer does."""
-    return df.withColumn("cc", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) % 16)
+    """Add cc: each stream's packets numbered modulo 16, as a multiplexer does. The first of ``order`` is a whole number; ``df`` is read twice."""
+    cut = df.withColumn("__slice", slice_of(order[0]))
+    return numbered(cut, keys, "__slice", order, "cc").drop("__slice").withColumn("cc", (F.col("cc") % 16).cast("int"))

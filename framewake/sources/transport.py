@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import pts_decode
-from ..session import let
+from ..operators.slices import carry, slice_of
+from ..session import let, settle
 
 #: fixed by the transport stream format
 PACKET, SYNC, NULL_PID = 188, 0x47, 0x1FFF
@@ -199,11 +200,13 @@ def assemble_pes(packets: DataFrame, keys: Sequence[str] = ("file", "pid"), orde
     """Packets to PES packets: keys, first_offset, packets and data, for each start and what follows it.
 
     What comes before a stream's first start is left out. A PES packet gathers its own packets only; ``keys`` must tell
-    files apart as well as streams.
+    files apart as well as streams. ``order`` is a whole number. A packet belongs to the last start, which slices carry on.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = packets.where(F.col("payload").isNotNull() & (F.col("pid") != NULL_PID)).withColumn("__pes", F.sum(F.when(F.col("pusi"), 1).otherwise(0)).over(w))
-    parts = numbered.where("__pes > 0").groupBy(*keys, "__pes").agg(F.min(order).alias("first_offset"), F.count("*").alias("packets"), F.sort_array(F.collect_list(F.struct(order, "payload"))).alias("__p"))
+    own = packets.where(F.col("payload").isNotNull() & (F.col("pid") != NULL_PID)).withColumns({"__slice": slice_of(order), "__start": F.when(F.col("pusi"), F.col(order))})
+    own = carry(settle(own.select(*keys, order, "__slice", "__start", "payload"), "packets"), keys, "__slice", {"__before": F.col("__start")})
+    w = Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("__pes", F.coalesce(F.max("__start").over(w), "__before")).where("__pes is not null")
+    parts = own.groupBy(*keys, "__pes").agg(F.min(order).alias("first_offset"), F.count("*").alias("packets"), F.sort_array(F.collect_list(F.struct(order, "payload"))).alias("__p"))
     return parts.select(*keys, "first_offset", "packets", joined(F.col("__p"), "payload").alias("data"))
 
 
