@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,59 +14,61 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def with_timers(stream: DataFrame, key: str, ts: str, lateness: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+def with_timers(stream: DataFrame, key: str, ts: str, lateness: str, processor: StatefulProcessor, schema: str, by_row: bool = False) -> DataFrame:
     """Run ``processor`` over the rows of each key with event-time timers; ``ts`` is in microseconds.
 
-    Rows later than ``lateness`` behind the newest time seen may be dropped. The processor gets the time as column __at too.
+    by_row: it takes and gives rows, which for many keys of few rows costs far less than a data frame for each. Rows later than ``lateness`` behind the newest time seen may be dropped. The processor gets the time as column __at too.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = stream.withColumn("__at", F.timestamp_micros(F.col(ts))).withWatermark("__at", lateness)
-    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    grouped = timed.groupBy(key)
+    run = grouped.transformWithState if by_row else grouped.transformWithStateInPandas
+    return run(processor, schema, "append", "EventTime")
 
 
 class Carry(StatefulProcessor):
-    """The value of a row's tag before it. State: the last touch of each tag, and the newest time; timers forget both."""
+    """The value of a row's tag before it. State, read and written once for a key and batch: the newest time, and the last touch of each tag."""
 
     def __init__(self, columns: tuple[str, str, str, str, str], types: dict[str, str], ttl: int):
         self.columns, self.types, self.ttl = columns, types, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.touched = handle.getMapState("touched", "tag string", "value double, at long")
-        self.newest = handle.getValueState("newest", "at long")
+        self.held = handle.getValueState("held", "newest long, touched array<struct<tag string, value double, at long>>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        k, order, ts, tag, value = self.columns
-        all_ = pd.concat(list(rows)).sort_values([ts, order], kind="stable")
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        late = all_[ts] < newest if newest is not None else pd.Series(False, index=all_.index)
-        fresh = all_[~late]
-        groups = fresh.groupby(tag, sort=False)
-        before, at = groups[value].shift(1), groups[ts].shift(1)
-        for name, first in groups.head(1).groupby(tag):
-            if self.touched.containsKey((name,)):
-                old = self.touched.getValue((name,))
-                before[first.index], at[first.index] = old[0], old[1]
-        out = all_[[k, order, ts, tag]].copy()
-        out["before"] = before.where(fresh[ts] - at <= self.ttl).reindex(all_.index)
-        out["late"] = late.to_numpy()
-        for name, v, t in groups.tail(1)[[tag, value, ts]].itertuples(index=False):
-            self.touched.updateValue((name,), (None if pd.isna(v) else float(v), int(t)))
-            # in milliseconds, after the last moment at which the value is visible
-            self.handle.registerTimer((int(t) + self.ttl) // 1000 + 1)
-        if len(fresh):
-            self.newest.update((int(fresh[ts].max()),))
-        yield out
+    def keep(self, newest: int, touched: list[tuple]) -> None:
+        self.held.update((newest, touched))
+        # in milliseconds, after the last moment at which the first tag to go is visible
+        self.handle.registerTimer((min(at for _, _, at in touched) + self.ttl) // 1000 + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        k, order, ts, tag, value = self.columns
+        told_row = Row(k, order, ts, tag, "before", "late")
+        newest, held = self.held.get() or (None, [])
+        touched = {name: (v, at) for name, v, at in held}
+        last, told = newest, False
+        for at, n, name, v in sorted(((r[ts], r[order], r[tag], r[value]) for r in rows), key=lambda r: r[:2]):
+            late = newest is not None and at < newest
+            before = None
+            if not late:
+                was = touched.get(name)
+                if was is not None and at - was[1] <= self.ttl:
+                    before = was[0]
+                touched[name], last, told = (v, at), at, True
+            yield told_row(key[0], n, at, name, before, late)
+        # a row older than the newest touches nothing and is told nothing, so what the newest can't see is of no use
+        if told:
+            self.keep(last, [(name, v, at) for name, (v, at) in touched.items() if last - at <= self.ttl])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        gone = [name for (name,), (_, t) in self.touched.iterator() if t + self.ttl < now]
-        for name in gone:
-            self.touched.removeKey((name,))
-        if not any(True for _ in self.touched.keys()):
-            self.touched.clear()
-            self.newest.clear()
-        yield pd.DataFrame(columns=[*self.columns[:4], "before", "late"])
+        held = self.held.get()
+        left = [t for t in held[1] if t[2] + self.ttl >= now] if held else []
+        if not left:
+            self.held.clear()
+        elif len(left) < len(held[1]):
+            self.keep(held[0], [tuple(t) for t in left])
+        yield from ()
 
     def close(self) -> None:
         return None
@@ -81,7 +83,7 @@ def streaming_carry(stream: DataFrame, key: str, order: str, ts: str, tag: str,
     """
     types = dict(stream.dtypes)
     out = f"{key} {types[key]}, {order} {types[order]}, {ts} long, {tag} string, before double, late boolean"
-    return with_timers(stream, key, ts, lateness, Carry((key, order, ts, tag, value), types, ttl), out)
+    return with_timers(stream, key, ts, lateness, Carry((key, order, ts, tag, value), types, ttl), out, by_row=True)
 
 
 class MediaClock(StatefulProcessor):

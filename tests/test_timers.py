@@ -40,6 +40,40 @@ def test_carry_forgets_by_timers(spark, tmp_path):
     assert held[0] > 0 and held[-1] <= 5  # only the last key's rows and timers are left
 
 
+class Told:
+    """A state handle that counts what it is asked."""
+
+    def __init__(self):
+        self.calls, self.held = 0, None
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.calls, self.held = self.calls + 1, value
+
+    def registerTimer(self, _):
+        self.calls += 1
+
+
+def test_carry_asks_the_state_thrice_for_a_key(spark):
+    from pyspark.sql import Row
+
+    handle, carry = Told(), state.Carry(("k", "n", "t", "tag", "v"), {}, 30)
+    carry.init(handle)
+    rows = [Row(k=1, n=n, t=n // 2, tag="abcde"[n % 5], v=float(n)) for n in range(40)]
+    got = [r for part in (rows[:25], rows[25:]) for r in carry.handleInputRows((1,), iter(part), None)]
+    assert [r["before"] for r in got] == [None if n < 5 else n - 5.0 for n in range(40)]
+    assert handle.calls == 6 and handle.held[0] == 19 and len(handle.held[1]) == 5  # two batches
+    again = list(carry.handleInputRows((1,), iter([Row(k=1, n=40, t=19, tag="a", v=1.0), Row(k=1, n=41, t=18, tag="a", v=2.0)]), None))
+    assert [(r["n"], r["before"], r["late"]) for r in again] == [(41, None, True), (40, 35.0, False)]
+    assert ("a", 1.0, 19) in handle.held[1]  # a touch at the newest time counts
+
+
 def test_metadata_waits_for_the_media_clock(spark, tmp_path):
     schema = "k long, ref long, media boolean, pts long, at long"
     wrap = (1 << 33) - 90_000
