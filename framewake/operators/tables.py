@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import let, settle, tasks_of
 from .asof import asof_join
 
+#: packets of a task in which each of them meets its stream's ids
+TASK_PACKETS = 50_000
+
 
 def visible_references(refs: DataFrame, records: DataFrame, clears: DataFrame, keys: Sequence[str], id_: str, ts: str, ttl: int, order: Sequence[str] = ()) -> DataFrame:
     """``refs`` (keys, id, ts, ...) with record_at, when the record referred to was last told, and known: whether it is visible.
@@ -61,21 +65,28 @@ def states_at(packets: DataFrame, records: DataFrame, clears: DataFrame, keys: S
     """The table that a stream's records make, at each packet: keys, ``seq``, id, value, told (in this packet) and before.
 
     packets: keys, seq (their order), ts. records: those and id, value. clears: keys, seq. A record is there while it is no
-    older than ``ttl`` and no clear stands after it. before: the value that its id had until this packet, null if none was left. The
-    last word on an id is found by one scan by (stream, id); ids of a stream are few, so work grows with the packets.
+    older than ``ttl`` and no clear stands after it. before: the value that its id had until this packet, null if none was left.
+    Packets go to their stream once, with their records and clears, and meet its ids there, in tasks of a bounded number of
+    packets; ids of a stream are few, so work grows with the packets.
     """
-    words = records.select(*keys, id_, F.col(seq).alias("__s"), F.col(ts).alias("__at"), F.col(value).alias("value"))
-    w = Window.partitionBy(*keys, id_).orderBy("__s")
-    words = words.withColumn("__p", F.lag(F.struct(F.col("__s").alias("s"), F.col("__at").alias("at"), "value")).over(w))
-    asked = packets.select(*keys, seq, ts).join(words.select(*keys, id_).distinct(), list(keys))
-    wiped = clears.select(*keys, F.col(seq).alias("__c")).distinct()
-    asked = asof_join(asked, wiped, keys, seq, "__c", prefix="_")
-    found = asof_join(asked, words, [*keys, id_], seq, "__s", prefix="_")
-    live = lambda s, at: (F.col(ts) - at <= ttl) & (F.col("___c").isNull() | (s > F.col("___c")))
-    there = found.where(F.col("___s").isNotNull() & live(F.col("___s"), F.col("___at")))
-    told = F.col("___s") == F.col(seq)
-    last = F.when(told, F.when(live(F.col("___p.s"), F.col("___p.at")), F.col("___p.value"))).otherwise(F.col("_value"))
-    return there.select(*keys, seq, id_, F.col("_value").alias(value), told.alias("told"), last.alias("before"))
+    own = records.groupBy(*keys, seq).agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(ts).alias("at"), F.col(value).alias("value"))).alias("__words"))
+    wiped = clears.select(*keys, seq).distinct().withColumn("__clear", F.lit(True))
+    both = packets.select(*keys, seq, ts, F.lit(True).alias("__asked")).join(own, [*keys, seq], "full").join(wiped, [*keys, seq], "full")
+    both = settle(both, "states")
+    both = both.repartition(tasks_of(both, TASK_PACKETS), *keys)
+    ids = both.select(*keys, F.explode("__words.id").alias("id")).groupBy(*keys).agg(F.sort_array(F.collect_set("id")).alias("__all"))
+    upto = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    wide = both.withColumn("__c", F.last(F.when(F.col("__clear"), F.col(seq)), ignorenulls=True).over(upto)).join(ids, list(keys))
+    wide = wide.select(*keys, seq, ts, "__asked", "__c", "__words", F.explode("__all").alias(id_))
+    word = let(F.try_element_at(F.filter("__words", lambda x: x["id"] == F.col(id_)), F.lit(-1)), lambda x: F.when(x.isNotNull(), F.struct(F.col(seq).alias("s"), x["at"].alias("at"), x["value"].alias("value"))))
+    wide = wide.select(*keys, seq, ts, "__asked", "__c", id_, word.alias("__word"))
+    w = Window.partitionBy(*keys, id_).orderBy(seq)
+    last = F.last("__word", ignorenulls=True)
+    wide = wide.withColumn("__l", last.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__p", last.over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    live = lambda x: (F.col(ts) - F.col(f"{x}.at") <= ttl) & (F.col("__c").isNull() | (F.col(f"{x}.s") > F.col("__c")))
+    told = F.col("__word").isNotNull()
+    before = F.when(told, F.when(live("__p"), F.col("__p.value"))).otherwise(F.col("__l.value"))
+    return wide.where(F.col("__asked") & live("__l")).select(*keys, seq, id_, F.col("__l.value").alias(value), told.alias("told"), before.alias("before"))
 
 
 def order_issues(

@@ -32,6 +32,13 @@ def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return table(spark, sf_dir, name).repartition(n, key)
 
 
+def tasks_of(df: DataFrame, rows: int) -> int:
+    """Tasks for ``df``, which is settled: as many as the session works with, or more, so that one has about ``rows`` rows."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(n, df.count() // rows + 1)
+
+
 def micros(ts: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp without a zone, whatever the session's zone is."""
     name = ts if isinstance(ts, str) else None

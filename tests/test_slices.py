@@ -51,3 +51,20 @@ def test_units_cross_slices(spark):
     assert [bytes(r["data"]) for r in metadata.asynchronous_units(pes).orderBy("offset").collect()] == [b"xy", b"z"]
     for units in (metadata.synchronous_units(pes), metadata.asynchronous_units(pes)):
         assert any("__slice" in w for w in windows(units))
+
+
+def test_orders_meet_within_a_stream(spark):
+    from framewake.operators import tables
+
+    packets = spark.createDataFrame([(1, n, n) for n in range(4)], "u int, n long, t long")
+    records = spark.createDataFrame([(1, 0, 0, 7, -1), (1, 1, 1, 8, -1), (1, 2, 2, 8, -3)], "u int, n long, t long, id int, o int")
+    clears = spark.createDataFrame([(1, 3)], "u int, n long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = tables.order_issues(packets, records, clears, ["u"], "n", "t", "id", "o", 10)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r["n"], r["id"], r["code"]) for r in out.collect()) == [(1, 7, "duplicate_order"), (1, 8, "duplicate_order"), (1, 8, "historical_not_decreasing")]
+    # packets with their ids, many for each, are never shuffled
+    assert "Generate explode" in plan and "Exchange" not in plan.partition("Generate explode(__all")[0]
