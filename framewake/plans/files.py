@@ -95,13 +95,13 @@ def file_packets_stream(spark, sf_dir):
 @query(_WIDE.format(f"CASE WHEN event_id % 2 = 0 THEN {_PTS} END"))
 def file_items(spark, sf_dir):
     """From files to typed items, in three passes over just the pids that matter."""
-    values = settle(metadata.scan_transport(spark, transport_files(spark, sf_dir, garbage=True)), "items")
+    values = metadata.scan_transport(spark, transport_files(spark, sf_dir, garbage=True))
     one = lambda tag, column: F.max(F.when(F.col("tag") == tag, F.col(column)))
-    wide = values.groupBy("file", "program", "pid", "offset", "n", "pts").agg(
+    wide = values.groupBy("file", "program", "pid", "offset", "n", "service", "pts").agg(
         one(2, "exact").cast("long").alias("precision_time"), one(5, "num").alias("heading"), one(10, "txt").alias("designation"), one(13, "num").alias("latitude"),
         one(39, "num").alias("temperature"), one(56, "num").alias("speed"), one(56, "special").alias("speed_special"), one(96, "num").alias("width"),
     )
-    return wide.drop("file", "program", "pid", "offset", "n")
+    return wide.drop("file", "program", "pid", "offset", "n", "service")
 
 
 #: programs 1 and 2 of each user; their maps, and pids, come from events: signup has 300 and 301, view 300, error neither

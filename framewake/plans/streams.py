@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..operators import slices
 from ..session import scratch, settle, table
-from ..sources import klv, metadata, programs, registry, transport
+from ..sources import metadata, programs, registry, transport
 from .timed import E, events
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -139,21 +139,20 @@ SELECT ts_us AS precision_time, event_id * 37 % 65536 * 360.0 / 65535 AS heading
 @query(_WIDE.format(f"CASE WHEN event_id % 2 = 0 THEN {_PTS} END"))
 def metadata_items(spark, sf_dir):
     found = settle(metadata.metadata_packets(_demultiplexed(spark, sf_dir)).where("key is not null"), "found")
-    keys = ["file", "program", "pid", "offset", "n"]
+    keys = ["file", "program", "pid", "offset", "n", "pts"]
     values = metadata.local_set_values(found, registry.registry(spark), keys)
     one = lambda tag, column: F.max(F.when(F.col("tag") == tag, F.col(column)))
     wide = values.groupBy(*keys).agg(
         one(2, "exact").cast("long").alias("precision_time"), one(5, "num").alias("heading"), one(10, "txt").alias("designation"), one(13, "num").alias("latitude"),
         one(39, "num").alias("temperature"), one(56, "num").alias("speed"), one(56, "special").alias("speed_special"), one(96, "num").alias("width"),
     )
-    return wide.join(found.select(*keys, "pts"), keys).drop(*keys)
+    return wide.drop("file", "program", "pid", "offset", "n")
 
 
 @query(f"SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'checksum' END AS issue FROM {E}")
 def packet_checks(spark, sf_dir):
     k = settle(metadata.keyed_packets(local_sets(spark, sf_dir).select("event_id", F.col("klv").alias("data"))), "found")
-    items = klv.local_set_items(k.select("event_id", F.col("value").alias("raw")), "raw", ("event_id",))
-    return metadata.packet_issue(k, items, ["event_id"])
+    return metadata.packet_issue(k, ["event_id"]).drop("items")
 
 
 @query(f"""
@@ -162,9 +161,8 @@ SELECT file, round((pts - min(pts) OVER (PARTITION BY file)) / 90000.0, 6) AS ti
 """)
 def timeline(spark, sf_dir):
     found = settle(metadata.metadata_packets(_demultiplexed(spark, sf_dir)).where("key is not null and pts is not null"), "found")
-    keys = ["file", "program", "pid", "offset", "n"]
-    valid = metadata.local_set_values(found, registry.registry(spark), keys).where("tag = 2").select(*keys)
-    t = found.join(valid, keys)
+    keys = ["file", "program", "pid", "offset", "n", "pts"]
+    t = metadata.local_set_values(found, registry.registry(spark), keys).where("tag = 2")
     t = slices.ranged(t.select("file", "pts", "offset"), ["file", "pts", "offset"], "__slice")
     first = t.groupBy("file").agg(F.min("pts").alias("first"))
     t = slices.numbered(t, ["file"], "__slice", ["pts", "offset"], "n").join(first, "file")

@@ -92,6 +92,39 @@ def _in_step(octets: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return (*(np.concatenate([none, *x]) for x in (rows, tags, starts, sizes)), odd)
 
 
+def _items_of(data: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Items of sets that are read in step: set, ordinal, tag, raw, issue; in the order of the sets."""
+    octets = np.frombuffer(b"".join(data), np.uint8)
+    end = np.cumsum([len(x) for x in data])
+    start = end - np.array([len(x) for x in data], np.int64)
+    row, tag, at, size, odd = _in_step(octets, start, end)
+    keep = ~odd[row]
+    row, tag, at, size = row[keep], tag[keep], at[keep], size[keep]
+    told = np.zeros(len(row), bool)
+    no_tag = np.zeros(len(row), bool)
+    slow = [(i, t, start[i] + a, s, issue) for i in np.flatnonzero(odd).tolist() for t, a, s, issue in _one_by_one(data[i])]
+    if slow:
+        i, t, a, s, issue = zip(*slow)
+        # a tag beyond a long is none
+        t = [x if x is not None and x < 1 << 63 else None for x in t]
+        row, at, size = np.concatenate([row, i]), np.concatenate([at, a]), np.concatenate([size, s])
+        tag = np.concatenate([tag, [x or 0 for x in t]]).astype(np.int64)
+        no_tag = np.concatenate([no_tag, [x is None for x in t]])
+        told = np.concatenate([told, [x is not None for x in issue]])
+    order = np.argsort(row, kind="stable")
+    row, tag, at, size, told, no_tag = (x[order] for x in (row, tag, at, size, told, no_tag))
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+    ordinal = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
+    held = np.maximum(size, 0)
+    ends = np.concatenate([[0], np.cumsum(held)])
+    values = octets[np.repeat(at - ends[:-1], held) + np.arange(ends[-1])]
+    column = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.array(ends.astype(np.int32)).buffers()[1], pa.py_buffer(values.tobytes())])
+    if told.any():
+        column = pc.if_else(pa.array(told), pa.scalar(None, pa.binary()), column)
+    issues = pc.if_else(pa.array(told), pa.scalar("truncated"), pa.scalar(None, pa.string()))
+    return row, pa.array(ordinal.astype(np.int32)), pa.array(tag, mask=no_tag), column, issues
+
+
 def local_set_items(df: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("packet",)) -> DataFrame:
     """Items of local sets: keys, ordinal, tag, raw, and issue for what a malformed set ends with.
 
@@ -104,45 +137,35 @@ def local_set_items(df: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("p
         for batch in batches:
             for k in range(0, len(batch), 4096):
                 part = batch.slice(k, 4096)
-                data = [x or b"" for x in part.column(n).to_pylist()]
-                octets = np.frombuffer(b"".join(data), np.uint8)
-                end = np.cumsum([len(x) for x in data])
-                start = end - np.array([len(x) for x in data], np.int64)
-                row, tag, at, size, odd = _in_step(octets, start, end)
-                keep = ~odd[row]
-                row, tag, at, size = row[keep], tag[keep], at[keep], size[keep]
-                told = np.zeros(len(row), bool)
-                no_tag = np.zeros(len(row), bool)
-                slow = [(i, t, start[i] + a, s, issue) for i in np.flatnonzero(odd).tolist() for t, a, s, issue in _one_by_one(data[i])]
-                if slow:
-                    i, t, a, s, issue = zip(*slow)
-                    # a tag beyond a long is none
-                    t = [x if x is not None and x < 1 << 63 else None for x in t]
-                    row, at, size = np.concatenate([row, i]), np.concatenate([at, a]), np.concatenate([size, s])
-                    tag = np.concatenate([tag, [x or 0 for x in t]]).astype(np.int64)
-                    no_tag = np.concatenate([no_tag, [x is None for x in t]])
-                    told = np.concatenate([told, [x is not None for x in issue]])
-                order = np.argsort(row, kind="stable")
-                row, tag, at, size, told, no_tag = (x[order] for x in (row, tag, at, size, told, no_tag))
-                if not len(row):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                ordinal = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
-                held = np.maximum(size, 0)
-                ends = np.concatenate([[0], np.cumsum(held)])
-                values = octets[np.repeat(at - ends[:-1], held) + np.arange(ends[-1])]
-                column = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.array(ends.astype(np.int32)).buffers()[1], pa.py_buffer(values.tobytes())])
-                if told.any():
-                    column = pc.if_else(pa.array(told), pa.scalar(None, pa.binary()), column)
-                issues = pc.if_else(pa.array(told), pa.scalar("truncated"), pa.scalar(None, pa.string()))
-                kept = [part.column(c).take(pa.array(row)) for c in range(n)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(ordinal.astype(np.int32)), pa.array(tag, mask=no_tag), column, issues], [*keys, "ordinal", "tag", "raw", "issue"])
+                row, *columns = _items_of([x or b"" for x in part.column(n).to_pylist()])
+                if len(row):
+                    kept = [part.column(c).take(pa.array(row)) for c in range(n)]
+                    yield pa.RecordBatch.from_arrays([*kept, *columns], [*keys, "ordinal", "tag", "raw", "issue"])
 
     types = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", ordinal int, tag long, raw binary, issue string"
     return df.select(*keys, raw).mapInArrow(run, schema)
 
 
+def local_set_lists(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Each row with ``items``, those of its local set as a list of (ordinal, tag, raw, issue), instead of ``raw``: what a set's items say together needs no shuffle."""
+    keys = [c for c in df.columns if c != raw]
+    n = len(keys)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 4096):
+                part = batch.slice(k, 4096)
+                row, *columns = _items_of([x or b"" for x in part.column(n).to_pylist()])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(columns, ["ordinal", "tag", "raw", "issue"]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(n)], lists], [*keys, "items"])
+
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", items array<struct<ordinal:int,tag:bigint,raw:binary,issue:string>>"
+    return df.select(*keys, raw).mapInArrow(run, schema)
+
+
 def wide(items: DataFrame, keys: list[str], fields: dict[str, tuple[int, str]]) -> DataFrame:
     """Items to a row a packet: each field of (tag, type), and repeated, the names of fields that a packet has more than once.
 

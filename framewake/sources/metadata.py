@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import running_sum_16
 from ..operators.slices import carry, slice_of
-from ..session import settle
+from ..session import settle, tasks_of
 from . import klv, programs, stream_files, transport
 from .registry import decode_fields, registry
 
 #: the key of the local set of the registry
 LOCAL_SET_KEY = "060E2B34020B01010E01030101000000"
+#: packets whose items one task gathers
+TASK_PACKETS = 50_000
 
 
 def _spread(df: DataFrame, raw: str, cut: Callable[[bytes], list[tuple]], names: list[str], kinds: list[pa.DataType], ddl: str) -> DataFrame:
@@ -153,37 +155,36 @@ def metadata_packets(pes: DataFrame) -> DataFrame:
     return k.select("file", "program", "pid", "service", "offset", "pts", "random_access", "n", "key", "value", "packet", F.coalesce("klv_issue", "issue").alias("issue")).union(told)
 
 
-def packet_issue(packets: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """Why a packet of the registry's local set isn't valid: ``keys`` and issue, null for a valid one.
+def packet_issue(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """Items of each packet of the registry's local set (``keys``, value, packet) and why it isn't valid: ``keys``, items, and issue, null for a valid one.
 
     In this order: empty; truncated; item_143, not at the root; amend_and_segment; checksum_place, as the last item of two octets;
-    time_place, first if it is there; time_missing; version_missing; repeated, of a tag that may not; checksum.
+    time_place, first if it is there; time_missing; version_missing; repeated, of a tag that may not; checksum. A packet is
+    checked in its row, so nothing is shuffled or sorted.
     """
-    t = F.col("tag")
-    shape = items.groupBy(*keys).agg(
-        F.count("*").alias("found"), F.max_by(F.struct("tag", F.octet_length("raw").alias("size"), "raw"), "ordinal").alias("last"), F.min_by("tag", "ordinal").alias("first"),
-        F.max(F.coalesce(t == 143, F.lit(False))).alias("nested"), F.max(F.coalesce(t == 100, F.lit(False))).alias("segment"), F.max(F.coalesce(t == 101, F.lit(False))).alias("amend"),
-        F.max(F.coalesce(t == 2, F.lit(False))).alias("timed"), F.max(F.coalesce(t == 65, F.lit(False))).alias("versioned"), F.max(F.col("issue").isNotNull()).alias("broken"),
-        F.count(F.when(~t.isin(100, 101, 102, 115), t)).alias("single"), F.countDistinct(F.when(~t.isin(100, 101, 102, 115), t)).alias("distinct"),
-    )
-    p = packets.select(*keys, "packet").join(shape, keys, "left")
-    told = F.conv(F.hex(F.col("last.raw")), 16, 10).cast("long")
+    p = klv.local_set_lists(packets.select(*keys, "packet", F.col("value").alias("raw")))
+    first, last = F.get("items", F.lit(0))["tag"], F.try_element_at("items", F.lit(-1))
+    has = lambda tag: F.exists("items", lambda i: F.coalesce(i["tag"] == tag, F.lit(False)))
+    single = F.filter(F.transform("items", lambda i: i["tag"]), lambda t: ~t.isin(100, 101, 102, 115))
+    told = F.conv(F.hex(last["raw"]), 16, 10).cast("long")
     summed = running_sum_16(F.substring("packet", 1, 1 << 30).substr(F.lit(1), F.octet_length("packet") - 2))
     issue = (
-        F.when(F.col("found").isNull(), "empty").when(F.col("broken"), "truncated").when(F.col("nested"), "item_143").when(F.col("segment") & F.col("amend"), "amend_and_segment")
-        .when((F.col("last.tag") != 1) | (F.col("last.size") != 2), "checksum_place").when(F.col("timed") & (F.col("first") != 2), "time_place")
-        .when(~F.col("timed"), "time_missing").when(~F.col("versioned"), "version_missing").when(F.col("single") != F.col("distinct"), "repeated").when(summed != told, "checksum")
+        F.when(F.size("items") == 0, "empty").when(F.exists("items", lambda i: i["issue"].isNotNull()), "truncated").when(has(143), "item_143").when(has(100) & has(101), "amend_and_segment")
+        .when((last["tag"] != 1) | (F.octet_length(last["raw"]) != 2), "checksum_place").when(has(2) & (first != 2), "time_place")
+        .when(~has(2), "time_missing").when(~has(65), "version_missing").when(F.size(single) != F.size(F.array_distinct(single)), "repeated").when(summed != told, "checksum")
     )
-    return p.select(*keys, issue.alias("issue"))
+    return p.select(*keys, "items", issue.alias("issue"))
 
 
 def local_set_values(packets: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame:
-    """Typed items of the valid packets of the registry's local set among ``packets`` (``keys``, key, value, packet)."""
-    own = packets.where(F.hex("key") == LOCAL_SET_KEY)
-    items = klv.local_set_items(own.select(*keys, F.col("value").alias("raw")), "raw", tuple(keys))
-    bad = packet_issue(own, items, keys).where("issue is not null").select(*keys)
-    good = items.join(bad, keys, "left_anti").drop("issue")
-    return decode_fields(good, tags)
+    """Typed items of the valid packets of the registry's local set among ``packets``, which are settled (``keys``, key, value, packet).
+
+    Packets are dealt by ``keys`` to tasks of a bounded number of them, and their items stay there: what gathers the items of
+    a packet by ``keys`` needs no other shuffle, and holds no more when there are more packets.
+    """
+    good = packet_issue(packets.where(F.hex("key") == LOCAL_SET_KEY), keys).where("issue is null").select(*keys, "items")
+    good = good.repartition(tasks_of(packets, TASK_PACKETS), *keys)
+    return decode_fields(good.select(*keys, F.inline("items")).drop("issue"), tags)
 
 
 def scan_transport(spark: SparkSession, path: str, program: int | None = None) -> DataFrame:
@@ -207,6 +208,4 @@ def scan_transport(spark: SparkSession, path: str, program: int | None = None) -
     own = {r[0] for r in streams.select("pid").distinct().collect()}
     pes = settle(programs.demultiplex(packets(own or {transport.NULL_PID}), streams, program), "pes")
     found = settle(metadata_packets(pes).where("key is not null"), "found")
-    keys = ["file", "program", "pid", "offset", "n"]
-    values = local_set_values(found, registry(spark), keys)
-    return values.join(found.select(*keys, "service", "pts"), keys)
+    return local_set_values(found, registry(spark), ["file", "program", "pid", "offset", "n", "service", "pts"])
