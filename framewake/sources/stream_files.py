@@ -21,11 +21,9 @@ from pyarrow import fs as filesystem
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .transport import PACKET, RANGE_PACKETS, packet_column, range_packets_of
+from .transport import PACKET, RANGE_PACKETS, packet_column, range_blocks
 
 SCHEMA = "file string, offset long, discarded long, pid int, pusi boolean, cc int, raw binary"
-#: rows of a batch that a task hands on
-BATCH = 1 << 14
 #: octets of small files, or of small ranges, that one task reads
 PACK = 8 << 20
 
@@ -51,23 +49,22 @@ def list_files(path: str) -> list[tuple[str, int]]:
 def read_range(name: str, start: int, end: int, pids: frozenset | None) -> Iterator[pa.RecordBatch]:
     """Packets that begin in [start, end) of a file, of ``pids`` if they are named.
 
-    A range reads a few packets before it, to be in step, and after it, to tell a packet from an octet that looks like one.
+    A range reads a few packets before it, to be in step, and after it, to tell a packet from an octet that looks like one. It is
+    read block by block, and a block's packets are a batch, so that memory doesn't grow with the range.
     """
     store, where = store_of(name)
     with store.open_input_file(where) as f:
-        octets, begin, places, lost = range_packets_of(f, start, end)
-    for k in range(0, len(places), BATCH):
-        at, passed = places[k : k + BATCH], lost[k : k + BATCH]
-        pid = (octets[at + 1].astype(np.int32) & 31) << 8 | octets[at + 2]
-        if pids is not None:
-            keep = np.isin(pid, list(pids))
-            at, passed, pid = at[keep], passed[keep], pid[keep]
-        if not len(at):
-            continue
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(at)), pa.array(at + begin), pa.array(passed), pa.array(pid), pa.array(octets[at + 1] & 64 > 0), pa.array((octets[at + 3] & 15).astype(np.int32)), packet_column(octets, at)],
-            ["file", "offset", "discarded", "pid", "pusi", "cc", "raw"],
-        )
+        for octets, begin, at, passed in range_blocks(f, start, end):
+            pid = (octets[at + 1].astype(np.int32) & 31) << 8 | octets[at + 2]
+            if pids is not None:
+                keep = np.isin(pid, list(pids))
+                at, passed, pid = at[keep], passed[keep], pid[keep]
+            if not len(at):
+                continue
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(at)), pa.array(at + begin), pa.array(passed), pa.array(pid), pa.array(octets[at + 1] & 64 > 0), pa.array((octets[at + 3] & 15).astype(np.int32)), packet_column(octets, at)],
+                ["file", "offset", "discarded", "pid", "pusi", "cc", "raw"],
+            )
 
 
 @dataclass

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ def _octet(raw: Column, at: int) -> Column:
 
 #: packets of a range that one task reads at a time
 RANGE_PACKETS = 1 << 18
+#: octets of a range that are held at a time
+BLOCK = 2 << 20
 #: packets before a range that are read at first to be in step where it begins
 LEAD = 16
 
@@ -57,25 +59,35 @@ def _run(octets: np.ndarray, at: int, end: int) -> int:
     return n
 
 
-def find_packets(octets: np.ndarray, end: int, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all whole packets that start from ``at`` on, where one is due, and before ``end``, and the octets passed over before each one.
+def _followed(octets: np.ndarray, end: int, at: int, since: int | None = None) -> tuple[np.ndarray, np.ndarray, int, int | None]:
+    """What ``find_packets`` finds, and how it goes on after ``end``: the place where the next packet is due, or a search goes on, and where that began.
 
-    While sync octets follow one another, a run is taken in one step; only where one is missing is the next searched.
+    ``since`` is such a beginning, before ``at``, or None where a packet is due.
     """
     places, lost, passed = [], [], 0
-    end = min(end, len(octets) - PACKET + 1)
     while at < end:
-        if octets[at] == SYNC:
-            n = _run(octets, at, end)
-            places.append(at + PACKET * np.arange(n))
-            lost.append(np.zeros(n, np.int64))
-            lost[-1][0] = passed
-            at, passed = at + PACKET * n, 0
-        else:
-            found = _in_step(octets, at + 1, end)
-            passed, at = found - at, found
+        if since is not None or octets[at] != SYNC:
+            begun = at if since is None else since
+            at = _in_step(octets, at + 1 if since is None else at, end)
+            if at >= end:
+                since = begun
+                break
+            passed, since = at - begun, None
+        n = _run(octets, at, end)
+        places.append(at + PACKET * np.arange(n))
+        lost.append(np.zeros(n, np.int64))
+        lost[-1][0] = passed
+        at, passed = at + PACKET * n, 0
     none = np.empty(0, np.int64)
-    return np.concatenate([none, *places]), np.concatenate([none, *lost])
+    return np.concatenate([none, *places]), np.concatenate([none, *lost]), at, since
+
+
+def find_packets(octets: np.ndarray, end: int, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all whole packets that start from ``at`` on, where one is due, and before ``end``, and the octets passed over before each one.
+
+    While sync octets follow one another, a run is taken in one step; only where one is missing is the next searched.
+    """
+    return _followed(octets, min(end, len(octets) - PACKET + 1), at)[:2]
 
 
 def _settled(octets: np.ndarray, until: int) -> int | None:
@@ -95,30 +107,40 @@ def _settled(octets: np.ndarray, until: int) -> int | None:
     return None
 
 
-def range_packets_of(file, start: int, end: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    """Of an open file: octets, the place of their first, and places and lost of the packets that begin in [start, end).
+def range_blocks(file, start: int, end: int, size: int | None = None) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Of an open file, block by block: octets, the place of their first, and places and lost of the packets that begin in [start, end).
 
-    The packets are those that a reading of the whole file finds: as much before the range is read as makes its first place sure.
+    The packets are those that a reading of the whole file finds: as much before the range is read as makes its first place
+    sure, and each block goes on where the one before it ended. A block and what makes the first one sure is all that is held.
     """
-    lead = LEAD
+    size = size or BLOCK
+    lead, stop = LEAD, min(start + size, end)
     while True:
         begin = max(0, start - lead * PACKET)
         file.seek(begin)
-        octets = np.frombuffer(file.read(end + 5 * PACKET - begin), np.uint8)
+        octets = np.frombuffer(file.read(stop + 5 * PACKET - begin), np.uint8)
         first = _settled(octets, start - begin) if begin else 0
         if first is not None or len(octets) <= start - begin:
             break
         lead *= 4
-    places, lost = find_packets(octets, end - begin, first or 0)
-    own = places >= start - begin
-    return octets, begin, places[own], lost[own]
+    at, since = first or 0, None
+    while True:
+        places, lost, at, since = _followed(octets, min(stop - begin, len(octets) - PACKET + 1), at, since)
+        own = places >= start - begin
+        yield octets, begin, places[own], lost[own]
+        if stop >= end:
+            return
+        stop, moved = min(stop + size, end), at
+        begin, at, since = begin + moved, 0, None if since is None else since - moved
+        file.seek(begin)
+        octets = np.frombuffer(file.read(max(0, stop + 5 * PACKET - begin)), np.uint8)
 
 
 def packet_column(octets: np.ndarray, places: np.ndarray) -> pa.Array:
     """The packets at ``places`` as a binary column, copied in one step."""
     ends = pa.array(np.arange(0, (len(places) + 1) * PACKET, PACKET, dtype=np.int32))
-    raw = octets[places[:, None] + np.arange(PACKET)]
-    return pa.Array.from_buffers(pa.binary(), len(places), [None, ends.buffers()[1], pa.py_buffer(raw.tobytes())])
+    raw = np.lib.stride_tricks.sliding_window_view(octets, PACKET)[places]
+    return pa.Array.from_buffers(pa.binary(), len(places), [None, ends.buffers()[1], pa.py_buffer(raw)])
 
 
 def read_packets(spark: SparkSession, path: str, range_packets: int = RANGE_PACKETS) -> DataFrame:
@@ -140,10 +162,9 @@ def read_packets(spark: SparkSession, path: str, range_packets: int = RANGE_PACK
             for name, length, start in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 store, where = filesystem.FileSystem.from_uri(name)
                 with store.open_input_file(where) as f:
-                    octets, begin, places, lost = range_packets_of(f, start, min(start + size, length))
-                for k in range(0, len(places), 1 << 14):
-                    at = places[k : k + (1 << 14)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at + begin), pa.array(lost[k : k + (1 << 14)]), packet_column(octets, at)], ["file", "offset", "discarded", "raw"])
+                    for octets, begin, at, lost in range_blocks(f, start, min(start + size, length)):
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at + begin), pa.array(lost), packet_column(octets, at)], ["file", "offset", "discarded", "raw"])
 
     return ranges.mapInArrow(run, "file string, offset long, discarded long, raw binary")
 

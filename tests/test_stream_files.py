@@ -123,3 +123,27 @@ def test_a_search_over_octets_that_are_no_packet_goes_on_block_by_block():
     places, lost = transport.find_packets(octets, len(octets))
     assert places.tolist() == [5_000_000 + 188 * k for k in range(9)] and lost[0] == 5_000_000
     assert transport._settled(octets[4_000_000:], 900_000) is None and transport._settled(octets[4_000_000:], 1_000_100) == 1_000_000
+
+
+def test_a_range_is_held_block_by_block(tmp_path, monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    gap = lambda: bytes(rng.integers(0, 256, rng.choice([1, 40, 300, 3000]), dtype=np.uint8)) if rng.random() < 0.15 else b""
+    data = b"".join(packet(5, k % 16, k % 90) + gap() for k in range(700)) + bytes(90)
+    octets = np.frombuffer(data, np.uint8)
+    (tmp_path / "a.ts").write_bytes(data)
+    places, lost = transport.find_packets(octets, len(octets))
+    assert lost.max() > 2000
+    for size in (150, 188, 701, 5000):
+        monkeypatch.setattr(transport, "BLOCK", size)
+        for start, end in ((0, len(data)), (10_007, 90_000), (90_000, len(data))):
+            found = [(o, d) for b in stream_files.read_range(f"file://{tmp_path}/a.ts", start, end, None) for o, d in zip(b["offset"].to_pylist(), b["discarded"].to_pylist())]
+            assert found == [(p, x) for p, x in zip(places.tolist(), lost.tolist()) if start <= p < end]
+    monkeypatch.undo()
+    (tmp_path / "b.ts").write_bytes(packet(5, 0, 0) * 100_000)
+    tracemalloc.start()
+    held = sum(len(b) for b in stream_files.read_range(f"file://{tmp_path}/b.ts", 0, 18_800_000, frozenset([5])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == 100_000 and peak < 12 << 20
